@@ -4,24 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import personal_data, quality_rules, secret_scan
+from . import line_quality, mixing, personal_data, quality_rules, secret_scan, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return line_quality.line_quality(docs, line_quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_rules(_table(spark, sf_dir, "documents"))
 
 
+def op5_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return sharding.reshard(docs, sharding.by_source(docs)).select("doc_id", "_shard.*")
+
+
 def op7_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op9_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "_mix.*")
+
+
 def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_repetition, op7_anchor_pii, op10_markov_secrets)}
+QUERIES = {f.__name__: f for f in (
+    op1_crf_quality, op2_suffix_repetition, op5_flow_resharding, op7_anchor_pii, op9_sainte_lague_mix, op10_markov_secrets,
+)}
 ORACLE_SQL: dict[str, str] = {}
