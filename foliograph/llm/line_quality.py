@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import textblocks as tb
 from .secret_scan import bounded_sample
 
-SAMPLE_ROWS, ROUNDS, PENALTY, THRESHOLD = 6000, 150, 1e-3, 0.3
+SAMPLE_ROWS, ROUNDS, PENALTY, THRESHOLD = 6000, 250, 3e-4, 0.3
 FOLDS, HELD_OUT = 5, 0
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_lines long, n_good_lines long"
 #: Byte classes of the features.
@@ -150,7 +150,8 @@ def train(lines: list[tuple[np.ndarray, int]], rounds: int = ROUNDS, penalty: fl
     sizes = np.array([len(a) for a, _ in lines])
     label = np.array([y for _, y in lines])
     first = np.concatenate(([0], np.cumsum(sizes)))
-    weight = 1.0 / np.repeat(sizes, sizes)  # documents count alike, however long
+    share = np.array([np.mean(label == v) for v in (0, 1)])
+    weight = np.repeat(0.5 / share[label] / sizes, sizes)  # documents count alike, however long, and so do the classes
     y = np.repeat(label, sizes)
     same = np.zeros((2, 2))
     for v in (0, 1):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_quality, mixing, personal_data, quality_rules, secret_scan, sharding
+from . import decontamination, line_quality, mixing, personal_data, quality_rules, secret_scan, sharding, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,11 +20,21 @@ def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_rules(_table(spark, sf_dir, "documents"))
 
 
+def op4_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return sharding.reshard(docs, sharding.by_source(docs)).select("doc_id", "_shard.*")
 
 
+def op6_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.token_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.personal_data(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +49,7 @@ def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_crf_quality, op2_suffix_repetition, op5_flow_resharding, op7_anchor_pii, op9_sainte_lague_mix, op10_markov_secrets,
+    op1_crf_quality, op2_suffix_repetition, op4_qgram_decontamination, op5_flow_resharding, op6_bit_packed_ids, op7_anchor_pii,
+    op9_sainte_lague_mix, op10_markov_secrets,
 )}
 ORACLE_SQL: dict[str, str] = {}
