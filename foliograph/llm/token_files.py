@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from . import textblocks as tb
 from .shared import shared_dir
 
-BLOCK_IDS, END_ID, KNOWN_UNITS, FILE_ROWS = 1 << 16, 2, 300_000, 4000
+BLOCK_IDS, END_ID, KNOWN_UNITS, FILE_ROWS = 1 << 16, 2, 500_000, 4000
 MAGIC = b"FBP1"
 FOOTER = struct.Struct("<4sIIxxxxQQ")
 NO_ID = -(1 << 63)
@@ -46,6 +46,9 @@ SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 #: First bytes of code points among which there is white space.
 _MAY_BE_SPACE = np.zeros(256, bool)
 _MAY_BE_SPACE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_LETTER, _PUNCTUATION = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+_PUNCTUATION[list(b".,;:!?#*$%&|")] = True
 
 
 def width_of(vocabulary: int) -> int:
@@ -139,24 +142,53 @@ class Reader:
 
 
 def units(block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
-    """Byte spans that can be encoded on their own: texts cut before single spaces between words."""
+    """Byte spans that can be encoded on their own.
+
+    Texts are cut before a single space between words, around a single line end between
+    words, and before punctuation that follows a letter: pieces always end there.
+    """
     data, n = block.data, len(block.data)
-    begin = block.start[:-1][block.start[:-1] < block.start[1:]]
+    cut = np.zeros(n + 1, bool)
     if n > 2:
         plain = ~tb.IS_SEP[data]
-        cut = np.zeros(n, bool)
-        cut[1:-1] = (data[1:-1] == 32) & plain[:-2] & plain[2:]
-        at = np.flatnonzero(cut)
-        at = at[~(_MAY_BE_SPACE[data[np.maximum(at - 2, 0)]] | _MAY_BE_SPACE[data[np.maximum(at - 3, 0)]])]
-        begin = np.union1d(begin, at)
+        alone = np.flatnonzero(plain[:-2] & plain[2:] & ~plain[1:-1]) + 1
+        alone = alone[~(_MAY_BE_SPACE[data[np.maximum(alone - 2, 0)]] | _MAY_BE_SPACE[data[np.maximum(alone - 3, 0)]])]
+        space, line = alone[data[alone] == 32], alone[data[alone] == 10]
+        line = line[~_MAY_BE_SPACE[data[line + 1]]]
+        cut[space] = cut[line] = cut[line + 1] = True
+        cut[1:n] |= _LETTER[data[:-1]] & _PUNCTUATION[data[1:]]
+    cut[block.start] = True
+    cut[n] = False
+    begin = np.flatnonzero(cut)
     return begin, np.append(begin[1:], n)
 
 
 class UnitEncoder:
-    """Encodes blocks of texts; keeps the ids of at most `KNOWN_UNITS` recent units."""
-
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
-        self.encode, self.known = encode, {}
+    """Encodes blocks of texts; keeps the ids of at most `KNOWN_UNITS` recent units.
+
+    `spans` gives the number of bytes of each id's token.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], spans: np.ndarray):
+        self.encode, self.spans, self.known = encode, spans, {}
+
+    def learn(self, names: list[bytes]) -> None:
+        """Words with their space are encoded a thousand in a text, and told apart by their tokens' bytes."""
+        joined, single = [], []
+        for name in names:
+            word = len(name) > 1 and name[0] == 32 and name[1] > 32 and not _MAY_BE_SPACE[name[1]] and 32 < name[-1] < 127
+            (joined if word else single).append(name)
+        groups = [joined[a : a + 1000] for a in range(0, len(joined), 1000)]
+        coded = self.encode([b"".join(g).decode() for g in groups] + [name.decode() for name in single])
+        for group, ids in zip(groups, coded, strict=False):
+            codes = np.array(ids, np.uint32)
+            ends = np.cumsum(self.spans[codes])
+            places = np.searchsorted(ends, np.cumsum([len(name) for name in group])) + 1
+            raw, last = codes.tobytes(), 0
+            for name, place in zip(group, places.tolist(), strict=True):
+                self.known[name] = raw[4 * last : 4 * place]
+                last = place
+        self.known.update((name, np.array(ids, np.uint32).tobytes()) for name, ids in zip(single, coded[len(groups) :], strict=True))
 
     def __call__(self, block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block, and the number of ids of each document."""
@@ -168,13 +200,12 @@ class UnitEncoder:
         names = [raw[a:b] for a, b in zip(begin[one].tolist(), end[one].tolist(), strict=True)]
         if len(self.known) > KNOWN_UNITS:
             self.known.clear()
-        fresh = [name for name in names if name not in self.known]
-        if fresh:
-            coded = self.encode([name.decode() for name in fresh])
-            self.known.update((name, np.array(ids, np.uint32)) for name, ids in zip(fresh, coded, strict=True))
-        parts = [self.known[name] for name in names]
-        length = np.array([len(p) for p in parts], np.int64)
-        pool, offset = np.concatenate(parts), np.cumsum(length) - length
+        known = self.known
+        if fresh := [name for name in names if name not in known]:
+            self.learn(fresh)
+        parts = [known[name] for name in names]
+        length = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        pool, offset = np.frombuffer(b"".join(parts), np.uint32), np.cumsum(length) - length
         many = length[inverse]
         ends = np.cumsum(many)
         ids = pool[np.arange(ends[-1]) + np.repeat(offset[inverse] - (ends - many), many)]
@@ -183,8 +214,11 @@ class UnitEncoder:
         return ids, total[places[1:]] - total[places[:-1]]
 
 
-def library_encoder(path: str) -> tuple[Callable[[list[str]], list[list[int]]], int]:
-    """An encoder from a tokenizers file (special tokens in texts are ordinary text), and its vocabulary size."""
+def library_encoder(path: str) -> tuple[Callable[[list[str]], list[list[int]]], np.ndarray]:
+    """An encoder from a tokenizers file (special tokens in texts are ordinary text), and each token's bytes.
+
+    In a byte-level vocabulary a token's name has one character per byte.
+    """
     import os
 
     from tokenizers import Tokenizer
@@ -192,7 +226,10 @@ def library_encoder(path: str) -> tuple[Callable[[list[str]], list[list[int]]],
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], tokenizer.get_vocab_size()
+    spans = np.zeros(tokenizer.get_vocab_size(), np.int64)
+    for name, n in tokenizer.get_vocab().items():
+        spans[n] = len(name)
+    return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], spans
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> np.ndarray:
@@ -207,8 +244,8 @@ def write_tokens(df: DataFrame, tokenizer_path: str, folder: str, id_col: str =
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        encode, vocabulary = library_encoder(tokenizer_path)
-        encoder, writer, name, low, high = UnitEncoder(encode), None, "", None, None
+        encode, spans = library_encoder(tokenizer_path)
+        encoder, writer, name, low, high = UnitEncoder(encode, spans), None, "", None, None
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for block in tb.blocks(batch.column(1)):
@@ -216,7 +253,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, folder: str, id_col: str =
                     name, low = f"{folder}/{uuid.uuid4().hex}.ids", ids[block.row]
                     system, path = fs.FileSystem.from_uri(name)
                     system.create_dir(path.rpartition("/")[0], recursive=True)
-                    writer = Writer(system.open_output_stream(path), width_of(max(vocabulary, end_id + 1)))
+                    writer = Writer(system.open_output_stream(path), width_of(max(len(spans), end_id + 1)))
                 coded, counts = encoder(block)
                 high = ids[block.row + block.n - 1]
                 writer.add(with_end(coded, counts, end_id), list(zip(ids[block.row : block.row + block.n], (counts + 1).tolist(), strict=True)))
