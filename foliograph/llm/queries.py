@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_quality, mixing, personal_data, quality_rules, secret_scan, sharding, token_files
+from . import decontamination, line_quality, mixing, personal_data, quality_rules, secret_scan, sharding, substring_dedup, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op7_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op8_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op9_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "_mix.*")
@@ -49,7 +53,7 @@ def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_crf_quality, op2_suffix_repetition, op4_qgram_decontamination, op5_flow_resharding, op6_bit_packed_ids, op7_anchor_pii,
+    op1_crf_quality, op2_suffix_repetition, op4_qgram_decontamination, op5_flow_resharding, op6_bit_packed_ids, op7_anchor_pii, op8_count_min_substrings,
     op9_sainte_lague_mix, op10_markov_secrets,
 )}
 ORACLE_SQL: dict[str, str] = {}
