@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_quality, mixing, personal_data, quality_rules, secret_scan, sharding, substring_dedup, token_files
+from . import decontamination, line_quality, mixing, ngram_join, personal_data, quality_rules, secret_scan, sharding, substring_dedup, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_rules(_table(spark, sf_dir, "documents"))
 
 
+def op3_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -53,7 +57,8 @@ def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_crf_quality, op2_suffix_repetition, op4_qgram_decontamination, op5_flow_resharding, op6_bit_packed_ids, op7_anchor_pii, op8_count_min_substrings,
+    op1_crf_quality, op2_suffix_repetition, op3_prefix_tree_join, op4_qgram_decontamination, op5_flow_resharding,
+    op6_bit_packed_ids, op7_anchor_pii, op8_count_min_substrings,
     op9_sainte_lague_mix, op10_markov_secrets,
 )}
 ORACLE_SQL: dict[str, str] = {}
