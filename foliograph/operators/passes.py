@@ -1,0 +1,121 @@
+"""Model passes: requests as prompt rows, replies as canned text in, rows out.
+
+A model is a registered function from prompts to replies; without one every reply is null
+and documents keep their pattern entities.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.constants import CLASSES, MERGED_VERSION, PATTERN_VERSION, PREDICATES
+
+REFINED = "entities array<struct<index:int,value:string,class:string,subclass:string,confidence:float>>, topic string, tags array<string>, language string"
+RELATIONS = "triples array<struct<subject:string,predicate:string,object:string>>, new_predicates array<struct<name:string,description:string>>"
+LABEL = "label string, description string"
+_MODELS: dict[str, Callable[[list[str]], list[str | None]]] = {}
+#: Temperature and token limit of each request.
+SETTINGS = {"refine": (0.0, 4096), "relations": (0.0, 2048), "label": (0.3, 256), "bootstrap": (0.2, 2048)}
+
+
+def register_llm(model: Callable[[list[str]], list[str | None]] | None, name: str = "default") -> None:
+    if model is None:
+        _MODELS.pop(name, None)
+    else:
+        _MODELS[name] = model
+
+
+def ask(prompts: DataFrame, column: str = "prompt", out: str = "reply", name: str = "default", attempts: int = 3) -> DataFrame:
+    """Prompts with replies; a batch that fails is tried again, then its replies are null."""
+    model = _MODELS.get(name)
+    if model is None:
+        return prompts.withColumn(out, F.lit(None).cast("string"))
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        import time
+
+        for attempt in range(attempts):
+            try:
+                return pd.Series(model(texts.tolist()))
+            except Exception:  # a provider's own errors
+                if attempt + 1 < attempts:
+                    time.sleep(2**attempt)
+        return pd.Series([None] * len(texts))
+
+    return prompts.withColumn(out, run(F.col(column)))
+
+
+def refine_prompt(text: Column, entities: Column) -> Column:
+    """The clipped text and its entities as `e_N: value (class=, subclass=)`."""
+    lines = F.transform(entities, lambda e, i: F.concat(F.lit("e_"), i, F.lit(": "), e["value"], F.lit(" (class="), F.coalesce(e["class"], F.lit("")), F.lit(", subclass="), F.coalesce(e["subclass"], F.lit("")), F.lit(")")))
+    return F.concat(F.lit("Classes: " + ", ".join(CLASSES) + "\nEntities:\n"), F.array_join(lines, "\n"), F.lit("\nText:\n"), T.clip_head_tail(text))
+
+
+def relation_prompt(text: Column, entities: Column, vocabulary: tuple[str, ...] = PREDICATES) -> Column:
+    return F.concat(F.lit("Predicates: " + ", ".join(vocabulary) + "\n"), refine_prompt(text, entities))
+
+
+def label_prompt(titles: Column, classes: Column, topics: Column, avoid: Column) -> Column:
+    parts = {"Files": titles, "Entities": classes, "Topics": topics, "Avoid": avoid}
+    clean = {k: F.array_join(F.transform(v, lambda x: T.sanitize_field(x)), "; ") for k, v in parts.items()}
+    return F.concat(*[x for k, v in clean.items() for x in (F.lit(f"{k}: "), v, F.lit("\n"))])
+
+
+def bootstrap_prompt(samples: DataFrame, n: int = 30) -> DataFrame:
+    """One prompt row over the first n samples (title, topic, tags)."""
+    line = F.concat_ws(" | ", "title", "topic", F.array_join("tags", ","))
+    first = samples.orderBy("doc_id").limit(n)
+    return first.agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("prompt"))
+
+
+def two_pass(docs: DataFrame, reply: str = "reply") -> DataFrame:
+    """Documents with the reply's entities merged in (version 3.0), or their pattern entities alone (2.5)."""
+    parsed = T.parse_json_reply(F.col(reply), REFINED)
+    out = docs.withColumn("_p", parsed)
+    refined = F.transform(
+        "extracted_entities",
+        lambda e, i: F.struct(
+            e["value"].alias("value"), e["entity_type"].alias("entity_type"),
+            F.coalesce(F.get(F.filter(F.col("_p.entities"), lambda m: (m["index"] == i) & m["class"].isin(*CLASSES)), F.lit(0))["class"], e["class"]).alias("class"),
+        ),
+    )
+    good = F.col("_p").isNotNull()
+    plain = F.transform("extracted_entities", lambda e: F.struct(e["value"].alias("value"), e["entity_type"].alias("entity_type"), e["class"].alias("class")))
+    merged = F.transform(F.when(good, refined).otherwise(plain), lambda e: F.struct(
+        e["value"].alias("value"), F.lower(F.when(T.looks_like_email(e["value"]), "Email").otherwise(F.coalesce(e["class"], e["entity_type"]))).alias("entity_type"),
+        F.when(T.looks_like_email(e["value"]), F.lit("Email")).otherwise(e["class"]).alias("class"),
+    ))
+    return out.select(
+        *[c for c in docs.columns if c not in ("extracted_entities", reply)], merged.alias("extracted_entities"),
+        F.when(good, T.normalize_tag(F.col("_p.topic"))).alias("topic"), F.when(good, MERGED_VERSION).otherwise(PATTERN_VERSION).alias("entities_version"),
+    )
+
+
+def relations(docs: DataFrame, reply: str = "reply") -> DataFrame:
+    """(doc_id, s, predicate, o): a reply's triples between entities named e_N, by position."""
+    parsed = docs.select("doc_id", F.explode(T.parse_json_reply(F.col(reply), RELATIONS)["triples"]).alias("t"))
+    position = lambda c: F.regexp_extract(c, "^e_([0-9]+)$", 1).try_cast("int")
+    return parsed.select("doc_id", position(F.col("t.subject")).alias("s"), F.col("t.predicate").alias("predicate"), position(F.col("t.object")).alias("o")).where("s is not null and o is not null")
+
+
+def stream_frames(lines: DataFrame) -> DataFrame:
+    """(message_id, seq, kind, token, cumulative_index) from server-sent or line-wise JSON frames.
+
+    Understood are `data: {...}` and bare JSON lines whose text stands in the common places; `[DONE]` and a true `done` end a stream.
+    """
+    body = F.regexp_replace(F.trim("line"), "^data:\\s*", "")
+    shape = "done boolean, error struct<message:string>, response string, message struct<content:string>, delta struct<text:string>, type string, choices array<struct<delta:struct<content:string>,finish_reason:string>>"
+    j = F.when(F.try_parse_json(body).isNotNull(), F.from_json(body, shape))
+    token = F.coalesce(j["choices"][0]["delta"]["content"], j["delta"]["text"], j["message"]["content"], j["response"])
+    kind = F.when(j["error"].isNotNull(), "error").when((body == "[DONE]") | j["done"] | (j["type"] == "message_stop"), "done").when(token.isNotNull() & (token != ""), "token")
+    from pyspark.sql import Window
+
+    out = lines.select("message_id", "seq", kind.alias("kind"), token.alias("token")).where("kind is not null")
+    w = Window.partitionBy("message_id").orderBy("seq")
+    return out.withColumn("cumulative_index", F.sum(F.when(F.col("kind") == "token", F.char_length("token")).otherwise(0)).over(w))
