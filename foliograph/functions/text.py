@@ -1,15 +1,17 @@
-"""Text functions as column expressions (all inside the JVM)."""
+"""Text functions as column expressions (inside the JVM but for excerpts)."""
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .constants import CORPORATE_SUFFIXES, TYPE_NAMES, UNIT_PATTERN
 
-BLANK = r"[\s]+"
+_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 def words(text: Column) -> Column:
@@ -22,16 +24,35 @@ def clean_word(word: Column) -> Column:
     return F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
 
 
+def excerpt_of(text: str | None, query: str | None, window: int = 30) -> str | None:
+    """The first window of words that holds most words of the query, in one pass with a running count."""
+    if text is None:
+        return None
+    all_words = text.split()
+    wanted = {w for q in (query or "").lower().split() if (w := _EDGES.sub("", q))}
+    if len(all_words) <= window or not wanted:
+        return " ".join(all_words[:window])
+    hits = [_EDGES.sub("", w.lower()) in wanted for w in all_words]
+    score = best = sum(hits[:window])
+    at = 0
+    for start in range(1, len(all_words) - window + 1):
+        score += hits[start + window - 1] - hits[start - 1]
+        if score > best:
+            best, at = score, start
+    return " ".join(all_words[at : at + window])
+
+
 def best_excerpt(text: Column, query: Column, window: int = 30) -> Column:
-    """The first window of words that holds most words of the query."""
-    all_words, wanted = words(text), F.filter(F.transform(words(F.lower(query)), clean_word), lambda w: w != "")
-    n = F.size(all_words)
-    hits = F.transform(all_words, lambda w: F.array_contains(wanted, clean_word(F.lower(w))).cast("int"))
-    starts = F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)))
-    scored = F.transform(starts, lambda s: F.struct(F.aggregate(F.slice(hits, s + 1, window), F.lit(0), lambda a, h: a + h).alias("score"), (-s).alias("at")))
-    best = -F.array_max(scored)["at"]
-    at = F.when((n <= window) | (F.size(wanted) == 0), F.lit(0)).otherwise(best)
-    return F.array_join(F.slice(all_words, at + 1, window), " ")
+    """`excerpt_of` in Arrow batches.
+
+    As an expression its arrays would be evaluated again for every window: lambdas share nothing.
+    """
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, queries: pd.Series) -> pd.Series:
+        return pd.Series([excerpt_of(t, q, window) for t, q in zip(texts, queries, strict=True)])
+
+    return run(text, query)
 
 
 def chunks(text: Column, size: int, overlap: int) -> Column:
@@ -64,7 +85,7 @@ def short_name(value: Column, entity_class: Column) -> Column:
     suffix = "(?i)(?:" + "|".join(s.replace(".", r"\.") for s in ordered) + ")$"
     stem = F.regexp_replace(F.regexp_replace(value, suffix, ""), "[,. ]+$", "")
     organisation = F.when(value.rlike(suffix) & (stem != ""), stem)
-    parts = F.filter(F.transform(F.split(value, "-"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(value, "-"), lambda s: F.trim(s)), lambda s: s != "")
     last, two = F.element_at(parts, -1), F.array_join(F.slice(parts, -2, 2), " ")
     unit = F.when(F.size(parts) >= 2, F.when(last.rlike(UNIT_PATTERN), collapse(last)).when(two.rlike(UNIT_PATTERN), collapse(two)))
     ruled = F.when(entity_class == "Organization", organisation).when(entity_class == "Location", unit)

@@ -28,8 +28,9 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
 
 def normalise(v: Column) -> Column:
     """Unit length; a zero vector stays."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(as_doubles(v), lambda x: x / n)).otherwise(as_doubles(v))
+    # the norm is bound once: inside a lambda it would be summed again for every element
+    bound = F.transform(F.array(norm(v)), lambda n: F.when(n > 0, F.transform(as_doubles(v), lambda x: x / n)).otherwise(as_doubles(v)))
+    return F.get(bound, F.lit(0))
 
 
 def clamp(x: Column) -> Column:

@@ -24,10 +24,30 @@ def auto_k(n: int, sub: bool = False) -> int:
 
 
 def _assign(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """(id, vector, cluster): the most similar centroid, the lowest of equals.  k centroids are bounded by k <= 20 or sqrt(n)."""
-    table = F.array(*[F.array(*map(F.lit, row)) for row in centroids.tolist()])
-    scored = F.transform(table, lambda c, i: F.struct(V.dot(F.col("vector"), c).alias("s"), (-i).alias("at")))
-    return vectors.withColumn("cluster", -F.array_max(scored)["at"])
+    """(id, cluster): the most similar centroid, the lowest of equals.  Vectors meet the k centroids in Arrow batches."""
+
+    def run(batches):
+        for part in batches:
+            x = np.array(part["vector"].tolist()).reshape(-1, centroids.shape[1])
+            yield pd.DataFrame({"id": part["id"], "cluster": (x @ centroids.T).argmax(1)})
+
+    return vectors.mapInPandas(run, "id long, cluster int")
+
+
+def _sums(vectors: DataFrame, centroids: np.ndarray) -> list:
+    """Per cluster: size, a print of its members, and the sum of its vectors, summed per batch before the shuffle."""
+
+    def run(batches):
+        for part in batches:
+            x = np.array(part["vector"].tolist()).reshape(-1, centroids.shape[1])
+            best = (x @ centroids.T).argmax(1)
+            ids = (part["id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)
+            rows = [(j, int((best == j).sum()), int(ids[best == j].sum() & np.uint64((1 << 62) - 1)), x[best == j].sum(0)) for j in np.unique(best)]
+            yield pd.DataFrame(rows, columns=["cluster", "n", "print", "sum"])
+
+    parts = vectors.mapInPandas(run, "cluster int, n long, print long, sum array<double>")
+    dims = [F.sum(F.get("sum", F.lit(d))) for d in range(centroids.shape[1])]
+    return parts.groupBy("cluster").agg(F.sum("n").alias("n"), F.bit_xor("print").alias("print"), F.array(*dims).alias("sum")).collect()
 
 
 def seeds(vectors: DataFrame, k: int, init: str = "reference") -> np.ndarray:
@@ -38,10 +58,17 @@ def seeds(vectors: DataFrame, k: int, init: str = "reference") -> np.ndarray:
     """
     chosen = [np.array(vectors.orderBy("id").limit(1).collect()[0]["vector"])]
     while len(chosen) < k:
-        likes = F.array(*[V.dot(F.col("vector"), F.array(*map(F.lit, c.tolist()))) for c in chosen])
-        gap = 1 - (F.array_min(likes) if init == "reference" else F.array_max(likes))
-        row = vectors.select(F.max_by("vector", F.struct(gap.alias("g"), (-F.col("id")).alias("i"))).alias("v")).collect()[0]
-        chosen.append(np.array(row["v"]))
+        have = np.array(chosen)
+
+        def run(batches, have=have):
+            for part in batches:
+                likes = np.array(part["vector"].tolist()).reshape(-1, have.shape[1]) @ have.T
+                gap = 1 - (likes.min(1) if init == "reference" else likes.max(1))
+                best = np.lexsort((part["id"], -gap))[:1]
+                yield part.iloc[best].assign(gap=gap[best])
+
+        found = vectors.mapInPandas(run, "id long, vector array<double>, gap double")  # one row a batch
+        chosen.append(np.array(found.orderBy(F.desc("gap"), "id").limit(1).collect()[0]["vector"]))
     return np.array(chosen)
 
 
@@ -57,10 +84,9 @@ def kmeans(rows: DataFrame, k: int | None = None, init: str = "reference", round
         place = F.row_number().over(Window.orderBy("id")) - 1  # no more rows than clusters
         return vectors.select("id", F.concat(F.lit("space-"), place).alias("space_id"))
     centroids = seeds(vectors, k, init)
-    size, before = centroids.shape[1], None
+    before = None
     for _ in range(rounds):
-        assigned = _assign(vectors, centroids)
-        sums = assigned.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id") % 1_000_003).alias("print"), F.array(*[F.sum(F.get("vector", F.lit(d))) for d in range(size)]).alias("sum")).collect()
+        sums = _sums(vectors, centroids)
         now = {r["cluster"]: (r["n"], r["print"]) for r in sums}
         if now == before:
             break
@@ -200,7 +226,7 @@ def name_signals(docs: DataFrame) -> DataFrame:
 
     kinds = docs.select("space_id", F.explode("entity_types").alias("kind")).withColumn("kind", F.lower("kind")).where(~F.col("kind").isin("person", "organization", "location"))
     types = docs.select("space_id", F.lower("doc_type").alias("type")).where("type is not null")
-    parts = docs.select("space_id", "doc_id", F.explode(F.array_distinct(F.transform(F.split(F.lower("path"), "/"), F.trim))).alias("segment")).where("octet_length(segment) > 2")
+    parts = docs.select("space_id", "doc_id", F.explode(F.array_distinct(F.transform(F.split(F.lower("path"), "/"), lambda s: F.trim(s)))).alias("segment")).where("octet_length(segment) > 2")
     segments = parts.groupBy("space_id", "segment").agg(F.countDistinct("doc_id").alias("docs"))
     sizes = docs.groupBy("space_id").agg(F.countDistinct("doc_id").alias("n"))
     major = segments.join(sizes, "space_id").where("docs * 2 >= n").groupBy("space_id").agg(F.array_join(F.array_sort(F.collect_set("segment")), "/").alias("segments"))

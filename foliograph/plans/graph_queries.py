@@ -258,7 +258,7 @@ def trp_related(spark, sf_dir):
     return R.all_related(_store(spark, sf_dir), F.lit("c12"))
 
 
-@query(CLOSED + "SELECT s AS subject_id FROM m WHERE p = 'located_in' AND o = 'n4'")
+@query(BASE_TRIPLES + "SELECT DISTINCT s AS subject_id FROM t WHERE p = 'located_in' AND o = 'n4'")
 def trp_subjects(spark, sf_dir):
     return R.subjects_of(_store(spark, sf_dir), "located_in", F.lit("n4"))
 
@@ -278,7 +278,7 @@ def trp_page(spark, sf_dir):
 @query(BASE_TRIPLES + """
 , k AS (SELECT DISTINCT s, o, CASE CAST(substr(o, 2) AS INTEGER) % 3 WHEN 0 THEN CASE WHEN lower(p_name) LIKE '%plot%' OR lower(p_name) LIKE '%land%' OR lower(p_name) LIKE '%property%' THEN 'Property' WHEN lower(p_name) LIKE '%car%' OR lower(p_name) LIKE '%vehicle%' OR lower(p_name) LIKE '%bike%' OR lower(p_name) LIKE '%scooter%' THEN 'Vehicle' ELSE 'Other' END WHEN 1 THEN 'Business' ELSE 'Financial' END AS a
   FROM t JOIN part ON o = 'p' || p_partkey WHERE p = 'owns')
-SELECT s AS subject_id, a AS asset_type, count(*) AS n, sum(count(*)) OVER (PARTITION BY s) AS total FROM k GROUP BY s, a
+SELECT s AS subject_id, a AS asset_type, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY s) AS BIGINT) AS total FROM k GROUP BY s, a
 """)
 def trp_ownership(spark, sf_dir):
     part = table(spark, sf_dir, "part")
@@ -348,7 +348,7 @@ def chat_valid(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where(S.valid_message(F.col("text"))).select("conv_id", "turn")
 
 
-@query("SELECT conv_id AS message_id, string_agg(replace(text, chr(10), ' '), '' ORDER BY turn, role) AS content, 'done' AS state, sum(length(text)) AS n FROM conversations GROUP BY 1")
+@query("SELECT conv_id AS message_id, string_agg(replace(text, chr(10), ' '), '' ORDER BY turn, role) AS content, 'done' AS state, CAST(sum(length(text)) AS BIGINT) AS n FROM conversations GROUP BY 1")
 def chat_stream(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))
     numbered = rows.withColumn("seq", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role")))
@@ -367,7 +367,7 @@ def store_upsert(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 3.0 ELSE 2.5 END AS entities_version, CASE WHEN doc_id % 3 = 0 THEN 'organization' ELSE 'person' END AS entity_type, CASE WHEN doc_id % 3 = 0 THEN 'tax_papers' END AS topic FROM documents
+SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 3.0 ELSE 2.5 END AS DOUBLE) AS entities_version, CASE WHEN doc_id % 3 = 0 THEN 'organization' ELSE 'person' END AS entity_type, CASE WHEN doc_id % 3 = 0 THEN 'tax_papers' END AS topic FROM documents
 """)
 def llm_two_pass(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id")

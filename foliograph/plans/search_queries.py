@@ -57,8 +57,8 @@ def vec_rerank(spark, sf_dir):
     return S.rerank(keyed.withColumn("logit", S.attention_logit(F.col("q"), F.col("k")))).select("query_id", "id", F.round("reranked", 6).alias("reranked"))
 
 
-@query(PAIRS + """, j AS (SELECT *, ((label = query_label)::INT + (id % 7 = query_id % 7)::INT) AS both FROM f WHERE id <> query_id),
-c AS (SELECT query_id, id, 0.55 * s + 0.35 * (both / (4.0 - both)) + 0.10 * recent AS score FROM j)
+@query(PAIRS + """, j AS (SELECT *, ((label = query_label)::INT + (id % 7 = query_id % 7)::INT) AS n_shared FROM f WHERE id <> query_id),
+c AS (SELECT query_id, id, 0.55 * s + 0.35 * (n_shared / (4.0 - n_shared)) + 0.10 * recent AS score FROM j)
 SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM c WHERE score >= 0.3) WHERE place <= 5""")
 def vec_related_scored(spark, sf_dir):
     out = S.related_scored(_rows(spark, sf_dir), _queries(spark, sf_dir), F.lit(AS_OF).cast("timestamp"))
@@ -245,11 +245,11 @@ def space_hint(spark, sf_dir):
 
 
 @query("""
-SELECT 's' || doc_id % 9 AS space_id, count(*) AS document_count, list(CAST(doc_id AS VARCHAR) ORDER BY CAST(doc_id AS VARCHAR))[1:3] AS sample_files FROM documents GROUP BY 1
+SELECT 's' || doc_id % 9 AS space_id, count(*) AS document_count, array_to_string(list(CAST(doc_id AS VARCHAR) ORDER BY CAST(doc_id AS VARCHAR))[1:3], ',') AS sample_files FROM documents GROUP BY 1
 """)
 def space_assemble(spark, sf_dir):
     cur, _, _ = _members(spark, sf_dir)
-    return P.assemble(cur, cur.select("id", F.col("id").cast("string").alias("title")))
+    return P.assemble(cur, cur.select("id", F.col("id").cast("string").alias("title"))).withColumn("sample_files", F.array_join("sample_files", ","))
 
 
 @query("SELECT doc_id AS id, CASE WHEN doc_id = 10 THEN 's5' ELSE 's' || doc_id % 9 END AS space_id FROM documents")

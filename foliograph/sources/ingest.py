@@ -5,9 +5,11 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Callable
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,17 +150,18 @@ def truncated(text: Column, most: int = 2000) -> Column:
 
 
 def hashing_embedder(size: int = 64) -> Callable[[Column], Column]:
-    """A deterministic embedder: signed hashed word counts, unit length, all in the JVM."""
-
-    def embed(text: Column) -> Column:
-        words = T.words(F.lower(text))
-        slots = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(size)).cast("int").alias("at"), F.when(F.xxhash64(F.lit("sign"), w) % 2 == 0, 1.0).otherwise(-1.0).alias("x")))
-        zero = F.array_repeat(F.lit(0.0), size)
-        total = F.aggregate(slots, zero, lambda acc, s: F.transform(acc, lambda v, i: F.when(i == s["at"], v + s["x"]).otherwise(v)))
-        n = F.sqrt(F.aggregate(total, F.lit(0.0), lambda a, v: a + v * v))
-        return F.transform(total, lambda v: F.when(n > 0, v / n).otherwise(0.0).cast("float"))
-
-    return embed
+    """A deterministic embedder: signed hashed word counts, unit length, in Arrow batches."""
+
+    @F.pandas_udf("array<float>")
+    def run(texts: pd.Series) -> pd.Series:
+        out = np.zeros((len(texts), size))
+        for n, text in enumerate(texts):
+            codes = np.array([zlib.crc32(w.encode()) for w in (text or "").lower().split()], np.int64)
+            np.add.at(out[n], codes % size, np.where(codes >> 20 & 1, 1.0, -1.0))
+        out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+        return pd.Series(list(out.astype(np.float32)))
+
+    return lambda text: run(text)
 
 
 def preview(files: DataFrame, most: int = PREVIEW_BYTES) -> DataFrame:
