@@ -1,4 +1,4 @@
-"""Connected components by label propagation with pointer jumping."""
+"""Connected components by label propagation with hooking and pointer jumping."""
 
 from __future__ import annotations
 
@@ -19,24 +19,33 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder and read again: iterations stay short and survive lost executors."""
+    """`df` written to the shared folder and read again: lineage is cut, and lost executors lose nothing."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root): the least node that each node of the undirected edges (a, b) reaches."""
-    links = edges.where("a <> b")
-    both = materialise(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
+    """(node, root): the smallest node reachable from each node of the undirected `edges` (a long, b long).
+
+    Each round every node takes the least label of its neighbours, labels hang themselves
+    under the least label around their nodes, and every node jumps to its label's label, so
+    paths shorten by half or more.  Labels only fall; the rounds end when none did.
+    """
+    edges = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")), "labels")
     for _ in range(most_rounds):
-        heard = both.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "root").union(labels)
-        lower = heard.groupBy("node").agg(F.min("root").alias("root"))
-        ends = labels.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-        jumped = lower.join(ends, F.col("root") == F.col("_n"), "left").select("node", F.least("root", F.coalesce("_r", "root")).alias("root"))
-        compared = materialise(jumped.join(labels.withColumnRenamed("root", "old"), "node"), "labels")
-        labels = compared.select("node", "root")
-        if not compared.where("root < old").limit(1).count():
+        near = both.join(labels, both["b"] == labels["node"]).select(both["a"].alias("node"), "root")
+        own = labels.select("node", "root")
+        around = near.union(own).groupBy("node").agg(F.min("root").alias("root"))
+        hooks = around.join(own.withColumnRenamed("root", "old"), "node").where("root < old").select(F.col("old").alias("node"), "root")
+        lower = around.union(hooks).groupBy("node").agg(F.min("root").alias("root"))
+        jump = lower.select(F.col("node").alias("_at"), F.col("root").alias("_to"))
+        once = lower.join(jump, lower["root"] == jump["_at"], "left").select("node", F.coalesce("_to", "root").alias("root"))
+        following = materialise(once.join(own.withColumnRenamed("root", "old"), "node"), "labels")
+        moved = following.where("root < old").limit(1).count()
+        labels = following.select("node", "root")
+        if not moved:
             return labels
     raise RuntimeError("components did not settle")
