@@ -1,35 +1,5 @@
-"""Connected components of a graph held in DataFrames."""
+"""Connected components, as the library has them."""
 
-from __future__ import annotations
+from ..operators.components import connected
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .shared import written
-
-
-def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node reachable from each node of the undirected `edges` (a long, b long).
-
-    Each round every node takes the least label of its neighbours, and labels jump to the
-    labels of their nodes, so paths shorten by half or more.  Labels only fall; the rounds
-    end when none did.  Labels are written to the shared folder each round.
-    """
-    edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")), "labels")
-    for _ in range(most_rounds):
-        # the least label around each node, and around each label by way of its nodes
-        near = both.join(labels, both["b"] == labels["node"]).select(both["a"].alias("node"), "root")
-        own = labels.select("node", "root")
-        around = near.union(own).groupBy("node").agg(F.min("root").alias("root"))
-        hooks = around.join(own.withColumnRenamed("root", "old"), "node").where("root < old").select(F.col("old").alias("node"), "root")
-        lower = around.union(hooks).groupBy("node").agg(F.min("root").alias("root"))
-        jump = lower.select(F.col("node").alias("_at"), F.col("root").alias("_to"))
-        once = lower.join(jump, lower["root"] == jump["_at"], "left").select("node", F.coalesce("_to", "root").alias("root"))
-        following = written(once.join(own.withColumnRenamed("root", "old"), "node"), "labels")
-        moved = following.where("root < old").limit(1).count()
-        labels = following.select("node", "root")
-        if not moved:
-            return labels
-    raise RuntimeError("components did not settle")
+__all__ = ["connected"]

@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from ..operators.components import materialise as written
+from ..operators.components import shared_folder
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under `spark.checkpoint.dir`; where that is unset (local tests), under a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='foliograph-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+__all__ = ["shared_dir", "written"]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a table in the shared folder: its lineage is cut, and lost executors lose nothing."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder's name under `spark.checkpoint.dir`."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
