@@ -1,6 +1,7 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
-Benchmark items and texts are normalised (A-Z lower-cased, white space runs one space).  An
+Benchmark items and texts are normalised (A-Z and Latin-1 capitals lower-cased, white space
+runs one space).  An
 item of m characters that occurs in a text with at most k = floor(`error` * m) edits shares
 at least m - q + 1 - q * k of its q-grams with it, all within k + 1 neighbouring diagonals.
 Shared q-grams are counted in bands of 2 (k + 1) diagonals that overlap by half, so one band
@@ -55,6 +56,8 @@ class Index:
 def normalised(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Normalised bytes, document offsets in them, and where each byte came from."""
     low = LOWER[data]
+    capital = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+    low[capital] += 32  # accented Latin capitals
     keep = np.ones(len(low), bool)
     keep[1:] = (low[1:] != 32) | (low[:-1] != 32)
     heads = start[:-1][start[:-1] < len(low)]

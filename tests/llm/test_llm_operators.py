@@ -269,7 +269,7 @@ def test_decontamination(spark):
             p, how = rng.randrange(len(x)), rng.random()
             x[p : p + (how < 0.66)] = [] if how < 0.33 else [rng.choice("abcxyz")]
         texts.append("intro words " * rng.randint(0, 4) + "".join(x) + " and the end")
-        low = lambda s: re.sub(rb"[\x20\x09-\x0d]+", b" ", s.encode()).lower().strip()
+        low = lambda s: re.sub(rb"[\x20\x09-\x0d]+", b" ", re.sub("[A-ZÀ-ÖØ-Þ]", lambda m: m.group().lower(), s).encode()).strip()
         edits, budget = semi_global(low(item.text), low(texts[-1])), int(decontamination.ERROR * len(low(item.text)))
         want[n, item.item_id] = edits if edits <= budget else None
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
