@@ -129,3 +129,12 @@ def favourites(docs: DataFrame) -> DataFrame:
 
 def toggle_favourite(docs: DataFrame, doc_id: str) -> DataFrame:
     return docs.withColumn("is_favorite", F.when(F.col("doc_id") == doc_id, ~F.col("is_favorite")).otherwise(F.col("is_favorite")))
+
+
+def narrow_topic(rows: DataFrame, topic: str | None) -> DataFrame:
+    return rows if topic is None else rows.where(F.col("topic") == topic)
+
+
+def tag_kind(rows: DataFrame, kind: str | None) -> DataFrame:
+    """Tags of one kind (`auto` or `user`); all without one."""
+    return rows if kind is None else rows.where(F.col("tag_type") == kind)

@@ -122,3 +122,8 @@ def hyperbolic_nearest(spaces: DataFrame, point: Column, k: int = 3) -> DataFram
 
 def click_reward(position: Column) -> Column:
     return 1 / (1 + position)
+
+
+def trajectory_quality(hits: DataFrame) -> DataFrame:
+    """(query_id, quality): the mean score of a search's hits."""
+    return hits.groupBy("query_id").agg(F.avg("score").alias("quality"))

@@ -278,3 +278,51 @@ def related_spaces(members: DataFrame) -> DataFrame:
     sets = members.groupBy("id").agg(F.collect_set("space_id").alias("s")).where("size(s) > 1")
     one = sets.select("s", F.explode("s").alias("space_id"))
     return one.select("space_id", F.explode("s").alias("other_id")).where("space_id <> other_id").distinct()
+
+
+def label_inputs(docs: DataFrame, found: DataFrame, titles: int = 20, classes: int = 5, topics: int = 3, tags: int = 10) -> DataFrame:
+    """(space_id, titles, classes, topics, tags): what a label request tells about a cluster.
+
+    `docs` (space_id, title, topic, tags), `found` (space_id, class): the first titles in order,
+    and the most frequent classes (`Class: n`), topics and tags, ties by name.
+    """
+    def most(rows: DataFrame, key: str, n: int, shown: Column, out: str) -> DataFrame:
+        counts = rows.where(F.col(key).isNotNull()).groupBy("space_id", key).agg(F.count("*").alias("n"))
+        w = Window.partitionBy("space_id").orderBy(F.desc("n"), key)
+        best = counts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
+        listed = F.array_sort(F.collect_list(F.struct("_r", shown.alias("x"))))
+        return best.groupBy("space_id").agg(listed.alias("l")).select("space_id", F.col("l.x").alias(out))
+
+    w = Window.partitionBy("space_id").orderBy("title")
+    first = docs.select("space_id", "title").distinct().withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= titles)
+    out = first.groupBy("space_id").agg(F.array_sort(F.collect_list("title")).alias("titles"))
+    parts = (
+        most(found, "class", classes, F.concat("class", F.lit(": "), "n"), "classes"), most(docs, "topic", topics, F.col("topic"), "topics"),
+        most(docs.select("space_id", F.explode("tags").alias("tag")), "tag", tags, F.col("tag"), "tags"),
+    )
+    for part in parts:
+        out = out.join(part, "space_id", "left")
+    return out
+
+
+def sub_label_plan(subs: DataFrame, cache: DataFrame) -> DataFrame:
+    """(sub_id, decision) of `subs` (sub_id, id): misc and unchanged memberships stay, others get a new label."""
+    prints = fingerprints(subs.select(F.col("sub_id").alias("space_id"), "id"))
+    known = cache.select(F.col("sub_id").alias("space_id"), F.col("fingerprint").alias("_known"))
+    decision = F.when(F.col("space_id").endswith("-misc") | (F.col("fingerprint") == F.col("_known")), "skip").otherwise("llm")
+    return prints.join(known, "space_id", "left").select(F.col("space_id").alias("sub_id"), decision.alias("decision"))
+
+
+def keep_sub_labels(sub_cache: DataFrame, previous: DataFrame, current: DataFrame) -> DataFrame:
+    """Sub-space labels (parent_id, ...) of parents of which at most a fifth of the members changed."""
+    steady = membership_change(previous, current).where(5 * F.col("changed") <= F.col("united")).select(F.col("space_id").alias("parent_id"))
+    return sub_cache.join(steady, "parent_id", "left_semi")
+
+
+def ordered_subs(subs: DataFrame) -> DataFrame:
+    """Sub-spaces by documents, misc last."""
+    return subs.orderBy(F.col("sub_id").endswith("-misc"), F.desc("document_count"), "sub_id")
+
+
+def spaces_of(members: DataFrame, doc_id: int) -> DataFrame:
+    return members.where(F.col("id") == doc_id).select("space_id")

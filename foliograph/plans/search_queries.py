@@ -272,3 +272,52 @@ def vec_snippet(spark, sf_dir):
     return docs.select("doc_id", S.snippet(F.col("excerpt"), F.array(F.lit("Topic:the"), F.lit("Zone:xyzzy"))).alias("snippet")).where("snippet is not null")
 
 
+
+
+LABELS = """
+WITH d AS (SELECT 's' || doc_id % 9 AS space_id, source AS title, lang AS class, CASE WHEN lang <> 'de' THEN lang END AS topic, 'tag' || n_chars % 13 AS tag FROM documents),
+c AS (SELECT space_id, class || ': ' || count(*) AS x, row_number() OVER (PARTITION BY space_id ORDER BY count(*) DESC, class) AS r FROM d GROUP BY space_id, class QUALIFY r <= 5),
+p AS (SELECT space_id, topic AS x, row_number() OVER (PARTITION BY space_id ORDER BY count(*) DESC, topic) AS r FROM d WHERE topic IS NOT NULL GROUP BY space_id, topic QUALIFY r <= 3),
+g AS (SELECT space_id, tag AS x, row_number() OVER (PARTITION BY space_id ORDER BY count(*) DESC, tag) AS r FROM d GROUP BY space_id, tag QUALIFY r <= 10)
+SELECT t.space_id, t.titles, (SELECT string_agg(x, ';' ORDER BY r) FROM c WHERE c.space_id = t.space_id) AS classes, (SELECT string_agg(x, ';' ORDER BY r) FROM p WHERE p.space_id = t.space_id) AS topics,
+  (SELECT string_agg(x, ';' ORDER BY r) FROM g WHERE g.space_id = t.space_id) AS tags
+FROM (SELECT space_id, array_to_string(list(DISTINCT title ORDER BY title)[1:20], ';') AS titles FROM d GROUP BY space_id) t
+"""
+
+
+@query(LABELS)
+def space_label_inputs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(
+        F.concat(F.lit("s"), F.col("doc_id") % 9).alias("space_id"), F.col("source").alias("title"), F.col("lang").alias("class"), F.when(F.col("lang") != "de", F.col("lang")).alias("topic"),
+        F.array(F.concat(F.lit("tag"), F.col("n_chars") % 13)).alias("tags"),
+    )
+    out = P.label_inputs(rows, rows)
+    return out.select("space_id", *[F.array_join(c, ";").alias(c) for c in ("titles", "classes", "topics", "tags")])
+
+
+@query("""
+SELECT 's' || k || '-' || n AS sub_id, CASE WHEN n = 'misc' OR k % 2 = 0 THEN 'skip' ELSE 'llm' END AS decision FROM (SELECT DISTINCT doc_id % 4 AS k, CASE WHEN doc_id % 3 = 0 THEN 'misc' ELSE 'sub-' || doc_id % 3 END AS n FROM documents)
+""")
+def space_sub_plan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    tail = F.when(F.col("doc_id") % 3 == 0, "misc").otherwise(F.concat(F.lit("sub-"), F.col("doc_id") % 3))
+    subs = docs.select(F.concat(F.lit("s"), F.col("doc_id") % 4, F.lit("-"), tail).alias("sub_id"), F.col("doc_id").alias("id"))
+    prints = P.fingerprints(subs.select(F.col("sub_id").alias("space_id"), "id"))
+    even = F.regexp_extract("space_id", "s([0-9])", 1).cast("int") % 2 == 0
+    return P.sub_label_plan(subs, prints.select(F.col("space_id").alias("sub_id"), F.when(even, F.col("fingerprint")).otherwise("old").alias("fingerprint")))
+
+
+@query(MEMBERS + """
+, ch AS (SELECT coalesce(c.space_id, p.space_id) AS space_id, sum(CASE WHEN c.id IS NULL OR p.id IS NULL THEN 1 ELSE 0 END) AS changed, count(*) AS united FROM cur c FULL JOIN prev p ON c.space_id = p.space_id AND c.id = p.id GROUP BY 1)
+SELECT space_id AS parent_id, space_id || '-sub-0' AS sub_id FROM ch WHERE 5 * changed <= united
+""")
+def space_keep_sub_labels(spark, sf_dir):
+    cur, prev, _ = _members(spark, sf_dir)
+    cache = spark.range(9).select(F.concat(F.lit("s"), "id").alias("parent_id"), F.concat(F.lit("s"), "id", F.lit("-sub-0")).alias("sub_id"))
+    return P.keep_sub_labels(cache, prev, cur)
+
+
+@query(PAIRS + "SELECT query_id, round(avg(score), 6) AS quality FROM f GROUP BY query_id")
+def vec_trajectory(spark, sf_dir):
+    return S.trajectory_quality(S.search(_rows(spark, sf_dir), _queries(spark, sf_dir), F.lit(AS_OF).cast("timestamp"))).withColumn("quality", F.round("quality", 6))

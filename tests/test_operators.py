@@ -135,3 +135,26 @@ def test_index_stream(spark, tmp_path):
     (tmp_path / "in" / "b.txt").write_text("second")
     streams.index_stream(streams.watch(spark, inbox), table, ddl, check).awaitTermination()
     assert {r["title"] for r in spark.read.parquet(f"{table}/v=1").collect()} == {"a.txt", "b.txt"}
+
+
+def test_vector_pairs_recall(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 32))
+    x = np.concatenate([c + 0.45 * rng.normal(size=(4, 32)) for c in centres])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j) for i in range(160) for j in range(i + 1, 160) if unit[i] @ unit[j] >= 0.75}
+    canon = spark.createDataFrame([(i, "t", v.tolist()) for i, v in enumerate(x)], "id long, entity_type string, embedding array<double>")
+    got = {(r["a"], r["b"]) for r in E.vector_pairs(canon).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) > 0
+    assert {(r["a"], r["b"]) for r in E.vector_pairs(canon, tables=0).collect()} == want
+
+
+def test_settings(spark, tmp_path):
+    from foliograph.functions import settings
+
+    path = str(tmp_path / "settings")
+    assert settings.read(spark, path) == settings.Settings()
+    settings.write(spark, path, settings.patch(settings.Settings(), llm_enabled=True, llm_model=None))
+    assert settings.read(spark, path).llm_enabled
