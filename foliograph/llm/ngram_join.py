@@ -37,7 +37,7 @@ from .components import connected
 from .shared import written
 
 SIZE, PERCENT = 5, 80
-FAMILY_SHINGLES, BLOCK_ROWS, PIVOTS = 2_000_000, 1500, 4
+FAMILY_SHINGLES, BLOCK_ROWS, PIVOTS = 500_000, 400, 4
 MESSAGE = "part int, chunk int, body binary, more binary"
 CLASS_SEEDS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xABD07E4F2C1B9E55))
 CELLS_PER_SHINGLE = 8

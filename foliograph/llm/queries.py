@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, line_quality, mixing, ngram_join, personal_data, quality_rules, secret_scan, sharding, substring_dedup, token_files
+from .oracles import ORACLE_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +18,7 @@ def op1_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.repetition_rules(_table(spark, sf_dir, "documents"))
+    return quality_rules.repetition_rules(_table(spark, sf_dir, "documents")).drop("longest_repeat", "n_spans")
 
 
 def op3_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +62,5 @@ QUERIES = {f.__name__: f for f in (
     op6_bit_packed_ids, op7_anchor_pii, op8_count_min_substrings,
     op9_sainte_lague_mix, op10_markov_secrets,
 )}
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
