@@ -201,16 +201,28 @@ def space_stale_labels(spark, sf_dir):
     return P.stale_labels(cache, cur)
 
 
+def _collisions(part):
+    label = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.upper("p_brand"), F.lit(" "), "p_size")).otherwise(F.concat(F.lower("p_brand"), F.lit("  "), "p_size"))
+    rows = part.select(F.concat(F.lit("space-"), "p_partkey").alias("space_id"), label.alias("label"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).alias("hint"))
+    return P.resolve_collisions(rows).select("space_id", "collides", "label")
+
+
 @query("""
 WITH l AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) || ' ' || p_size ELSE lower(p_brand) || '  ' || p_size END AS label, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS hint FROM part WHERE p_partkey % 10 = 0 OR p_partkey % 10 = 1),
 c AS (SELECT *, count(*) OVER (PARTITION BY lower(trim(regexp_replace(label, '\\s+', ' ', 'g')))) > 1 AS collides FROM l)
 SELECT 'space-' || p_partkey AS space_id, collides, CASE WHEN collides THEN label || ' — ' || coalesce(hint, CAST(p_partkey + 1 AS VARCHAR)) ELSE label END AS label FROM c
 """)
 def space_collisions(spark, sf_dir):
-    part = table(spark, sf_dir, "part").where("p_partkey % 10 in (0, 1)")
-    label = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.upper("p_brand"), F.lit(" "), "p_size")).otherwise(F.concat(F.lower("p_brand"), F.lit("  "), "p_size"))
-    rows = part.select(F.concat(F.lit("space-"), "p_partkey").alias("space_id"), label.alias("label"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).alias("hint"))
-    return P.resolve_collisions(rows).select("space_id", "collides", "label")
+    return _collisions(table(spark, sf_dir, "part").where("p_partkey % 10 in (0, 1)"))
+
+
+@query("""
+WITH l AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) || ' ' || p_size ELSE lower(p_brand) || '  ' || p_size END AS label, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS hint FROM part),
+c AS (SELECT *, count(*) OVER (PARTITION BY lower(trim(regexp_replace(label, '\\s+', ' ', 'g')))) > 1 AS collides FROM l)
+SELECT 'space-' || p_partkey AS space_id, collides, CASE WHEN collides THEN label || ' — ' || coalesce(hint, CAST(p_partkey + 1 AS VARCHAR)) ELSE label END AS label FROM c
+""")
+def space_collisions_whole(spark, sf_dir):
+    return _collisions(table(spark, sf_dir, "part"))
 
 
 NAMED = """

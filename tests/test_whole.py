@@ -44,3 +44,12 @@ def test_triples_of_all_customers(spark, tables):
     assert owned == {o for s, p, o in want if s == "c12" and p == "owns"}
     left = {(r["subject_id"], r["predicate"], r["object_id"]) for r in QUERIES["trp_cleanup_whole"](spark, sf).collect()}
     assert left == {t for t, d in want.items() if d != {"d5"}}
+
+
+def test_collisions_of_all_parts(spark, tables):
+    parts = [(4, "B#1", 7, "four"), (10, "B#1", 7, "ten"), (9, "B#2", 3, "nine"), (5, "b#2", 3, "five"), (8, "B#3", 1, "eight")]
+    sf = tables(part=(parts, "p_partkey long, p_brand string, p_size int, p_name string"))
+    got = {r["space_id"]: (r["collides"], r["label"]) for r in QUERIES["space_collisions_whole"](spark, sf).collect()}
+    assert got == {
+        "space-4": (True, "B#1 7 — 5"), "space-10": (True, "B#1 7 — 11"), "space-9": (True, "b#2  3 — nine"), "space-5": (True, "b#2  3 — 6"), "space-8": (False, "B#3 1"),
+    }
