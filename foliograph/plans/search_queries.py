@@ -171,6 +171,19 @@ def space_nearest_previous(spark, sf_dir):
     return P.nearest_previous(now, before).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("""
+WITH e AS (SELECT label, vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS i FROM embeddings),
+cm AS (SELECT label, i, avg(x) AS x FROM e GROUP BY ALL), c AS (SELECT label, list(x ORDER BY i) AS v FROM cm GROUP BY label),
+pm AS (SELECT label, i, avg(x) AS x FROM e WHERE vec_id % 2 = 0 GROUP BY ALL), p AS (SELECT label, list(x ORDER BY i) AS v FROM pm GROUP BY label)
+SELECT 's' || c.label AS space_id, 's' || p.label AS previous_id, round(list_cosine_similarity(c.v, p.v), 6) AS similarity FROM c, p QUALIFY row_number() OVER (PARTITION BY c.label ORDER BY list_cosine_similarity(c.v, p.v) DESC, 's' || p.label DESC) = 1
+""")
+def space_nearest_previous_whole(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.concat(F.lit("s"), "label").alias("space_id"))
+    members = rows.select("id", "space_id")
+    now, before = P.centroids_of(rows, members, 64), P.centroids_of(rows, members.where("id % 2 = 0"), 64)
+    return P.nearest_previous(now, before).withColumn("similarity", F.round("similarity", 6))
+
+
 MEMBERS = """
 WITH cur AS (SELECT 's' || doc_id % 9 AS space_id, doc_id AS id FROM documents), prev AS (SELECT 's' || doc_id % 9 AS space_id, doc_id AS id FROM documents WHERE doc_id % 9 NOT IN (0, 1) AND (doc_id % 9 <> 2 OR doc_id % 4 <> 0)
   UNION ALL SELECT 's1', doc_id FROM documents WHERE doc_id % 9 = 0)

@@ -61,3 +61,13 @@ def test_hint_is_due_at_a_fifth_of_all_documents(spark, tables):
     rows = [(9 * n + k, v) for k, vs in values.items() for n, v in enumerate(vs)]
     sf = tables(documents=(rows, "doc_id long, source string"))
     assert {tuple(r) for r in QUERIES["space_hint_whole"](spark, sf).collect()} == {("s0", "x"), ("s2", "y")}
+
+
+def test_nearest_previous_by_all_dimensions(spark, tables):
+    # the labels differ in the last dimension only, and the first three point to the wrong one
+    def vector(x, y):
+        return [1.0, x, 0.0] + [0.0] * 60 + [y]
+
+    rows = [(0, vector(0.0, 9.0), 1), (1, vector(0.4, 9.0), 1), (2, vector(0.2, -9.0), 2), (3, vector(-0.2, -9.0), 2)]
+    sf = tables(embeddings=(rows, "vec_id long, embedding array<float>, label int"))
+    assert {(r["space_id"], r["previous_id"]) for r in QUERIES["space_nearest_previous_whole"](spark, sf).collect()} == {("s1", "s1"), ("s2", "s2")}
