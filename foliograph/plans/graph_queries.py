@@ -181,14 +181,26 @@ def ent_resolve(spark, sf_dir):
     return E.resolve(s.select(k.alias("id"), name.alias("name"), F.lit("Organization").alias("entity_type")))
 
 
+def _vectors(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("entity_type"))
+    moved = F.concat(F.array(F.get("embedding", F.lit(0)) + 0.1), F.slice("embedding", 2, 1 << 20))
+    return e.union(e.where("id % 3 = 0").select(F.col("id") + 10_000_000, moved, "entity_type"))
+
+
 @query("""
 WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings UNION ALL SELECT vec_id + 10000000, label, list_concat([CAST(embedding[1] AS DOUBLE) + 0.1], CAST(embedding[2:] AS DOUBLE[])) FROM embeddings WHERE vec_id % 3 = 0)
 SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.label = b.label AND a.id < b.id AND list_cosine_similarity(a.v, b.v) >= 0.9
 """)
 def ent_vector_merge(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("entity_type"))
-    moved = F.concat(F.array(F.get("embedding", F.lit(0)) + 0.1), F.slice("embedding", 2, 1 << 20))
-    return E.vector_pairs(e.union(e.where("id % 3 = 0").select(F.col("id") + 10_000_000, moved, "entity_type")), 0.9)
+    return E.vector_pairs(_vectors(spark, sf_dir), 0.9)
+
+
+@query("""
+WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings UNION ALL SELECT vec_id + 10000000, label, list_concat([CAST(embedding[1] AS DOUBLE) + 0.1], CAST(embedding[2:] AS DOUBLE[])) FROM embeddings WHERE vec_id % 3 = 0)
+SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.label = b.label AND a.id < b.id AND list_cosine_similarity(a.v, b.v) >= 0.75
+""")
+def ent_vector_merge_whole(spark, sf_dir):
+    return E.vector_pairs(_vectors(spark, sf_dir))
 
 
 @query(f"SELECT doc_id, value, CASE WHEN value = 'p7' THEN 'new' ELSE entity_type END AS canonical_id FROM ({MENTION_SQL})")

@@ -1,7 +1,9 @@
 """The whole-table queries against brute force on small tables."""
 
+import numpy as np
 import pytest
 
+from foliograph.operators import entities as E
 from foliograph.plans.queries import QUERIES
 
 
@@ -71,3 +73,22 @@ def test_nearest_previous_by_all_dimensions(spark, tables):
     rows = [(0, vector(0.0, 9.0), 1), (1, vector(0.4, 9.0), 1), (2, vector(0.2, -9.0), 2), (3, vector(-0.2, -9.0), 2)]
     sf = tables(embeddings=(rows, "vec_id long, embedding array<float>, label int"))
     assert {(r["space_id"], r["previous_id"]) for r in QUERIES["space_nearest_previous_whole"](spark, sf).collect()} == {("s1", "s1"), ("s2", "s2")}
+
+
+def test_vector_pairs_are_all_found(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 32))
+    x = np.concatenate([c + 0.45 * rng.normal(size=(4, 32)) for c in centres] + [np.zeros((1, 32))])
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    rows = [(i, f"t{i % 8 // 4}", v.tolist()) for i, v in enumerate(x)]
+    want = {(i, j) for i in range(161) for j in range(i + 1, 161) if rows[i][1] == rows[j][1] and unit[i] @ unit[j] >= 0.75}
+    canon = spark.createDataFrame(rows, "id long, entity_type string, embedding array<double>")
+    for got in (E.vector_pairs(canon), E.blocked_pairs(canon, 0.75, block=30)):
+        pairs = [(r["a"], r["b"]) for r in got.collect()]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == want
+
+
+def test_vector_merge_at_three_quarters(spark, tables):
+    rows = [(1, [1.0, 0.0], 1), (2, [0.8, 0.6], 1), (4, [0.0, 1.0], 1), (5, [1.0, 0.1], 2)]
+    sf = tables(embeddings=(rows, "vec_id long, embedding array<float>, label int"))
+    assert {(r["a"], r["b"]) for r in QUERIES["ent_vector_merge_whole"](spark, sf).collect()} == {(1, 2)}
