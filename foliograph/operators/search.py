@@ -1,7 +1,8 @@
 """Vector search, scoring, related documents and chunk retrieval.
 
-Query sets are stated: a few vectors against all rows, never all rows against all.  Each
-query keeps its best `k` per task before the shuffle, so only k rows a task and query move.
+Query sets are stated vectors against all rows: up to `QUERY_ROWS` are broadcast, more are dealt
+into hashed blocks of about that many.  Each query keeps its best `k` per task before the
+shuffle, so only k rows a task and query move.
 """
 
 from __future__ import annotations
@@ -19,13 +20,16 @@ QUERY_ROWS = 2000
 def top_k(rows: DataFrame, queries: DataFrame, k: int = SEARCH_K, vector: str = "embedding", row_id: str = "id", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
     """(query_id, row columns, similarity, rank): the k rows nearest to each query by cosine, ties by id.
 
-    `queries` is the stated query set; it must have at most `QUERY_ROWS` rows, which bounds what is
-    broadcast.  More queries go in several calls.
+    `queries` is the stated query set.  More than `QUERY_ROWS` are not broadcast: each task takes a part
+    of the rows and one block of queries.
     """
     stated = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("_q"), V.norm(F.col(query_vector)).alias("_qn"))
     if stated.limit(QUERY_ROWS + 1).count() > QUERY_ROWS:
-        raise ValueError(f"state at most {QUERY_ROWS} queries a call")
-    paired = rows.withColumn("_n", V.norm(F.col(vector))).join(F.broadcast(stated))
+        blocks = -(-stated.count() // QUERY_ROWS)
+        stated = stated.repartition(blocks, "query_id").hint("shuffle_replicate_nl")
+    else:
+        stated = F.broadcast(stated)
+    paired = rows.withColumn("_n", V.norm(F.col(vector))).join(stated)
     scored = paired.withColumn("similarity", V.cosine(F.col(vector), F.col("_q"), F.col("_n"), F.col("_qn"))).drop("_q", "_qn", "_n", vector)
     # rank <= k over a window is planned as a limit of k per group in each task before the shuffle
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.col(row_id))
@@ -67,7 +71,7 @@ def related_scored(rows: DataFrame, queries: DataFrame, as_of: Column, n: int =
     `queries` carries query_id, query_vector and the entity keys `query_keys`; rows carry `keys` and `created_at`.
     """
     hits = top_k(rows, queries, k, row_id=row_id).where(F.col("query_id") != F.col(row_id))
-    keyed = hits.join(F.broadcast(queries.select("query_id", "query_keys")), "query_id")
+    keyed = hits.join(queries.select("query_id", "query_keys"), "query_id")
     score = V.related_score(F.col("similarity"), V.jaccard(F.col("keys"), F.col("query_keys")), V.recency(F.col("created_at"), as_of))
     scored = keyed.withColumn("score", score).where(F.col("score") >= RELATED_FLOOR)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col(row_id))
@@ -90,7 +94,7 @@ def retrieve_chunks(docs: DataFrame, queries: DataFrame, embed, k: int = CHAT_K,
     """
     near = top_k(docs, queries, k)
     chunked = near.withColumn("c", F.explode(T.chunks(F.col("text"), size, overlap))).select("query_id", "id", "c.*")
-    scored = chunked.join(F.broadcast(queries.select("query_id", "query_vector")), "query_id")
+    scored = chunked.join(queries.select("query_id", "query_vector"), "query_id")
     scored = scored.withColumn("score", V.cosine(embed(F.col("chunk")), F.col("query_vector"))).drop("query_vector")
     of_doc = Window.partitionBy("query_id", "id").orderBy(F.desc("score"), "chunk_no")
     of_all = Window.partitionBy("query_id").orderBy(F.desc("score"), "id", "chunk_no")

@@ -53,7 +53,7 @@ def vec_search(spark, sf_dir):
 def vec_rerank(spark, sf_dir):
     rows, asked = _rows(spark, sf_dir), _queries(spark, sf_dir)
     hits = S.search(rows, asked, F.lit(AS_OF).cast("timestamp"))
-    keyed = hits.join(rows.select("id", F.col("embedding").alias("k")), "id").join(F.broadcast(asked.select("query_id", F.col("query_vector").alias("q"))), "query_id")
+    keyed = hits.join(rows.select("id", F.col("embedding").alias("k")), "id").join(asked.select("query_id", F.col("query_vector").alias("q")), "query_id")
     return S.rerank(keyed.withColumn("logit", S.attention_logit(F.col("q"), F.col("k")))).select("query_id", "id", F.round("reranked", 6).alias("reranked"))
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from foliograph.operators import entities as E
+from foliograph.operators import search as S
 from foliograph.plans.queries import QUERIES
 
 
@@ -92,3 +93,19 @@ def test_vector_merge_at_three_quarters(spark, tables):
     rows = [(1, [1.0, 0.0], 1), (2, [0.8, 0.6], 1), (4, [0.0, 1.0], 1), (5, [1.0, 0.1], 2)]
     sf = tables(embeddings=(rows, "vec_id long, embedding array<float>, label int"))
     assert {(r["a"], r["b"]) for r in QUERIES["ent_vector_merge_whole"](spark, sf).collect()} == {(1, 2)}
+
+
+def test_any_number_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2100, 4)).astype(np.float32)
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "query_id long, query_vector array<float>")
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:30])], "id long, embedding array<float>")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    best = np.argsort(-(unit @ unit[:30].T), axis=1, kind="stable")[:, :3]
+    got = {(r["query_id"], r["rank"]): r["id"] for r in S.top_k(rows, asked, 3).collect()}
+    assert got == {(q, n + 1): int(i) for q, ids in enumerate(best) for n, i in enumerate(ids)}
+    # the queries on top of it give the same in blocks as in one
+    names = ("vec_search", "vec_rerank", "vec_related_scored", "vec_trajectory", "rag_retrieve")
+    one = {name: sorted(map(repr, QUERIES[name](spark, "/root/testdata/sf0.001").collect())) for name in names}
+    monkeypatch.setattr(S, "QUERY_ROWS", 3)
+    assert one == {name: sorted(map(repr, QUERIES[name](spark, "/root/testdata/sf0.001").collect())) for name in names}
