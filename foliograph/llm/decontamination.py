@@ -11,8 +11,8 @@ The benchmark is the stated query set: it is held in blocks of at most `QUERY_BY
 compared with all texts, so its size is bounded wherever it is sent.
 
 Defined results: a null or empty text matches nothing; a null or empty item is never found;
-items shorter than q (or with too many edits for the lemma) are searched exactly; repeated
-items and rows each give their own pairs; empty tables give an empty one.  Characters are
+items with too many edits for the lemma at q take a smaller q, for which it holds; items shorter
+than q without edits are searched exactly; repeated items and rows each give their own pairs; empty tables give an empty one.  Characters are
 UTF-8 bytes, also in the edit budget.
 """
 
@@ -39,7 +39,7 @@ LOWER[list(tb.SEPARATORS)] = 32
 
 @dataclass
 class Index:
-    """Normalised items and the q-grams of those that the filter can find."""
+    """Normalised items and the q-grams of those that the filter can find; `shorter`: the same items, for smaller q."""
 
     ids: np.ndarray
     items: list[np.ndarray]
@@ -51,6 +51,8 @@ class Index:
     place: np.ndarray
     sieve: np.ndarray
     exact: list[int]
+    q: int
+    shorter: list[Index]
 
 
 def normalised(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,14 +68,14 @@ def normalised(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndar
     return low[at], np.searchsorted(at, start), at
 
 
-def grams(low: np.ndarray) -> np.ndarray:
-    """The 8 bytes at each place as one integer: two q-grams are equal iff these are."""
-    g = low.astype(np.uint64)
+def grams(low: np.ndarray, q: int = Q) -> np.ndarray:
+    """The q (at most 8) bytes at each place as one integer: two q-grams are equal iff these are."""
+    g = np.append(low, np.zeros(Q - q, np.uint8)).astype(np.uint64)
     for shift in (1, 2, 4):
         if len(g) <= shift:
             return np.zeros(0, np.uint64)
         g = g[:-shift] | (g[shift:] << np.uint64(8 * shift))
-    return g
+    return g & np.uint64((1 << 8 * q) - 1)
 
 
 def _slot(g: np.ndarray) -> np.ndarray:
@@ -81,7 +83,7 @@ def _slot(g: np.ndarray) -> np.ndarray:
 
 
 def build(rows: list[tuple[int, str]], error: float = ERROR) -> Index:
-    items, ids, edits, bound, exact = [], [], [], [], []
+    items, ids, edits, sizes, exact = [], [], [], [], []
     for item_id, text in sorted(rows):
         raw = np.frombuffer(text.encode(), np.uint8)
         low = normalised(raw, np.array([0, len(raw)]))[0]
@@ -89,33 +91,40 @@ def build(rows: list[tuple[int, str]], error: float = ERROR) -> Index:
         if not len(low):
             continue
         k = int(error * len(low))
-        least = len(low) - Q + 1 - Q * k
-        if least < 1:
+        # the largest q up to Q for which the lemma leaves a q-gram: m - q + 1 - q * k >= 1
+        q = min(Q, len(low) // (k + 1))
+        if k == 0 and len(low) < Q or q < 1:
             exact.append(len(items))
+            q = 0
         ids.append(item_id)
         items.append(low)
         edits.append(k)
-        bound.append(least)
-    parts = [(grams(low), n) for n, low in enumerate(items) if n not in set(exact)]
-    g = np.concatenate([p for p, _ in parts] or [np.zeros(0, np.uint64)])
-    item = np.concatenate([np.full(len(p), n) for p, n in parts] or [np.zeros(0, np.int64)]).astype(np.int64)
-    place = np.concatenate([np.arange(len(p)) for p, _ in parts] or [np.zeros(0, np.int64)]).astype(np.int64)
-    order = np.argsort(g, kind="stable")
-    keys, first = np.unique(g[order], return_index=True)
-    sieve = np.zeros(1 << FILTER_BITS, bool)
-    sieve[_slot(keys)] = True
-    return Index(np.array(ids, np.int64), items, np.array(edits), np.array(bound), keys, np.append(first, len(g)), item[order], place[order], sieve, exact)
+        sizes.append(q)
+
+    def of(q: int, shorter: list[Index]) -> Index:
+        bound = np.array([len(low) - q + 1 - q * k if own == q else 0 for low, k, own in zip(items, edits, sizes, strict=True)])
+        parts = [(grams(low, q), n) for n, low in enumerate(items) if sizes[n] == q]
+        g = np.concatenate([p for p, _ in parts] or [np.zeros(0, np.uint64)])
+        item = np.concatenate([np.full(len(p), n) for p, n in parts] or [np.zeros(0, np.int64)]).astype(np.int64)
+        place = np.concatenate([np.arange(len(p)) for p, _ in parts] or [np.zeros(0, np.int64)]).astype(np.int64)
+        order = np.argsort(g, kind="stable")
+        keys, first = np.unique(g[order], return_index=True)
+        sieve = np.zeros(1 << FILTER_BITS, bool)
+        sieve[_slot(keys)] = True
+        return Index(np.array(ids, np.int64), items, np.array(edits), bound, keys, np.append(first, len(g)), item[order], place[order], sieve, exact, q, shorter)
+
+    return of(Q, [of(q, []) for q in sorted({q for q in sizes if 0 < q < Q})])
 
 
 def candidates(low: np.ndarray, start: np.ndarray, index: Index) -> np.ndarray:
     """Rows (document, item, band) whose count of shared q-grams reaches the item's bound."""
     none = np.zeros((0, 3), np.int64)
-    g = grams(low)
+    g = grams(low, index.q)
     at = np.flatnonzero(index.sieve[_slot(g)]) if len(g) else np.zeros(0, np.int64)
     if not len(at) or not len(index.keys):
         return none
     doc = np.searchsorted(start, at, "right") - 1
-    inside = at + Q <= start[doc + 1]
+    inside = at + index.q <= start[doc + 1]
     at, doc = at[inside], doc[inside]
     key = np.minimum(np.searchsorted(index.keys, g[at]), len(index.keys) - 1)
     found = index.keys[key] == g[at]
@@ -203,8 +212,10 @@ def verify(low: np.ndarray, start: np.ndarray, rows: np.ndarray, index: Index) -
 def find(block: tb.Block, index: Index) -> list[tuple[int, int, int, int, int]]:
     """The best occurrence (document, item, edits, start, end in code points) of each item in each document."""
     low, start, origin = normalised(block.data, block.start)
-    rows = candidates(low, start, index)
-    found = verify(low, start, rows, index) if len(rows) else []
+    found = []
+    for part in (index, *index.shorter):
+        rows = candidates(low, start, part)
+        found += verify(low, start, rows, part) if len(rows) else []
     if index.exact:
         raw = low.tobytes()
         for n in index.exact:
