@@ -270,7 +270,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", error: float = ERROR) -> DataFrame:
     """The rows of `docs` in which no benchmark item occurs, with all their columns (no shuffle)."""
-    tb.limit_batches(docs)
     at = docs.columns.index(text_col)
     for index in query_blocks(benchmark, error=error):
 

@@ -12,13 +12,18 @@ Two documents link when the Jaccard similarity of their sets is at least 80 perc
    trie, so sets with a common beginning share the partial overlap; a subtree is left when
    the remaining shingles of walker and subtree cannot reach the required overlap, when its
    sizes do not fit, or when all its sets are in the walker's component already.
-4. A family beyond `FAMILY_SHINGLES` is dealt into blocks.  Every block is joined with itself
-   and with the family's pivots; then only sets outside the family's largest component are
-   compared with the other blocks, a block pair a task.  No link is lost, memory is bounded
-   by two blocks, and the sets of a group of near copies are not compared all with all.
+4. A family beyond `FAMILY_SHINGLES` is dealt into blocks, by the prefix shingle that most of
+   its sets have and by size.  Every block is joined with itself and with pivots of its
+   shingle; then only sets outside the family's largest component are compared with other
+   blocks, those that have one of their prefix shingles and sizes that fit, a block pair a
+   task.  No link is lost, memory is bounded by two blocks, and the sets of a group of near
+   copies are not compared all with all.
 
 Links that matter are those that join components: the result is the components.
 
+Sets are compared by 64-bit shingle hashes; equal sets are told by 128 bits of two independent
+hashes of their words.
+
 Defined results: a null or empty text has an empty set and links with nothing (its component
 is its own id); repeated rows have equal sets; rows with a null id get n_shingles and a null
 component_id; an empty table gives an empty one.
@@ -28,48 +33,50 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import exchange as ex
 from . import textblocks as tb
 from .components import connected
-from .shared import written
+from .shared import scratch, written
 
 SIZE, PERCENT = 5, 80
 FAMILY_SHINGLES, BLOCK_ROWS, PIVOTS = 500_000, 400, 4
-MESSAGE = "part int, chunk int, body binary, more binary"
 CLASS_SEEDS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xABD07E4F2C1B9E55))
 CELLS_PER_SHINGLE = 8
 
 
-def shingle_sets(block: tb.Block, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each document of a block, sorted, and where each document's begin (n + 1)."""
+def shingle_sets(block: tb.Block, size: int = SIZE, checks: bool = False) -> tuple[np.ndarray, ...]:
+    """Distinct shingle hashes of each document of a block, sorted, and where each document's begin (n + 1).
+
+    With `checks` also a second, independent hash of each shingle.
+    """
     words = tb.find_words(block)
-    hashes = tb.span_hashes(block.data, words.begin, words.end, lower=True)
     whole = np.flatnonzero(tb.window_starts(words, size))
-    values, docs = [tb.window_hashes(hashes, size, 1)[whole]], [words.doc[whole]]
     counts = np.diff(words.first)
-    for n in range(1, size):
-        short = np.flatnonzero(counts == n)
-        if len(short):
-            values.append(tb.window_hashes(hashes, n, 100 + n)[words.first[short]])
-            docs.append(short)
-    value, doc = np.concatenate(values), np.concatenate(docs)
+    short = [(n, np.flatnonzero(counts == n)) for n in range(1, size)]
+
+    def of(seed: int) -> np.ndarray:
+        hashes = tb.span_hashes(block.data, words.begin, words.end, lower=True, seed=seed)
+        parts = [tb.window_hashes(hashes, size, 1 + 50 * seed)[whole]]
+        return np.concatenate(parts + [tb.window_hashes(hashes, n, 100 + n + 50 * seed)[words.first[docs]] for n, docs in short if len(docs)])
+
+    value, doc = of(0), np.concatenate([words.doc[whole]] + [docs for _, docs in short if len(docs)])
     order = np.argsort(value)
     order = order[np.argsort(doc[order].astype(np.uint16 if block.n < 1 << 16 else np.int64), kind="stable")]
     value, doc = value[order], doc[order]
     fresh = np.ones(len(value), bool)
     fresh[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
-    value, doc = value[fresh], doc[fresh]
-    return value, np.searchsorted(doc, np.arange(block.n + 1))
+    first = np.searchsorted(doc[fresh], np.arange(block.n + 1))
+    return (value[fresh], first, of(1)[order[fresh]]) if checks else (value[fresh], first)
 
 
-def set_prints(value: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """Two 64-bit prints of each set, the same for equal sets."""
+def set_prints(value: np.ndarray, first: np.ndarray, check: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit prints of each set, of independent shingle hashes, the same for equal sets."""
     out = []
-    for seed in CLASS_SEEDS:
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tb.mix64(value ^ seed))))
+    for hashes, seed in zip((value, check), CLASS_SEEDS, strict=True):
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tb.mix64(hashes ^ seed))))
         out.append(tb.mix64(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64))
     return out
 
@@ -204,15 +211,14 @@ class _Chunk:
     """The sets of the classes that a chunk's documents represent."""
 
     def __init__(self, rows: pa.Table, classes: pa.Table, size: int):
-        wanted = set(classes.column("class").to_pylist())
+        wanted = dict(zip(zip(classes.column("print").to_pylist(), classes.column("check").to_pylist(), strict=True), classes.column("class").to_pylist(), strict=True))
         values, self.classes = [], []
         for block in tb.blocks(rows.column("text")):
-            value, first = shingle_sets(block, size)
-            prints = set_prints(value, first)[0].tolist()
-            for n, name in enumerate(prints):
-                if name in wanted and first[n + 1] > first[n]:
-                    wanted.discard(name)
-                    self.classes.append(name)
+            value, first, check = shingle_sets(block, size, checks=True)
+            one, two = set_prints(value, first, check)
+            for n, key in enumerate(zip(one.tolist(), two.tolist(), strict=True)):
+                if key in wanted and first[n + 1] > first[n]:
+                    self.classes.append(wanted.pop(key))
                     values.append(value[first[n] : first[n + 1]].copy())
         order = sorted(range(len(values)), key=self.classes.__getitem__)
         self.classes = [self.classes[k] for k in order]
@@ -225,66 +231,68 @@ class _Chunk:
         return cell, count, number
 
 
-def _columns(part, chunk, body, more) -> pa.Table:
-    return ex.table({"part": (part, pa.int32()), "chunk": ([chunk] * len(part), pa.int32()), "body": (body, pa.binary()), "more": (more, pa.binary())})
+class Frequencies(ex.Counted):
+    """Cells with the number of classes that have them; the answer to each is that number's power of two, at most 15."""
 
+    MOST = 1 << 16
 
-def merge_frequencies(messages: pa.Table, cell_bits: int) -> pa.Table:
-    """Adds the counts of one range and answers each chunk the power of two of each of its cells' counts."""
-    bodies = [ex.decode_sorted(b) for b in messages.column("body").to_pylist()]
-    total = np.zeros(1 << cell_bits, np.uint32)
-    for cells, more in zip(bodies, messages.column("more").to_pylist(), strict=True):
-        count = np.ones(len(cells), np.uint32)
+    def read(self, body: bytes, more: bytes) -> tuple[np.ndarray, np.ndarray]:
+        cells = ex.decode_sorted(body)
+        count = np.ones(len(cells), np.int64)
         several = np.frombuffer(more, "<u4").reshape(2, -1)
         count[several[0]] = several[1]
-        total[cells] += count
-    level = np.minimum(np.frexp(total.astype(np.float64))[1] - 1, 15).clip(0).astype(np.uint8)
-    answers = []
-    for cells in bodies:
-        mine = level[cells]
-        common = mine > 0
-        answers.append(ex.encode_flags(common) + ex.pack(mine[common], 4))
-    return messages.set_column(2, "body", pa.array(answers, pa.binary())).set_column(3, "more", pa.nulls(len(answers), pa.binary()))
+        return cells, count
+
+    def write(self, values: np.ndarray, notes: np.ndarray) -> tuple[bytes, bytes]:
+        several = np.flatnonzero(notes > 1)
+        return ex.encode_sorted(values & np.uint64((1 << self.bits) - 1), self.bits), np.stack([several, notes[several]]).astype("<u4").tobytes()
 
+    def settled(self, merged: ex.Merged) -> np.ndarray:
+        return np.minimum(np.frexp(merged.notes.astype(np.float64))[1] - 1, 15).astype(np.uint8)
 
-def class_sets(chunks, members: DataFrame, plan: ex.Layout, size: int, percent: int) -> DataFrame:
+    def tell(self, answer: np.ndarray, sent: np.ndarray) -> bytes:
+        common = answer > 0
+        return ex.encode_flags(common) + ex.pack(answer[common], 4)
+
+    def blank(self, n: int) -> np.ndarray:
+        return np.zeros(n, np.uint8)
+
+    def told(self, body: bytes, out: np.ndarray, a: int, b: int) -> None:
+        common = ex.decode_flags(body, b - a)
+        out[a:b][common] = ex.unpack(body[-(-(b - a) // 8) :], 4, int(common.sum()))
+
+
+def class_sets(docs: DataFrame, members: DataFrame, plan: ex.Layout, size: int, percent: int) -> DataFrame:
     """(class, size, prefix, shingles): classes with a prefix shingle that others have, their shingles in global order.
 
-    `shingles` leaves out those that no other class has.
+    `members` are the classes (class, print, check) with the document that represents each; `shingles`
+    leaves out those that no other class has.
     """
     bits = max((CELLS_PER_SHINGLE * plan.words - 1).bit_length(), plan.ranges.bit_length())
-    ranges, cell_bits = plan.ranges, bits - (plan.ranges.bit_length() - 1)
-    by_chunk = members.withColumn("chunk", ex.chunk_of(F.col("doc_id"), plan.chunks)).groupBy("chunk")
+    kind, step = Frequencies(bits), plan.steps[0]
+
+    def by_chunk(df: DataFrame):
+        return df.repartition(plan.chunk_tasks, "chunk").groupBy("chunk")
+
+    chunk = ex.chunk_of(plan.chunks, "doc_id").cast("long")
+    chunks = by_chunk(docs.where("doc_id is not null").withColumn("chunk", chunk))
+    named = members.select(chunk.alias("chunk"), F.lit(-1).cast("long").alias("part"), F.lit(None).cast("binary").alias("body"), "class", "print", "check")
 
     def count(rows: pa.Table, classes: pa.Table) -> pa.Table:
-        part, body, more, number = [], [], [], None
+        out = ([], [], [], [])
         if rows.num_rows and classes.num_rows:
-            chunk, number = _Chunk(rows, classes, size), rows.column("chunk")[0].as_py()
-            cell, times, _ = chunk.cells(bits)
-            edges = ex.split_sorted(cell, bits, ranges)
-            for k in np.flatnonzero(np.diff(edges)).tolist():
-                own = slice(edges[k], edges[k + 1])
-                several = np.flatnonzero(times[own] > 1)
-                part.append(k)
-                body.append(ex.encode_sorted(cell[own] & np.uint64((1 << cell_bits) - 1), cell_bits))
-                more.append(np.stack([several, times[own][several]]).astype("<u4").tobytes())
-        return _columns(part, number, body, more)
+            cell, times, _ = _Chunk(rows, classes, size).cells(bits)
+            kind.send(cell, times, step, 0, rows.column("chunk")[0].as_py(), out)
+        return ex.message_table(*out)
 
     def choose(rows: pa.Table, more: pa.Table) -> pa.Table:
         names, sizes, prefixes, sets = [], [], [], []
-        kind = more.column("part").to_numpy()
-        classes, answers = more.filter(pa.array(kind < 0)), more.filter(pa.array(kind >= 0))
+        of = more.column("part").to_numpy()
+        classes, answers = more.filter(pa.array(of < 0)), more.filter(pa.array(of >= 0))
         if rows.num_rows and classes.num_rows:
             chunk = _Chunk(rows, classes, size)
             cell, _, number = chunk.cells(bits)
-            level, edges = np.zeros(len(cell), np.uint8), ex.split_sorted(cell, bits, ranges)
-            for k, answer in zip(answers.column("part").to_pylist(), answers.column("body").to_pylist(), strict=True):
-                n = int(edges[k + 1] - edges[k])
-                common = ex.decode_flags(answer, n)
-                mine = np.zeros(n, np.uint8)
-                mine[common] = ex.unpack(answer[-(-n // 8) :], 4, int(common.sum()))
-                level[edges[k] : edges[k + 1]] = mine
-            levels, ends = level[number], np.cumsum(chunk.sizes)
+            levels, ends = kind.receive(answers, cell, step)[number], np.cumsum(chunk.sizes)
             for name, n, end in zip(chunk.classes, chunk.sizes.tolist(), ends.tolist(), strict=True):
                 own, value = levels[end - n : end], chunk.value[end - n : end]
                 common = np.flatnonzero(own)
@@ -297,11 +305,11 @@ def class_sets(chunks, members: DataFrame, plan: ex.Layout, size: int, percent:
                     sets.append(value[order].tobytes())
         return ex.table({"class": (names, pa.int64()), "size": (sizes, pa.int64()), "prefix": (prefixes, pa.list_(pa.int64())), "shingles": (sets, pa.binary())})
 
-    messages = chunks.cogroup(by_chunk).applyInArrow(count, MESSAGE)
-    answers = messages.groupBy("part").applyInArrow(lambda m: merge_frequencies(m, cell_bits), MESSAGE)
-    named = members.select(ex.chunk_of(F.col("doc_id"), plan.chunks).alias("chunk"), F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("body"), "class")
-    told = answers.select("chunk", "part", "body", F.lit(None).cast("long").alias("class")).union(named)
-    return chunks.cogroup(told.groupBy("chunk")).applyInArrow(choose, "class long, size long, prefix array<long>, shingles binary")
+    messages = chunks.cogroup(by_chunk(named)).applyInArrow(count, ex.MESSAGE)
+    answers = ex.answered(messages, kind.deeper(step), plan.steps, plan.chunks)
+    none = [F.lit(None).cast("long").alias(c) for c in ("class", "print", "check")]
+    told = answers.select("chunk", "part", "body", *none).union(named)
+    return chunks.cogroup(by_chunk(told)).applyInArrow(choose, "class long, size long, prefix array<long>, shingles binary")
 
 
 def _read_sets(rows: pa.Table, order: list[int]) -> tuple[list[np.ndarray], list[int], list[int]]:
@@ -316,45 +324,67 @@ def _link_table(links, names) -> pa.Table:
 def link_classes(sets: DataFrame, percent: int = PERCENT, family_shingles: int = FAMILY_SHINGLES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(node, root): the component of each class that links with another, from `class_sets` written out."""
     posts = sets.select("class", F.explode("prefix").alias("shingle"))
-    stars = posts.groupBy("shingle").agg(F.min("class").alias("least"), F.max("class").alias("other")).where("least < other")
-    spokes = posts.join(stars, "shingle").select(F.col("class").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
-    family = connected(spokes)
-    sized = sets.select("class", "size", "shingles", F.octet_length("shingles").alias("_bytes"))
-    grown = sized.join(family, sized["class"] == family["node"]).select("class", "size", "shingles", "_bytes", F.col("root").alias("family"))
-    grown = written(grown, "families")
-    totals = grown.groupBy("family").agg(F.sum(F.col("_bytes") / 8).alias("_all"), F.count("*").alias("_n"))
-    totals = totals.withColumn("blocks", F.ceil(F.greatest(F.col("_all") / family_shingles, F.col("_n") / block_rows)).cast("int"))
-    amount = totals.agg(F.sum("_all").alias("all")).first()["all"] or 0
-    buckets = max(64, int(amount // family_shingles) + 1)
-    placed = grown.join(totals.select("family", "blocks"), "family")
-    whole = placed.where("blocks = 1").withColumn("bucket", F.pmod(F.xxhash64("family"), F.lit(buckets)))
-    schema = "a long, b long"
-
-    def join_families(rows: pa.Table) -> pa.Table:
-        families, names = rows.column("family").to_numpy(), rows.column("class").to_numpy()
-        links = []
-        order = np.lexsort((names, families))
-        for part in np.split(order, np.flatnonzero(np.diff(families[order])) + 1):
-            sets, sizes, names_of = _read_sets(rows, part.tolist())
-            links += [(names_of[a], names_of[b]) for a, b in join_sets(sets, sizes, percent=percent)]
-        return ex.table({"a": ([x[0] for x in links], pa.int64()), "b": ([x[1] for x in links], pa.int64())})
-
-    links = whole.groupBy("bucket").applyInArrow(join_families, schema)
-    large = placed.where("blocks > 1")
-    if large.limit(1).count():
-        links = written(links.union(_link_large(written(large, "large-families"), percent)), "links")
-    return connected(links)
-
-
-def _link_large(large: DataFrame, percent: int) -> DataFrame:
+    with scratch(sets.sparkSession) as made:
+        stars = posts.groupBy("shingle").agg(F.min("class").alias("least"), F.max("class").alias("other")).where("least < other")
+        spokes = posts.join(stars, "shingle").select(F.col("class").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+        family = connected(spokes)
+        sized = sets.select("class", "size", "shingles", F.octet_length("shingles").alias("_bytes"))
+        grown = sized.join(family, sized["class"] == family["node"]).select("class", "size", "shingles", "_bytes", F.col("root").alias("family"))
+        grown = made.written(grown, "families")
+        share = F.greatest(F.col("_bytes") / 8 / family_shingles, F.lit(1 / block_rows))  # of a block
+        totals = grown.groupBy("family").agg(F.sum(share).alias("blocks"))
+        amount = grown.agg(F.sum("_bytes").alias("all")).first()["all"] or 0
+        buckets = max(64, int(amount // 8 // family_shingles) + 1)
+        placed = grown.withColumn("share", share).join(totals, "family")
+        whole = placed.where("blocks <= 1").withColumn("bucket", F.pmod(F.xxhash64("family"), F.lit(buckets)))
+
+        def join_families(rows: pa.Table) -> pa.Table:
+            families, names = rows.column("family").to_numpy(), rows.column("class").to_numpy()
+            links = []
+            order = np.lexsort((names, families))
+            for part in np.split(order, np.flatnonzero(np.diff(families[order])) + 1):
+                sets, sizes, names_of = _read_sets(rows, part.tolist())
+                links += [(names_of[a], names_of[b]) for a, b in join_sets(sets, sizes, percent=percent)]
+            return ex.table({"a": ([x[0] for x in links], pa.int64()), "b": ([x[1] for x in links], pa.int64())})
+
+        links = whole.groupBy("bucket").applyInArrow(join_families, "a long, b long")
+        large = placed.where("blocks > 1")
+        if large.limit(1).count():
+            large = made.written(large.select("family", "class", "size", "shingles", "share"), "large-families")
+            links = made.written(links.union(_link_large(large, posts, percent, made)), "links")
+        return connected(links)
+
+
+def _block_of(large: DataFrame, posts: DataFrame, percent: int) -> DataFrame:
+    """`large` with `key`, `band` and `block`.
+
+    A set's key is the prefix shingle that most sets of its family have; its band is its size on a
+    scale on which sizes that may link are at most one apart.  A block holds sets of one band, of
+    one key where these fill half a block, and of several keys otherwise.
+    """
+    common = posts.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    keys = posts.join(large.select("class"), "class").join(common, "shingle").groupBy("class").agg(F.max_by("shingle", F.struct("n", "shingle")).alias("key"))
+    dealt = large.join(keys, "class", "left").withColumn("band", F.floor(F.log("size") / max(1e-9, float(np.log(100 / percent)) * (1 + 1e-9))))
+    cells = dealt.groupBy("family", "band", "key").agg(F.sum("share").alias("all"))
+    few = cells.where("all < 0.5").groupBy("family", "band").agg(F.ceil(F.sum("all")).alias("several"))
+    sized = dealt.join(cells.withColumnRenamed("key", "_key").withColumnsRenamed({"family": "_f", "band": "_b"}), (F.col("family") == F.col("_f")) & (F.col("band") == F.col("_b")) & F.col("key").eqNullSafe(F.col("_key")))
+    sized = sized.drop("_f", "_b", "_key").join(few, ["family", "band"], "left")
+    own = F.xxhash64("family", "band", "key", F.pmod(F.xxhash64("class"), F.ceil("all")))
+    shared = F.xxhash64("family", "band", F.pmod(F.xxhash64(F.lit("few"), "key"), F.col("several")))
+    return sized.withColumn("block", F.when(F.col("all") >= 0.5, own).otherwise(shared)).drop("all", "several", "share")
+
+
+def _link_large(large: DataFrame, posts: DataFrame, percent: int, made) -> DataFrame:
     """Links of the families that are dealt into blocks."""
     schema = "a long, b long"
-    dealt = large.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    firsts = dealt.where("block = 0").groupBy("family").agg(F.sort_array(F.collect_set(F.when(F.pmod(F.xxhash64(F.lit("pivot"), "class"), F.lit(200)) == 0, F.col("class")))).alias("some"), F.min("class").alias("one"))
-    pivots = firsts.select(F.explode(F.slice(F.array_union(F.array("one"), "some"), 1, PIVOTS)).alias("class"))  # of one bounded block
-    sent = dealt.join(pivots, "class").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = dealt.select("family", "block", "class", "size", "shingles", F.lit(0).alias("pivot"))
-    guests = sent.select("family", "block", "class", "size", "shingles", F.lit(1).alias("pivot"))
+    dealt = made.written(_block_of(large, posts, percent), "dealt")
+    picks = [F.min_by("class", F.xxhash64(F.lit(n), "class")).alias(f"p{n}") for n in range(PIVOTS)]
+    several = dealt.groupBy("family", "key").agg(F.min("block").alias("one"), F.max("block").alias("other"), *picks).where("one <> other")
+    pivots = several.select("family", "key", F.explode(F.array_distinct(F.array(*[f"p{n}" for n in range(PIVOTS)]))).alias("class"))
+    places = dealt.select("family", "key", "block").distinct()
+    sent = pivots.join(places, ["family", "key"]).select("class", "block")
+    own = dealt.select("block", "class", "size", "shingles", F.lit(0).alias("pivot"))
+    guests = sent.join(dealt.select("class", "size", "shingles"), "class").select("block", "class", "size", "shingles", F.lit(1).alias("pivot"))
 
     def join_block(rows: pa.Table) -> pa.Table:
         names = rows.column("class").to_pylist()
@@ -362,21 +392,23 @@ def _link_large(large: DataFrame, percent: int) -> DataFrame:
         sets, sizes, names = _read_sets(rows, order)
         return _link_table(join_sets(sets, sizes, percent=percent), names)
 
-    links = written(own.union(guests).groupBy("family", "block").applyInArrow(join_block, schema), "block-links")
+    links = made.written(own.union(guests).groupBy("block").applyInArrow(join_block, schema), "block-links")
     found = connected(links)
-    labelled = dealt.join(found, dealt["class"] == found["node"], "left").withColumn("label", F.coalesce("root", "class")).drop("node", "root")
+    labelled = dealt.join(found, dealt["class"] == found["node"], "left").withColumn("label", F.coalesce("root", "class")).drop("node", "root", "key")
     sizes = labelled.groupBy("family", "label").agg(F.count("*").alias("n"))
     main = sizes.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    labelled = written(labelled.join(main, "family"), "labelled")
+    labelled = made.written(labelled.join(main, "family"), "labelled")
     rest = labelled.where("label <> main")
     if not rest.limit(1).count():
         return links
-    # walkers, in blocks of their own, against every block of their family
-    spread = rest.groupBy("family").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("groups"))
-    walkers = rest.join(spread, "family").withColumn("group", F.pmod(F.xxhash64(F.lit("walk"), "class"), F.col("groups")).cast("int"))
-    walkers = walkers.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    standing = labelled.join(spread, "family").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    columns = ["family", "block", "group", "class", "size", "shingles", "label"]
+    # the sets outside the main component walk the blocks that have a prefix shingle of theirs and fit in size
+    holds = posts.join(labelled.select("class", "block", "band"), "class").select("shingle", "block", "band").distinct()
+    asks = posts.join(rest.select("class", F.col("block").alias("walk"), F.col("band").alias("_band")), "class").select("shingle", "walk", "_band").distinct()
+    pairs = asks.join(holds, "shingle").where("walk <> block and abs(band - _band) <= 1").select("walk", "block").distinct()
+    pairs = made.written(pairs, "block-pairs")
+    columns = ["class", "size", "shingles", "label"]
+    standing = labelled.join(pairs, "block").select("block", "walk", *columns, F.lit(0).alias("walks"))
+    walkers = rest.withColumnRenamed("block", "walk").join(pairs, "walk").select("block", "walk", *columns, F.lit(1).alias("walks"))
 
     def join_pair(rows: pa.Table) -> pa.Table:
         walks, names = rows.column("walks").to_pylist(), rows.column("class").to_pylist()
@@ -385,8 +417,18 @@ def _link_large(large: DataFrame, percent: int) -> DataFrame:
         labels = rows.column("label").to_pylist()
         return _link_table(join_sets(sets, sizes, [labels[k] for k in order], walks.count(0), percent), names)
 
-    both = standing.select(*columns, F.lit(0).alias("walks")).union(walkers.select(*columns, F.lit(1).alias("walks")))
-    return links.union(both.groupBy("family", "block", "group").applyInArrow(join_pair, schema))
+    return links.union(standing.union(walkers).groupBy("block", "walk").applyInArrow(join_pair, schema))
+
+
+def name_classes(sets: DataFrame) -> DataFrame:
+    """(print, check, doc_id, class): the least document of each class, and a name of the class.
+
+    Sets of equal prints but other checks are other classes; all but one of them take another name.
+    """
+    classes = sets.groupBy("print", "check").agg(F.min("doc_id").alias("doc_id"))
+    nth = F.row_number().over(Window.partitionBy("print").orderBy("check"))
+    named = classes.withColumn("_nth", nth).withColumn("class", F.when(F.col("_nth") == 1, F.col("print")).otherwise(F.xxhash64("print", "check")))
+    return named.drop("_nth")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -397,20 +439,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def prints(batches):
         for batch in batches:
             for block in tb.blocks(batch.column(1)):
-                value, first = shingle_sets(block, size)
-                one, two = set_prints(value, first)
+                value, first, check = shingle_sets(block, size, checks=True)
+                one, two = set_prints(value, first, check)
                 columns = [batch.column(0).slice(block.row, block.n), pa.array(np.diff(first).astype(np.int64)), pa.array(one), pa.array(two)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "class", "check"])
-
-    sets = written(docs.mapInArrow(prints, "doc_id long, n_shingles long, class long, check long"), "set-prints")
-    classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("class", "check", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
-    classes = written(classes.select("class", "doc_id"), "classes")
-    chunks = docs.where("doc_id is not null").withColumn("chunk", ex.chunk_of(F.col("doc_id"), plan.chunks)).groupBy("chunk")
-    found = link_classes(written(class_sets(chunks, classes, plan, size, percent), "class-sets"), percent)
-    rooted = classes.join(found, classes["class"] == found["node"], "left").select(classes["class"], "doc_id", F.coalesce("root", "class").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))
-    named = rooted.join(least, "root").select(F.col("class").alias("_class"), "least")
-    out = sets.join(named, (sets["class"] == named["_class"]) & (sets["n_shingles"] > 0), "left")
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "print", "check"])
+
+    with scratch(df.sparkSession) as made:
+        sets = written(docs.mapInArrow(prints, "doc_id long, n_shingles long, print long, check long"), "set-prints")
+        classes = made.written(name_classes(sets.where("n_shingles > 0 and doc_id is not null")), "classes")
+        found = link_classes(made.written(class_sets(docs, classes, plan, size, percent), "class-sets"), percent)
+        rooted = classes.join(found, classes["class"] == found["node"], "left").select("print", "check", classes["class"], "doc_id", F.coalesce("root", "class").alias("root"))
+        least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))
+        named = written(rooted.join(least, "root").select(F.col("print").alias("_print"), F.col("check").alias("_check"), "class", "least"), "components")
+    same = (sets["print"] == named["_print"]) & (sets["check"] == named["_check"]) & (sets["n_shingles"] > 0)
+    out = sets.join(named, same, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), "class")
 

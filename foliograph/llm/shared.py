@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 from ..operators.components import materialise as written
-from ..operators.components import shared_folder
+from ..operators.components import remove_folder, scratch, shared_folder
 
-__all__ = ["shared_dir", "written"]
+__all__ = ["remove_folder", "scratch", "shared_dir", "written"]
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

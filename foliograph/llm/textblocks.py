@@ -8,6 +8,7 @@ time, or one document where a single text is larger.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,12 +28,13 @@ IS_SEP[list(SEPARATORS)] = True
 IS_TAIL = np.zeros(256, dtype=bool)
 IS_TAIL[0x80:0xC0] = True
 
-_PRIME = np.uint64(0x9E3779B97F4A7C15 | 1)
-_RNG = np.random.Generator(np.random.PCG64(20240229))
-BYTE_CODE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
-LOWER_BYTE_CODE = BYTE_CODE.copy()
-LOWER_BYTE_CODE[65:91] = BYTE_CODE[97:123]
-_POWERS: dict[str, np.ndarray] = {}
+#: Multipliers of the independent span hashes, by seed.
+SPAN_FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+#: Spans from this length on are hashed one by one.
+LONG_SPAN = 512
+LOWER_ASCII = np.arange(256, dtype=np.uint8)
+LOWER_ASCII[65:91] += 32
+_TAIL_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -45,20 +47,6 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get("up")
-    if have is None or len(have) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        inverse = np.uint64(pow(int(_PRIME), -1, 1 << 64))
-        up, down = np.full(size, _PRIME), np.full(size, inverse)
-        up[0] = down[0] = 1
-        pair = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if size > 8 * BLOCK_BYTES:
-            return pair
-        _POWERS["up"], _POWERS["down"] = pair
-    return _POWERS["up"], _POWERS["down"]
-
-
 @dataclass
 class Block:
     """A run of documents: `data` bytes, `start` document offsets (n + 1), first row number `row`."""
@@ -128,14 +116,35 @@ def find_words(block: Block) -> Words:
     return Words(begin, end, doc, first)
 
 
-def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each byte span; equal spans have equal hashes wherever they stand."""
-    up, down = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    codes = (LOWER_BYTE_CODE if lower else BYTE_CODE)[data]
-    codes *= up[: len(data)]
-    np.cumsum(codes, out=total[1:])
-    return mix64((total[end] - total[begin]) * down[begin])
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte span; equal spans have equal hashes wherever they stand.
+
+    Eight bytes at a time are mixed in by a multiplication and a bijective finaliser, so no
+    linear relation of the bytes survives; long spans take a cryptographic digest.  The two
+    seeds give independent hashes: together they tell spans apart by 128 bits.
+    """
+    if lower:
+        data = LOWER_ASCII[data]
+    length = end - begin
+    factor = SPAN_FACTORS[seed]
+    out = mix64(length.astype(np.uint64) + factor)
+    if not len(begin):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))  # the 8 bytes from each place on
+    out = mix64((out ^ (eight[begin] & _TAIL_MASK[np.minimum(length, 8)])) * factor)
+    long = np.flatnonzero(length >= LONG_SPAN)
+    active, done = np.flatnonzero((length > 8) & (length < LONG_SPAN)), 8
+    while len(active):
+        left = length[active] - done
+        chunk = eight[begin[active] + done] & _TAIL_MASK[np.minimum(left, 8)]
+        out[active] = mix64((out[active] ^ chunk) * factor)
+        done += 8
+        active = active[left > 8]
+    for n in long.tolist():
+        digest = hashlib.blake2b(data[begin[n] : end[n]], digest_size=16).digest()
+        out[n] = np.frombuffer(digest, "<u8")[seed]
+    return out
 
 
 def window_hashes(h: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
@@ -187,11 +196,20 @@ def per_doc_bytes(block: Block, flags: np.ndarray) -> np.ndarray:
 
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The two columns an operator works on, under its own names, whatever other columns there are."""
-    limit_batches(df)
+    """The two columns an operator works on, under its own names, whatever other columns there are.
+
+    Ids are integers: a `doc_id` that is no number raises Spark's cast error.  Arrow batches hold
+    10,000 rows or about 64 MB of text, whichever is less (Spark's settings, left as they are).
+    """
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
-def limit_batches(df: DataFrame, rows: int = 1000) -> None:
-    """Keep Arrow batches small enough for long texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """`names`, each with underscores added until `df` has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
