@@ -7,19 +7,25 @@ at least m - q + 1 - q * k of its q-grams with it, all within k + 1 neighbouring
 Shared q-grams are counted in bands of 2 (k + 1) diagonals that overlap by half, so one band
 holds any such match whole; bands that reach the bound are verified by banded alignment.
 
-The benchmark is the stated query set: it is held in blocks of at most `QUERY_BYTES`, each
-compared with all texts, so its size is bounded wherever it is sent.
+The benchmark is the stated query set.  It is compared with all texts in passes of
+`PASS_BYTES`, each in blocks of `QUERY_BYTES`, of which every Python worker builds an index
+(about 30 times their size) once, so memory is bounded whatever the benchmark's size.  Shared q-grams are
+counted `PAIRS` at a time, by documents or, in a long document, by items, so common q-grams
+take no more memory than rare ones.  An item that repeats a q-gram r times costs r steps at each
+of its places in a text.
 
 Defined results: a null or empty text matches nothing; a null or empty item is never found;
 items with too many edits for the lemma at q take a smaller q, for which it holds; items shorter
-than q without edits are searched exactly; repeated items and rows each give their own pairs; empty tables give an empty one.  Characters are
-UTF-8 bytes, also in the edit budget.
+than q without edits are searched exactly; of several occurrences of an item the one with the fewest
+edits counts, of equal ones the first; repeated items and rows each give their own pairs; empty tables
+give an empty one.  Characters are UTF-8 bytes, also in the edit budget.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import textblocks as tb
 
-Q, ERROR, QUERY_BYTES = 8, 0.10, 1 << 20
+Q, ERROR, QUERY_BYTES, PASS_BYTES, PAIRS = 8, 0.10, 1 << 20, 4 << 20, 4_000_000
 SCHEMA = "doc_id long, item_id long, edits int, start long, end long"
 FILTER_BITS = 22
 
@@ -131,11 +137,37 @@ def candidates(low: np.ndarray, start: np.ndarray, index: Index) -> np.ndarray:
     at, doc, key = at[found], doc[found], key[found]
     enough = np.bincount(doc, minlength=len(start) - 1) >= index.bound[index.bound > 0].min()
     at, doc, key = at[enough[doc]], doc[enough[doc]], key[enough[doc]]
-    if not len(at):
-        return none
-    many = index.first[key + 1] - index.first[key]
+    n_items, parts = len(index.ids), []
+    numbered = None
+    todo = [(0, len(at), 0, n_items)]
+    while todo:  # hits from a to b with items from low_item to high_item
+        a, b, low_item, high_item = todo.pop()
+        if a == b:
+            continue
+        first, last = index.first[key[a:b]], index.first[key[a:b] + 1]
+        if (low_item, high_item) != (0, n_items):
+            if numbered is None:  # postings by q-gram, then item
+                numbered = np.repeat(np.arange(len(index.keys)), np.diff(index.first)) * n_items + index.item
+            first, last = (np.searchsorted(numbered, key[a:b] * n_items + x) for x in (low_item, high_item))
+        many = last - first
+        if many.sum() > PAIRS and doc[a] != doc[b - 1]:
+            cut = int(np.searchsorted(doc, doc[(a + b) // 2]))
+            cut = cut if cut > a else int(np.searchsorted(doc, doc[a], "right"))
+            todo += [(a, cut, low_item, high_item), (cut, b, low_item, high_item)]
+        elif many.sum() > PAIRS and high_item - low_item > 1:
+            cut = (low_item + high_item) // 2
+            todo += [(a, b, low_item, cut), (a, b, cut, high_item)]
+        else:
+            parts.append(_bands(at[a:b], doc[a:b], first, many, start, index))
+    return np.concatenate([none, *parts])
+
+
+def _bands(at: np.ndarray, doc: np.ndarray, first: np.ndarray, many: np.ndarray, start: np.ndarray, index: Index) -> np.ndarray:
+    """Rows (document, item, band) of places and the postings that each one has from `first` on."""
+    if not many.any():
+        return np.zeros((0, 3), np.int64)
     source = np.repeat(np.arange(len(at)), many)
-    posting = np.arange(len(source)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(index.first[key], many)
+    posting = np.arange(len(source)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
     item = index.item[posting]
     step = index.edits[item] + 1
     shift = at[source] - start[doc[source]] - index.place[posting] + (1 << 40)
@@ -238,46 +270,64 @@ def find(block: tb.Block, index: Index) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def query_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", error: float = ERROR, limit: int = QUERY_BYTES):
-    """Indexes of the benchmark's items, in blocks of about `limit` bytes."""
+def query_passes(benchmark: DataFrame, item_col: str, text_col: str, limit: int = QUERY_BYTES, pass_bytes: int = PASS_BYTES) -> Iterator[list[tuple]]:
+    """The benchmark's items in passes of about `pass_bytes`, each a list of blocks of about `limit` bytes."""
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{text_col}`").alias("text")).where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // limit)
+    n = -(-size // pass_bytes)
     for b in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
-        yield build([(r.item_id, r.text) for r in rows], error)
+        blocks, room = [[]], limit
+        for r in sorted(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()):
+            if room <= 0:
+                blocks.append([])
+                room = limit
+            blocks[-1].append((r.item_id, r.text))
+            room -= len(r.text.encode())
+        yield [tuple(block) for block in blocks if block]
+
+
+@lru_cache(maxsize=1)
+def _indexes(blocks: tuple[tuple, ...], error: float) -> list[Index]:
+    """The indexes of a pass; a Python worker keeps those that it built last."""
+    return [build(list(block), error) for block in blocks]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", error: float = ERROR) -> DataFrame:
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", error: float = ERROR, item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
     """(doc_id, item_id, edits, start, end): the best occurrence of each benchmark item in each row."""
     rows = tb.id_and_text(docs, id_col, text_col)
 
-    def one(index: Index) -> DataFrame:
+    def one(blocks: list[tuple]) -> DataFrame:
         def run(batches):
+            indexes = _indexes(tuple(blocks), error)
             for batch in batches:
                 ids, out = batch.column(0).to_pylist(), []
                 for block in tb.blocks(batch.column(1)):
-                    out += [(ids[block.row + d], int(index.ids[n]), e, a, b) for d, n, e, a, b in find(block, index)]
+                    for index in indexes:
+                        out += [(ids[block.row + d], int(index.ids[n]), e, a, b) for d, n, e, a, b in find(block, index)]
                 columns = list(zip(*out, strict=True)) or [[]] * 5
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "edits", "start", "end"])
 
         return rows.mapInArrow(run, SCHEMA)
 
-    parts = [one(index) for index in query_blocks(benchmark, text_col="text", error=error)]
+    parts = [one(blocks) for blocks in query_passes(benchmark, item_col, item_text_col)]
     return reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", error: float = ERROR) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", error: float = ERROR, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of `docs` in which no benchmark item occurs, with all their columns (no shuffle)."""
     at = docs.columns.index(text_col)
-    for index in query_blocks(benchmark, error=error):
+    for blocks in query_passes(benchmark, item_col, item_text_col):
 
-        def run(batches, index=index):
+        def run(batches, blocks=blocks):
+            indexes = _indexes(tuple(blocks), error)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for block in tb.blocks(batch.column(at)):
-                    keep[[block.row + hit[0] for hit in find(block, index)]] = False
+                    for index in indexes:
+                        keep[[block.row + hit[0] for hit in find(block, index)]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -4,13 +4,20 @@ Each line is good or bad.  Its features are those of the line and of its two nei
 the chain's transition weights tie neighbouring labels.  Forward-backward gives every
 line's marginal, and the document's score is their mean weighted by line length.
 
-The field is trained here from at most about `sample_rows` labelled documents (a documented
-bound), every line with the label of its document, by Adam on the penalised conditional
-likelihood.  Features come from text alone.
+The field is fitted to documents whose lines all have the document's label, by L-BFGS on
+
+    sum over d of w(d) log p(labels of d | lines of d) - penalty / 2 |theta|^2
+
+with one weight a document for emissions and transitions alike, w(d) = 1 / (2 n(label) lines(d)),
+so that documents count alike however long, and so do the two labels.  The sample is bounded:
+about `sample_rows` labelled documents, and of those, in the order of a hash, as many as
+have `sample_lines` lines in all; chains are cut into pieces of `SEGMENT` lines for fitting (scores
+use whole documents).  Features come from text alone.
 
 Defined results: a text without words scores 0; without labels every other text scores
 0.5; several labels of one document count as their least; repeated rows score alike; a null
-doc_id is scored and passed on; an empty table gives an empty one.
+doc_id is scored and passed on; an empty table gives an empty one.  It is an error if there are
+labelled documents but the sample has none.
 """
 
 from __future__ import annotations
@@ -24,8 +31,9 @@ from pyspark.sql import functions as F
 
 from . import textblocks as tb
 from .secret_scan import bounded_sample
+from .shared import scratch
 
-SAMPLE_ROWS, ROUNDS, PENALTY, THRESHOLD = 6000, 250, 3e-4, 0.3
+SAMPLE_ROWS, SAMPLE_LINES, SEGMENT, ROUNDS, PENALTY, THRESHOLD = 6000, 200_000, 64, 60, 3e-4, 0.3
 FOLDS, HELD_OUT = 5, 0
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_lines long, n_good_lines long"
 #: Byte classes of the features.
@@ -106,42 +114,104 @@ def line_features(block: tb.Block) -> Lines:
     return Lines(x.astype(np.float32), length, doc, first)
 
 
-def forward_backward(emit: np.ndarray, first: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals of state 1 of each line, pair marginals summed over all lines, and log partition by document.
+def forward_backward(emit: np.ndarray, first: np.ndarray, move: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals of state 1 of each line, weighted pair marginals summed over all lines, and log partition by document.
 
-    `emit` is the score of state 1 over state 0 of each line, `move` the 2 x 2 transition scores.
-    Documents advance together, one line at a time; those that ended drop out.
+    `emit` is the score of state 1 over state 0 of each line, `move` the 2 x 2 transition scores, `weight`
+    that of each document's pairs (default 1).  Documents advance together, one line at a time; those
+    that ended drop out.  Both passes are scaled to probabilities, so no logarithm is taken on the way.
     """
     sizes = np.diff(first)
     order = np.argsort(-sizes, kind="stable")
-    start, length = first[:-1][order], sizes[order]
-    steps = int(length[0]) if len(length) else 0
-    alive = np.searchsorted(-length, -np.arange(steps), "left")
-    forward = np.zeros((len(emit), 2))
-    scores = np.stack([np.zeros(len(emit)), emit], 1)
+    rank = np.empty(len(sizes), np.int64)
+    rank[order] = np.arange(len(sizes))
+    steps = int(sizes.max()) if len(sizes) else 0
+    alive = np.searchsorted(-sizes[order], -np.arange(steps), "left")
+    begin = np.concatenate(([0], np.cumsum(alive)))
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    place = begin[np.arange(len(emit)) - first[doc]] + rank[doc]  # lines by their number in the document, then by document
+    one, zero = np.empty(len(emit)), np.empty(len(emit))
+    clipped = np.clip(emit, -500, 500)
+    one[place], zero[place] = 1 / (1 + np.exp(-clipped)), 1 / (1 + np.exp(clipped))
+    top = move.max()
+    (m00, m01), (m10, m11) = np.exp(move - top)
+    f0, f1, b0, b1 = np.empty(len(emit)), np.empty(len(emit)), np.ones(len(emit)), np.ones(len(emit))
+    log_z = np.zeros(len(sizes))
     for t in range(steps):
-        at = start[: alive[t]] + t
+        n, now = alive[t], slice(begin[t], begin[t + 1])
+        x0, x1 = zero[now], one[now]
         if t:
-            last = forward[at - 1]
-            forward[at] = np.logaddexp(last[:, :1] + move[0], last[:, 1:] + move[1])
-        forward[at] += scores[at]
-    backward = np.zeros((len(emit), 2))
+            p0, p1 = f0[begin[t - 1] : begin[t - 1] + n], f1[begin[t - 1] : begin[t - 1] + n]
+            x0, x1 = (p0 * m00 + p1 * m10) * x0, (p0 * m01 + p1 * m11) * x1
+        scale = x0 + x1
+        f0[now], f1[now] = x0 / scale, x1 / scale
+        log_z[:n] += np.log(scale)
     pairs = np.zeros((2, 2))
-    log_z = np.zeros(len(sizes))
-    has = length > 0
-    log_z[order[has]] = np.logaddexp.reduce(forward[start[has] + length[has] - 1], axis=1)
+    each = np.ones(len(sizes)) if weight is None else weight[order]
     for t in range(steps - 2, -1, -1):
-        docs = slice(0, alive[t + 1])
-        at = start[docs] + t
-        following = scores[at + 1] + backward[at + 1]
-        joint = forward[at][:, :, None] + move + following[:, None, :]
-        pairs += np.exp(joint - log_z[order[docs]][:, None, None]).sum(0)
-        backward[at] = np.logaddexp(move[:, 0] + following[:, :1], move[:, 1] + following[:, 1:])
-    total = forward + backward
-    return 1 / (1 + np.exp(np.clip(total[:, 0] - total[:, 1], -500, 500))), pairs, log_z
+        n, following = alive[t + 1], slice(begin[t + 1], begin[t + 2])
+        now = slice(begin[t], begin[t] + n)
+        g0, g1 = zero[following] * b0[following], one[following] * b1[following]
+        u0, u1 = m00 * g0 + m01 * g1, m10 * g0 + m11 * g1
+        share = each[:n] / (f0[now] * u0 + f1[now] * u1)
+        a0, a1 = f0[now] * share, f1[now] * share
+        pairs += [[m00 * (a0 @ g0), m01 * (a0 @ g1)], [m10 * (a1 @ g0), m11 * (a1 @ g1)]]
+        scale = u0 + u1
+        b0[now], b1[now] = u0 / scale, u1 / scale
+    marginal = f1 * b1 / (f0 * b0 + f1 * b1)
+    out = np.zeros(len(sizes))
+    out[order] = log_z
+    out += np.bincount(doc, np.logaddexp(0, clipped), len(sizes)) + top * np.maximum(sizes - 1, 0)
+    return marginal[place], pairs, out
+
+
+def objective(theta: np.ndarray, x: np.ndarray, first: np.ndarray, label: np.ndarray, weight: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
+    """The penalised, weighted log likelihood of chains whose lines all have the chain's label, and its gradient."""
+    emit, move = x @ theta[:WIDTH], theta[WIDTH:].reshape(2, 2)
+    sizes = np.diff(first)
+    marginal, pairs, log_z = forward_backward(emit, first, move, weight)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    steps = np.maximum(sizes - 1, 0)
+    path = np.bincount(doc, emit, len(sizes)) * label + steps * move[label, label]
+    same = np.diag([(weight * steps)[label == v].sum() for v in (0, 1)])
+    gradient = np.concatenate([x.T @ (weight[doc] * (label[doc] - marginal)), (same - pairs).ravel()]) - penalty * theta
+    return float(weight @ (path - log_z) - penalty / 2 * theta @ theta), gradient
+
+
+def climb(function, theta: np.ndarray, rounds: int, memory: int = 10, enough: float = 1e-5) -> np.ndarray:
+    """Limited-memory BFGS: the maximum of a concave `function` that gives its value and gradient."""
+    value, grad = function(theta)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        way, factors = grad.copy(), []
+        for s, y in reversed(steps):
+            factors.append((s @ way) / (s @ y))
+            way -= factors[-1] * y
+        if steps:
+            s, y = steps[-1]
+            way *= (s @ y) / (y @ y)
+        else:
+            way /= max(1.0, np.abs(way).max())
+        for (s, y), factor in zip(steps, reversed(factors), strict=True):
+            way += s * (factor - (y @ way) / (s @ y))
+        length = 1.0
+        while True:
+            new, new_grad = function(theta + length * way)
+            if new >= value + 1e-4 * length * (grad @ way) or length < 1e-8:
+                break
+            length /= 2
+        if new <= value:
+            break
+        s, y = length * way, grad - new_grad
+        if s @ y > 1e-12:
+            steps = [*steps, (s, y)][-memory:]
+        gained, theta, value, grad = new - value, theta + s, new, new_grad
+        if gained < enough * max(1e-3, abs(value)):
+            break
+    return theta
 
 
-def train(lines: list[tuple[np.ndarray, int]], rounds: int = ROUNDS, penalty: float = PENALTY, rate: float = 0.1) -> np.ndarray:
+def train(lines: list[tuple[np.ndarray, int]], rounds: int = ROUNDS, penalty: float = PENALTY, segment: int = SEGMENT) -> np.ndarray:
     """Weights (features, then the four transitions) from documents' line features and labels."""
     theta = np.zeros(WIDTH + 4)
     if not lines:
@@ -149,21 +219,13 @@ def train(lines: list[tuple[np.ndarray, int]], rounds: int = ROUNDS, penalty: fl
     x = np.concatenate([a for a, _ in lines]).astype(np.float64)
     sizes = np.array([len(a) for a, _ in lines])
     label = np.array([y for _, y in lines])
-    first = np.concatenate(([0], np.cumsum(sizes)))
-    share = np.array([np.mean(label == v) for v in (0, 1)])
-    weight = np.repeat(0.5 / share[label] / sizes, sizes)  # documents count alike, however long, and so do the classes
-    y = np.repeat(label, sizes)
-    same = np.zeros((2, 2))
-    for v in (0, 1):
-        same[v, v] = np.maximum(sizes[label == v] - 1, 0).sum()
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    n_pairs = max(1, int(same.sum()))
-    for step in range(1, rounds + 1):
-        marginal, pairs, _ = forward_backward(x @ theta[:WIDTH], first, theta[WIDTH:].reshape(2, 2))
-        grad = np.concatenate([x.T @ (weight * (y - marginal)) / len(lines), ((same - pairs) / n_pairs).ravel()]) - penalty * theta
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        theta += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-    return theta
+    each = 0.5 / np.bincount(label, minlength=2)[label] / sizes
+    pieces = -(-sizes // segment)
+    place = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    cut = np.minimum(segment, np.repeat(sizes, pieces) - place * segment)
+    first = np.concatenate(([0], np.cumsum(cut)))
+    label, each = np.repeat(label, pieces), np.repeat(each, pieces)
+    return climb(lambda at: objective(at, x, first, label, each, penalty), theta, rounds)
 
 
 def document_scores(lines: Lines, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,24 +237,39 @@ def document_scores(lines: Lines, theta: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.clip(score, 0, 1), np.bincount(lines.doc, marginal >= 0.5, n).astype(np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    sample_rows: int = SAMPLE_ROWS, sample_lines: int = SAMPLE_LINES,
+) -> np.ndarray:
     """Weights from a bounded sample of the labelled documents outside the held-out fold."""
     given = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
-    given = given.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
-    chosen = bounded_sample(given.groupBy("doc_id").agg(F.min("label").alias("label")), "doc_id", sample_rows)
-    texts = tb.id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("label", "text")  # about sample_rows rows
+    given = given.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
+    given = given.groupBy("doc_id").agg(F.min("label").alias("label"))
+    chosen = bounded_sample(given, sample_rows, "doc_id")
+    texts = tb.id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("label", "text", F.xxhash64("text").alias("key"))  # about sample_rows rows
 
     def run(batches):
         for batch in batches:
             rows = []
             for block in tb.blocks(batch.column(1)):
                 lines = line_features(block)
-                labels = batch.column(0).slice(block.row, block.n).to_pylist()
-                rows += [(labels[k], lines.x[a:b].tobytes()) for k, (a, b) in enumerate(zip(lines.first[:-1], lines.first[1:], strict=True)) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["label", "x"])
-
-    sample = texts.mapInArrow(run, "label int, x binary").collect()
-    sample.sort(key=lambda r: (r["label"], bytes(r["x"])))
+                labels, keys = (batch.column(c).slice(block.row, block.n).to_pylist() for c in (0, 2))
+                rows += [(labels[k], keys[k], int(b - a), lines.x[a:b].tobytes()) for k, (a, b) in enumerate(zip(lines.first[:-1], lines.first[1:], strict=True)) if b > a]
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["label", "key", "n", "x"])
+
+    with scratch(docs.sparkSession) as made:
+        found = made.written(texts.mapInArrow(run, "label int, key long, n long, x binary"), "line-features")
+        if not chosen.limit(1).count() and given.limit(1).count():
+            raise ValueError("the sample of labelled documents is empty; raise sample_rows")
+        room, last = sample_lines, None
+        for r in sorted(found.select("key", "n").collect(), key=lambda r: (r["key"], r["n"])):  # about sample_rows rows
+            if r["n"] <= room:
+                room, last = room - r["n"], r["key"]
+            else:
+                break
+        sample = found.where(F.col("key") <= F.lit(last)).collect() if last is not None else []
+    sample.sort(key=lambda r: (r["key"], r["label"], bytes(r["x"])))
     return train([(np.frombuffer(r["x"], np.float32).reshape(-1, WIDTH), r["label"]) for r in sample])
 
 

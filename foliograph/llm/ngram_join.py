@@ -459,14 +459,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """The rows of `df` that stand for their component (its least id, once), and those without a set; all columns."""
+    id_name, n = tb.unused(df, "_kept", "_n")
     groups = near_duplicates(df, id_col, text_col, size, percent)
-    kept = written(groups.where("component_id = doc_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n")), "kept")
+    kept = written(groups.where("component_id = doc_id").groupBy(F.col("doc_id").alias(id_name)).agg(F.count("*").alias(n)), "kept")
     columns, own = [F.col(f"`{c}`") for c in df.columns], F.col(f"`{id_col}`").cast("long")
 
     def rows(which: str) -> DataFrame:
-        return df.join(kept.where(which), own == F.col("_kept"), "left_semi").select(*columns)
+        return df.join(kept.where(which), own == F.col(id_name), "left_semi").select(*columns)
 
-    out = rows("_n = 1").union(df.where(own.isNull()))
-    if kept.where("_n > 1").limit(1).count():  # only then can rows be repeated
-        out = out.union(rows("_n > 1").dropDuplicates([id_col, text_col]))
+    out = rows(f"{n} = 1").union(df.where(own.isNull()))
+    if kept.where(f"{n} > 1").limit(1).count():  # only then can rows be repeated
+        out = out.union(rows(f"{n} > 1").dropDuplicates([id_col, text_col]))
     return out

@@ -1,7 +1,8 @@
-"""Running totals in large groups without one task per group.
+"""Positions in large groups without one task per group.
 
-Rows of a group are dealt into hashed buckets of a few thousand rows; the buckets' totals
-are summed up on two levels, and only the rows of one bucket are ever ordered together.
+Rows of a group are dealt by a hash into buckets of a few hundred rows.  The buckets' totals
+are written out once and summed up on two levels; only the rows of one bucket are ever
+ordered together.
 """
 
 from __future__ import annotations
@@ -9,34 +10,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 500
 
 
-def running_total(df: DataFrame, group: str, order: list[Column], value: Column, rows: int, out: str, seed: int = 0) -> DataFrame:
-    """`df` with the long column `out`: the sum of `value` over the rows of its group that stand before.
+def bucket_count(rows: int) -> int:
+    return max(1, rows // BUCKET_ROWS)
 
-    The order is by a seeded hash of `order`, then by `order`; equal rows are told apart arbitrarily.
-    `rows` is the number of rows of `df`; it sets the number of buckets alone.
+
+def sum_before(column: str, by: list[str], *order: Column | str) -> Column:
+    """The sum of `column` over the rows that stand before in the same window."""
+    earlier = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(column).over(earlier), F.lit(0)).cast("long")
+
+
+def bucket_offsets(sums: DataFrame, group: list[str], bucket: str, value: str, buckets: int, out: str) -> DataFrame:
+    """`sums` (one row per group and bucket) with `out`: the sum of `value` over the group's earlier buckets.
+
+    `sums` is read twice, so it must be cheap to read.  The group columns are compared null-safely.
     """
-    n = max(1, rows // BUCKET_ROWS)
-    upper = max(1, int(n**0.5))
-    dealt = df.withColumns({"_hash": F.xxhash64(F.lit(seed), *order), "_value": value})
-    dealt = dealt.withColumn("_bucket", F.pmod(F.col("_hash"), F.lit(n)))
-    sums = dealt.groupBy(F.col(group).alias("_g"), F.col("_bucket").alias("_b")).agg(F.sum("_value").alias("_sum"))
-    sums = sums.withColumn("_upper", F.floor(F.col("_b") / upper))
-    tops = sums.groupBy("_g", "_upper").agg(F.sum("_sum").alias("_top"))
-    before = Window.rowsBetween(Window.unboundedPreceding, -1)
-
-    def earlier(column: str, by: list[str], key: str) -> Column:
-        return F.coalesce(F.sum(column).over(before.partitionBy(*by).orderBy(key)), F.lit(0))
-
-    tops = tops.select("_g", "_upper", earlier("_top", ["_g"], "_upper").alias("_above"))
-    sums = sums.withColumn("_within", earlier("_sum", ["_g", "_upper"], "_b"))
-    offsets = sums.join(tops, sums["_g"].eqNullSafe(tops["_g"]) & (sums["_upper"] == tops["_upper"])).select(
-        sums["_g"], "_b", (F.col("_within") + F.col("_above")).alias("_offset")
-    )
-    joined = dealt.join(offsets, dealt[group].eqNullSafe(offsets["_g"]) & (dealt["_bucket"] == offsets["_b"]))
-    rank = before.partitionBy(group, "_bucket").orderBy("_hash", *order)
-    return joined.withColumn(out, (F.col("_offset") + F.coalesce(F.sum("_value").over(rank), F.lit(0))).cast("long")).drop(
-        "_hash", "_value", "_bucket", "_g", "_b", "_offset"
-    )
+    wide = max(1, int(buckets**0.5))
+    dealt = sums.withColumn("_wide", F.floor(F.col(bucket) / wide))
+    tops = dealt.groupBy(*group, "_wide").agg(F.sum(value).alias("_top"))
+    tops = tops.select(*[F.col(g).alias(f"_of_{g}") for g in group], F.col("_wide").alias("_of_wide"), sum_before("_top", group, "_wide").alias("_above"))
+    same = F.col("_wide") == F.col("_of_wide")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+    inner = dealt.withColumn(out, sum_before(value, [*group, "_wide"], bucket))
+    return inner.join(tops, same).withColumn(out, F.col(out) + F.col("_above")).drop("_wide", "_above", "_of_wide", *[f"_of_{g}" for g in group])

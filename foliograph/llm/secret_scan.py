@@ -3,15 +3,18 @@
 Two first-order character models, one of random strings and one of ordinary identifiers,
 score every run of key characters; a run whose log-likelihood ratio exceeds `min_llr` in
 all and `min_llr_char` per character is a `random` span.  The models are trained from
-labelled samples: runs of a bounded sample of documents (`sample_rows`), labelled random
-where they are the value of a base match, ordinary elsewhere, with seeded random strings.
+labelled samples: runs of about `sample_rows` documents, labelled random where they are the
+value of a base match, ordinary elsewhere, with seeded random strings.  Of the distinct runs of
+those documents at most `sample_runs`, chosen by a hash, train the models, each by at most its first
+`RUN_CHARS` characters, so what the driver holds is bounded.
 
 Base kinds assign, access and hex are found by their patterns, in documents that a byte
 scan of the block marks; base spans always stay.  Spans are in code points, end exclusive.
 
 Defined results: null or empty text has no spans; a null doc_id is passed on; repeated rows
 are each scanned; an empty table gives an empty one; without samples the ordinary model is
-trained from the seeded strings' smoothing alone.
+trained from the seeded strings' smoothing alone, and it is an error if there are rows but the
+sample has none.
 """
 
 from __future__ import annotations
@@ -44,7 +47,7 @@ ASSIGN = re.compile(
 ACCESS = re.compile("AKIA[A-Z0-9]{16,}")
 HEX = re.compile("[0-9a-f]{24,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-MIN_RUN, MIN_LLR, MIN_LLR_CHAR, SAMPLE_ROWS = 16, 12.0, 0.6, 3000
+MIN_RUN, MIN_LLR, MIN_LLR_CHAR, SAMPLE_ROWS, SAMPLE_RUNS, RUN_CHARS = 16, 12.0, 0.6, 3000, 60_000, 4096
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 CODE = np.full(256, -1, np.int64)
@@ -148,15 +151,18 @@ def scan(block: tb.Block, texts, table: np.ndarray, min_llr: float, min_llr_char
     return [sorted(spans, key=lambda s: (s[1], ORDER[s[0]], s[2])) for spans in out]
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int, seed: str = "sample") -> DataFrame:
+def sample_bound(rows: int, total: int) -> int:
+    """The signed 64-bit hash below which about `rows` of `total` rows lie."""
+    return min((1 << 63) - 1, -(1 << 63) + (rows << 64) // max(1, total))
+
+
+def bounded_sample(df: DataFrame, rows: int, *key: str, seed: str = "sample") -> DataFrame:
     """About `rows` rows of `df` chosen by a hash of `key` (all if there are no more)."""
     total = df.count()
-    if total <= rows:
-        return df
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 20)) < int(rows / total * (1 << 20)))
+    return df if total <= rows else df.where(F.xxhash64(F.lit(seed), *key) < F.lit(sample_bound(rows, total)))
 
 
-def labelled_runs(df: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
+def labelled_runs(df: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_runs: int = SAMPLE_RUNS) -> tuple[list[str], list[str]]:
     """Random and ordinary runs of a bounded sample of documents."""
 
     def run(batches):
@@ -164,22 +170,24 @@ def labelled_runs(df: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[s
             rows = []
             for text in batch.column(1).to_pylist():
                 values = base_values(text or "")
-                rows += [(text[a:b], True) for a, b in values]
+                rows += [(text[a : min(b, a + RUN_CHARS)], True) for a, b in values]
                 for m in re.finditer(r"[A-Za-z0-9+/_=-]{8,}", text or ""):
                     if not any(a < m.end() and m.start() < b for a, b in values):
-                        rows.append((m.group(), False))
+                        rows.append((m.group()[:RUN_CHARS], False))
             rows = list(dict.fromkeys(rows))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_())], names=["run", "random"])
 
-    found = bounded_sample(df, "doc_id", sample_rows).mapInArrow(run, "run string, random boolean").distinct()
-    cap = 20 * sample_rows
-    rows = found.orderBy(F.xxhash64("run"), "run").limit(cap).collect()
+    chosen = bounded_sample(df, sample_rows, "doc_id", "text")
+    found = chosen.mapInArrow(run, "run string, random boolean").distinct()
+    rows = found.orderBy(F.xxhash64("run"), "run").limit(sample_runs).collect()
+    if not rows and not chosen.limit(1).count() and df.limit(1).count():
+        raise ValueError("the sample of documents is empty; raise sample_rows")
     return [r.run for r in rows if r.random], [r.run for r in rows if not r.random]
 
 
 def secret_scan(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: np.ndarray | None = None,
-    min_llr: float = MIN_LLR, min_llr_char: float = MIN_LLR_CHAR, sample_rows: int = SAMPLE_ROWS,
+    min_llr: float = MIN_LLR, min_llr_char: float = MIN_LLR_CHAR, sample_rows: int = SAMPLE_ROWS, sample_runs: int = SAMPLE_RUNS,
 ) -> DataFrame:
     """Per row: the number of base spans by kind, a digest of them, and all spans (no shuffle).
 
@@ -187,7 +195,7 @@ def secret_scan(
     """
     docs = tb.id_and_text(df, id_col, text_col)
     if table is None:
-        table = train(*labelled_runs(docs, sample_rows))
+        table = train(*labelled_runs(docs, sample_rows, sample_runs))
 
     def run(batches):
         for batch in batches:

@@ -2,26 +2,32 @@
 
 Old shards supply their bytes, new shards demand their capacities, and moving a byte costs
 one unless it stays: a minimum-cost flow gives the transfers that move the fewest bytes.
-Documents are dealt into hashed blocks of their old shard (`BLOCKS` in all, whatever the
-input), and blocks are assigned to the flow's arcs, largest first, so shards differ from
-their capacities by about one small block.  Only shards that lose or gain blocks are
-rewritten.
-
-Defined results: a null text has no bytes (size 1), a null source is a source of its own,
-repeated rows are separate rows in the same block, equal texts may part (sizes decide), an
-empty table gives an empty one.
+Documents are dealt into hashed blocks of their old shard (`BLOCKS` in all for as many old
+shards as new ones, whatever the input), and blocks are assigned to the flow's arcs, largest
+first, so shards differ from their capacities by about one small block.
+
+`reshard` gives every row its new shard and slot.  `rewrite_affected` changes the files: shards
+that lose blocks are rewritten without them, shards that gain blocks get files beside their
+own, and the rest is not touched.
+
+Defined results: a null text has no bytes (size 1), a null source or old shard is one of its
+own, repeated rows are separate rows in the same block, rows of one id but other texts part,
+equal texts may part (sizes decide), an empty table gives an empty one; columns of the caller keep their values, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .running import running_total
+from . import textblocks as tb
+from .running import bucket_count, bucket_offsets, sum_before
+from .shared import remove_folder, written
 
-SHARDS, BLOCKS = 8, 8192
+SHARDS, BLOCKS, FILE_BYTES = 8, 8192, 256 << 20
 
 
 def min_cost_flow(supply: list[int], demand: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -98,6 +104,10 @@ def transfers(sizes: dict[tuple[int, int], int], new: list[int]) -> dict[tuple[i
     out = {}
     for n, old in enumerate(olds):
         left = list(flow[n])
+        least = min(-size for size, _ in by_old[old])
+        for j, f in enumerate(left):
+            if j != old < len(new) and 2 * f < least:  # no block comes nearer to it than none
+                left[old], left[j] = left[old] + f, 0
         open_to = [j for j, f in enumerate(left) if f > 0] or [min(old, len(new) - 1)]
         for size, block in sorted(by_old[old]):
             j = max(open_to, key=lambda j: (left[j], j == old))
@@ -111,43 +121,112 @@ def by_source(df: DataFrame, source_col: str = "source", shards: int = SHARDS) -
     return F.pmod(F.crc32(F.encode(F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")), "utf-8")), F.lit(shards)).cast("int")
 
 
+@dataclass
+class Placement:
+    """Rows with their old shard, block and part of a block, and the new shard of each block."""
+
+    rows: DataFrame
+    names: list[str]
+    sums: DataFrame
+    sizes: dict[tuple[int, int], int]
+    counts: dict[tuple[int, int], int]
+    chosen: dict[tuple[int, int], int]
+    parts: int
+
+
+def place_blocks(df: DataFrame, old_shard: Column, shards: int, id_col: str, text_col: str, new: list[int] | None) -> Placement:
+    """Deals rows into blocks and finds the blocks' new shards.  Reads the texts once."""
+    names = size, crc, old, block, part, _ = tb.unused(df, "_size", "_crc", "_old", "_block", "_part", "_key")
+    text = F.encode(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), "utf-8")
+    each, ident = max(1, BLOCKS // shards), F.col(f"`{id_col}`")
+    parts = max(1, bucket_count(df.count()) // BLOCKS)
+    rows = df.withColumns({size: (F.octet_length(text) + 1).cast("long"), crc: F.crc32(text), old: F.coalesce(old_shard.cast("int"), F.lit(-1))})
+    rows = rows.withColumns({block: F.pmod(F.xxhash64(ident, crc), F.lit(each)).cast("int"), part: F.pmod(F.xxhash64(F.lit(29), ident, crc), F.lit(parts)).cast("int")})
+    sums = written(rows.groupBy(F.col(old).alias("old"), F.col(block).alias("block"), F.col(part).alias("part")).agg(F.sum(size).alias("size"), F.count("*").alias("n")), "block-sums")
+    found = sums.groupBy("old", "block").agg(F.sum("size").alias("size"), F.sum("n").alias("n")).collect()  # BLOCKS / shards rows an old shard
+    sizes = {(r["old"], r["block"]): r["size"] for r in found}
+    chosen = transfers(sizes, capacities(sum(sizes.values()), shards) if new is None else new)
+    return Placement(rows, names, sums, sizes, {(r["old"], r["block"]): r["n"] for r in found}, chosen, parts)
+
+
 def reshard(df: DataFrame, old_shard: Column, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", new: list[int] | None = None) -> DataFrame:
     """`df` with the struct `_shard` (size, text_crc32, law, old_shard, shard, slot, grown_shard).
 
     `new` holds the new capacities in bytes (default: equal); `slot` numbers the rows of a shard from 0.
+    The struct's name has underscores added while `df` has a column of that name.
     """
-    spark, text = df.sparkSession, F.encode(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), "utf-8")
-    each = max(1, BLOCKS // shards)
-    block = F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(each)).cast("int")
-    rows = df.withColumns({"_size": (F.octet_length(text) + 1).cast("long"), "_crc": F.crc32(text), "_old": old_shard, "_block": block})
-    found = rows.groupBy("_old", "_block").agg(F.sum("_size").alias("size"), F.count("*").alias("n")).collect()
-    sizes = {(r["_old"], r["_block"]): r["size"] for r in found}
-    total = sum(sizes.values())
-    chosen = transfers(sizes, capacities(total, shards) if new is None else new)
-    table = spark.createDataFrame([(o, b, j) for (o, b), j in chosen.items()], "_o int, _b int, _new int")
-    placed = rows.join(F.broadcast(table), (F.col("_old") == F.col("_o")) & (F.col("_block") == F.col("_b")))  # at most BLOCKS rows
-    numbered = running_total(placed, "_new", [F.col(f"`{id_col}`"), F.col("_crc")], F.lit(1), sum(r["n"] for r in found), "_slot", 29)
+    spark, out = df.sparkSession, tb.unused(df, "_shard")[0]
+    placed = place_blocks(df, old_shard, shards, id_col, text_col, new)
+    size, crc, old, block, part, key = placed.names
+    base, table = defaultdict(int), []
+    for (o, b), shard in sorted(placed.chosen.items()):
+        table.append((o, b, shard, base[shard]))
+        base[shard] += placed.counts[o, b]
+    blocks = F.broadcast(spark.createDataFrame(table, "old int, block int, shard int, first long"))  # BLOCKS / shards rows an old shard
+    offsets = bucket_offsets(placed.sums, ["old", "block"], "part", "n", placed.parts, "offset").join(blocks, ["old", "block"])
+    offsets = offsets.select(F.struct("old", "block", "part", "shard", (F.col("first") + F.col("offset")).alias("first")).alias(key))
+    one = placed.rows.withColumn(out, F.lit(1))
+    ranked = one.withColumn(out, sum_before(out, [old, block, part], F.xxhash64(F.lit(31), f"`{id_col}`", crc), f"`{id_col}`", crc))
+    same = (F.col(old) == F.col(f"{key}.old")) & (F.col(block) == F.col(f"{key}.block")) & (F.col(part) == F.col(f"{key}.part"))
     digest = F.struct(
-        F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("_old").alias("old_shard"),
-        F.col("_new").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        F.col(size).alias("size"), F.col(crc).alias("text_crc32"), F.lit("bytes").alias("law"), F.nullif(F.col(old), F.lit(-1)).alias("old_shard"),
+        F.col(f"{key}.shard").alias("shard"), (F.col(f"{key}.first") + F.col(out)).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
-    return numbered.select(*[numbered[f"`{c}`"] for c in df.columns], digest.alias("_shard"))
+    return ranked.join(offsets, same).select(*[F.col(f"`{c}`") for c in df.columns], digest.alias(out))
 
 
 def rewrite_affected(spark: SparkSession, path: str, shards: int, staging: str, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
-    """Reshard the Parquet folders `shard=K` under `path`; returns the shards that were rewritten.
+    """Reshard the Parquet folders `shard=K` under `path`; returns the shards whose files changed.
 
-    The new content of affected shards is written to `staging` first, then replaces their
-    folders; shards that keep exactly their blocks are not touched.
+    Only shards that lose blocks are read again: what moves and what stays of them is written to
+    `staging`, then a list of the changes, and only then folders change by renames.  A run that was
+    interrupted is finished by the next one from that list; before the list is whole, `path` is
+    as it was.  Folders of shards that are no more go.  `staging` must be in the file system of `path`.
     """
+    affected = set(_finish(spark, path, staging))
+    remove_folder(spark, staging)
     layout = spark.read.parquet(path)
     columns = [c for c in layout.columns if c != "shard"]
-    moved = reshard(layout, F.col("shard").cast("int"), shards, id_col, text_col)
-    moved.select(*columns, F.col("_shard.old_shard").alias("old"), F.col("_shard.shard").alias("shard")).write.mode("overwrite").parquet(staging)
-    ready = spark.read.parquet(staging)
-    arcs = ready.where("old <> shard").select("old", "shard").distinct().collect()  # at most shards squared
-    affected = sorted({r["old"] for r in arcs} | {r["shard"] for r in arcs})
-    if affected:
-        part = ready.where(F.col("shard").isin(affected)).drop("old")
-        part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-    return affected
+    placed = place_blocks(layout, F.col("shard"), shards, id_col, text_col, None)
+    _, _, old, block, _, key = placed.names
+    new, what = tb.unused(placed.rows, "shard_", "_what")
+    moves = {(o, j) for (o, b), j in placed.chosen.items() if o != j}
+    losers, gains = sorted({o for o, _ in moves}), sorted({j for _, j in moves})
+    if not losers:
+        return sorted(affected)
+    table = spark.createDataFrame([(o, b, j) for (o, b), j in placed.chosen.items()], "old int, block int, new int").select(F.struct("*").alias(key))
+    rows = placed.rows.where(F.col("shard").isin(losers)).join(F.broadcast(table), (F.col(old) == F.col(f"{key}.old")) & (F.col(block) == F.col(f"{key}.block")))
+    rows = rows.withColumns({new: F.col(f"{key}.new"), what: F.when(F.col(old) == F.col(f"{key}.new"), "stays").otherwise("moves")})
+    files = 1 + sum(size for (o, _), size in placed.sizes.items() if o in losers) // FILE_BYTES
+    dealt = rows.repartition(max(len(losers) + len(gains), int(files)), what, new, F.pmod(F.col(block), F.lit(int(files))))
+    dealt.select(*columns, F.col(what).alias("what"), F.col(new).alias("shard")).write.partitionBy("what", "shard").parquet(f"{staging}/files")
+    expected = sum(n for (o, _), n in placed.counts.items() if o in losers)
+    if spark.read.parquet(f"{staging}/files").count() != expected:
+        raise RuntimeError(f"{staging} does not hold the {expected} rows that were read; {path} is as it was")
+    changes = [("stays", o) for o in losers] + [("moves", j) for j in gains]
+    spark.createDataFrame(changes, "what string, shard int").coalesce(1).write.json(f"{staging}/changes")
+    return sorted(affected | set(_finish(spark, path, staging)))
+
+
+def _finish(spark: SparkSession, path: str, staging: str) -> list[int]:
+    """Makes the changes that `staging` lists, as far as they are not made; the shards concerned."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path
+    system = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(at(f"{staging}/changes/_SUCCESS")):
+        return []
+    changes = sorted((r["what"], r["shard"]) for r in spark.read.schema("what string, shard int").json(f"{staging}/changes").collect())
+    for shard in (s for what, s in changes if what == "stays"):
+        own, gone, ready = (at(f"{x}/shard={shard}") for x in (path, f"{staging}/gone", f"{staging}/files/what=stays"))
+        if not system.exists(gone):
+            system.mkdirs(at(f"{staging}/gone"))
+            system.rename(own, gone)
+        if system.exists(ready):
+            system.rename(ready, own)
+    for shard in (s for what, s in changes if what == "moves"):
+        ready = at(f"{staging}/files/what=moves/shard={shard}")
+        system.mkdirs(at(f"{path}/shard={shard}"))
+        for file in system.listStatus(ready) if system.exists(ready) else []:
+            system.rename(file.getPath(), at(f"{path}/shard={shard}/{file.getPath().getName()}"))
+    remove_folder(spark, staging)
+    return sorted({s for _, s in changes})

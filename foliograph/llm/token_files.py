@@ -11,15 +11,18 @@ so any run of ids is found from the block offsets and unpacked by numpy.
 
 Texts are encoded by the tokenizers library in units: byte-level BPE never joins across a
 space between two words, so a text is cut there, equal units of a block of texts are
-encoded once, and recent units are kept.
+encoded once, and the units that were used last are kept.  Units are told apart by 128 bits of
+two independent hashes.  The strings of special tokens in a text are special tokens, as the
+library has it by default; with `special_tokens=False` they are ordinary text.
 
-Documents are range-partitioned by id, a partition writes one file into the shared folder,
-and the list of files (one row per partition) is held by the driver.  A failed attempt
-leaves a file that no list names.
+Documents are range-partitioned by id, a partition writes one file of about `FILE_BYTES` of
+text into the shared folder (less, down to `LEAST_FILE_BYTES`, while there are fewer files
+than cores), and the list of files is held by the driver: one row for 256 MB of text.
+A failed attempt leaves a file that no list names.
 
 Defined results: a null text is empty and gives the end id alone; a null document id sorts
-first and is read back as null; repeated rows each have their ids; an empty table gives an
-empty one.
+first and is read back as null; rows of one id stand in the order of a hash of their texts, then
+of the texts, and may be in several files; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,6 +31,9 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +44,8 @@ from pyspark.sql import functions as F
 from . import textblocks as tb
 from .shared import shared_dir
 
-BLOCK_IDS, END_ID, KNOWN_UNITS, FILE_ROWS = 1 << 16, 2, 500_000, 4000
+BLOCK_IDS, END_ID, KNOWN_UNITS = 1 << 16, 2, 1_500_000
+FILE_BYTES, LEAST_FILE_BYTES = 256 << 20, 8 << 20
 MAGIC = b"FBP1"
 FOOTER = struct.Struct("<4sIIxxxxQQ")
 NO_ID = -(1 << 63)
@@ -141,11 +148,12 @@ class Reader:
         return self.ids(int(self.first[k]), int(self.first[k + 1]))
 
 
-def units(block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
+def units(block: tb.Block, specials: tuple[bytes, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Byte spans that can be encoded on their own.
 
     Texts are cut before a single space between words, around a single line end between
-    words, and before punctuation that follows a letter: pieces always end there.
+    words, and before punctuation that follows a letter: pieces always end there.  A special
+    token is a unit of its own.
     """
     data, n = block.data, len(block.data)
     cut = np.zeros(n + 1, bool)
@@ -157,79 +165,166 @@ def units(block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
         line = line[~_MAY_BE_SPACE[data[line + 1]]]
         cut[space] = cut[line] = cut[line + 1] = True
         cut[1:n] |= _LETTER[data[:-1]] & _PUNCTUATION[data[1:]]
+    found = _special_spans(block, specials)
+    for a, b in found:
+        cut[a : b + 1] = False
+    for a, b in found:
+        cut[a] = cut[b] = True
     cut[block.start] = True
     cut[n] = False
     begin = np.flatnonzero(cut)
     return begin, np.append(begin[1:], n)
 
 
+def _special_spans(block: tb.Block, specials: tuple[bytes, ...]) -> list[tuple[int, int]]:
+    """Leftmost, longest, non-overlapping places of special tokens, each within a document."""
+    raw, found = block.data.tobytes() if specials else b"", []
+    for word in specials:
+        at = raw.find(word)
+        while at >= 0:
+            if np.searchsorted(block.start, at, "right") == np.searchsorted(block.start, at + len(word) - 1, "right"):
+                found.append((at, -(at + len(word))))
+            at = raw.find(word, at + 1)
+    out, last = [], 0
+    for a, b in sorted(found):
+        if a >= last:
+            out.append((a, -b))
+            last = -b
+    return out
+
+
+@dataclass
+class Tokenizer:
+    """`encode` turns texts into ids, `spans` holds the bytes of each id's token, `specials` the special tokens that it looks for."""
+
+    encode: Callable[[list[str]], list[list[int]]]
+    spans: np.ndarray
+    specials: tuple[bytes, ...] = ()
+
+
 class UnitEncoder:
-    """Encodes blocks of texts; keeps the ids of at most `KNOWN_UNITS` recent units.
+    """Encodes blocks of texts; keeps the ids of at most `KNOWN_UNITS` units in arrays, in the order of their hashes."""
 
-    `spans` gives the number of bytes of each id's token.
-    """
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer, self.block = tokenizer, 0
+        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.length, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], spans: np.ndarray):
-        self.encode, self.spans, self.known = encode, spans, {}
+    def learn(self, names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some units, and the number of ids of each.
 
-    def learn(self, names: list[bytes]) -> None:
-        """Words with their space are encoded a thousand in a text, and told apart by their tokens' bytes."""
+        Words with their space are encoded a thousand in a text, and told apart by their tokens' bytes.
+        """
         joined, single = [], []
-        for name in names:
+        for n, name in enumerate(names):
             word = len(name) > 1 and name[0] == 32 and name[1] > 32 and not _MAY_BE_SPACE[name[1]] and 32 < name[-1] < 127
-            (joined if word else single).append(name)
+            (joined if word else single).append(n)
         groups = [joined[a : a + 1000] for a in range(0, len(joined), 1000)]
-        coded = self.encode([b"".join(g).decode() for g in groups] + [name.decode() for name in single])
+        coded = self.tokenizer.encode([b"".join([names[n] for n in g]).decode() for g in groups] + [names[n].decode() for n in single])
+        length, parts = np.zeros(len(names), np.int64), []
         for group, ids in zip(groups, coded, strict=False):
             codes = np.array(ids, np.uint32)
-            ends = np.cumsum(self.spans[codes])
-            places = np.searchsorted(ends, np.cumsum([len(name) for name in group])) + 1
-            raw, last = codes.tobytes(), 0
-            for name, place in zip(group, places.tolist(), strict=True):
-                self.known[name] = raw[4 * last : 4 * place]
-                last = place
-        self.known.update((name, np.array(ids, np.uint32).tobytes()) for name, ids in zip(single, coded[len(groups) :], strict=True))
+            ends = np.cumsum(self.tokenizer.spans[codes])
+            length[group] = np.diff(np.searchsorted(ends, np.cumsum([len(names[n]) for n in group])) + 1, prepend=0)
+            parts.append(codes)
+        length[single] = [len(ids) for ids in coded[len(groups) :]]
+        parts.append(np.fromiter(chain.from_iterable(coded[len(groups) :]), np.uint32))
+        pool, order = np.concatenate(parts), np.array(joined + single, np.int64)
+        start = np.empty(len(names), np.int64)
+        start[order] = np.cumsum(length[order]) - length[order]
+        return pool[_ranges(start, length)], length
+
+    def _add(self, key: np.ndarray, check: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+        at = np.searchsorted(self.key, key)
+        start = len(self.pool) + np.cumsum(length) - length
+        new = {"key": key, "check": check, "start": start, "length": length, "used": np.full(len(key), self.block)}
+        for name, values in new.items():
+            setattr(self, name, np.insert(getattr(self, name), at, values))
+        self.pool = np.concatenate([self.pool, ids])
+
+    def _forget(self) -> None:
+        """Keeps the half of the units that were used last."""
+        keep = self.used > np.partition(self.used, len(self.used) // 2)[len(self.used) // 2]
+        self.pool = self.pool[_ranges(self.start[keep], self.length[keep])]
+        for name in ("key", "check", "length", "used"):
+            setattr(self, name, getattr(self, name)[keep])
+        self.start = np.cumsum(self.length) - self.length
 
     def __call__(self, block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block, and the number of ids of each document."""
         if not len(block.data):
             return np.zeros(0, np.uint32), np.zeros(block.n, np.int64)
-        begin, end = units(block)
-        _, one, inverse = np.unique(tb.span_hashes(block.data, begin, end), return_index=True, return_inverse=True)
-        raw = block.data.tobytes()
-        names = [raw[a:b] for a, b in zip(begin[one].tolist(), end[one].tolist(), strict=True)]
-        if len(self.known) > KNOWN_UNITS:
-            self.known.clear()
-        known = self.known
-        if fresh := [name for name in names if name not in known]:
-            self.learn(fresh)
-        parts = [known[name] for name in names]
-        length = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        pool, offset = np.frombuffer(b"".join(parts), np.uint32), np.cumsum(length) - length
-        many = length[inverse]
-        ends = np.cumsum(many)
-        ids = pool[np.arange(ends[-1]) + np.repeat(offset[inverse] - (ends - many), many)]
-        total = np.concatenate(([0], ends))
+        begin, end = units(block, self.tokenizer.specials)
+        hashes, checks = (tb.span_hashes(block.data, begin, end, seed=seed) for seed in (0, 1))
+        key, one, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        check = checks[one]
+        if (check[inverse] != checks).any():  # different units of equal hashes
+            both = np.stack([hashes, checks], 1)
+            both, one, inverse = np.unique(both, axis=0, return_index=True, return_inverse=True)
+            (key, check), inverse = both.T.copy(), inverse.ravel()
+        self.block += 1
+        if len(self.key) > KNOWN_UNITS:
+            self._forget()
+        at = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
+        known = (self.key[at] == key) & (self.check[at] == check) if len(self.key) else np.zeros(len(key), bool)
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            raw = block.data.tobytes()
+            ids, length = self.learn([raw[a:b] for a, b in zip(begin[one[fresh]].tolist(), end[one[fresh]].tolist(), strict=True)])
+            zero = len(self.pool)
+            starts, lengths = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+            starts[fresh], lengths[fresh] = zero + np.cumsum(length) - length, length
+            self.used[at[known]] = self.block
+            starts[known], lengths[known] = self.start[at[known]], self.length[at[known]]
+            self._add(key[fresh], check[fresh], ids, length)
+        else:
+            self.used[at] = self.block
+            starts, lengths = self.start[at], self.length[at]
+        many = lengths[inverse]
+        ids = self.pool[_ranges(starts[inverse], many)]
+        total = np.concatenate(([0], np.cumsum(many)))
         places = np.searchsorted(begin, block.start)
         return ids, total[places[1:]] - total[places[:-1]]
 
 
-def library_encoder(path: str) -> tuple[Callable[[list[str]], list[list[int]]], np.ndarray]:
-    """An encoder from a tokenizers file (special tokens in texts are ordinary text), and each token's bytes.
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each range, one range behind another."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)
+
+
+@lru_cache(maxsize=2)
+def library_tokenizer(path: str, special_tokens: bool = True) -> Tokenizer:
+    """A tokenizer from a file of the tokenizers library.
 
     In a byte-level vocabulary a token's name has one character per byte.
     """
     import os
 
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer as Library
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    spans = np.zeros(tokenizer.get_vocab_size(), np.int64)
-    for name, n in tokenizer.get_vocab().items():
+    library = Library.from_file(path)
+    library.encode_special_tokens = not special_tokens
+    added = library.get_added_tokens_decoder()
+    spans = np.zeros(max([library.get_vocab_size(), *(n + 1 for n in added)]), np.int64)
+    for name, n in library.get_vocab().items():
         spans[n] = len(name)
-    return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], spans
+    specials = []
+    for n, token in added.items():
+        spans[n] = len(token.content.encode())
+        if special_tokens or not token.special:
+            if token.lstrip or token.rstrip or token.single_word or token.normalized:
+                raise ValueError(f"the token {token.content} depends on the text around it")
+            specials.append(token.content.encode())
+    return Tokenizer(lambda texts: [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)], spans, tuple(specials))
+
+
+@lru_cache(maxsize=2)
+def unit_encoder(path: str, special_tokens: bool = True) -> UnitEncoder:
+    """The encoder of a Python worker: what it has learned serves the tasks that follow."""
+    return UnitEncoder(library_tokenizer(path, special_tokens))
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> np.ndarray:
@@ -237,32 +332,36 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> np.ndarray:
     return np.insert(ids, np.cumsum(counts), end_id)
 
 
-def write_tokens(df: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> list[dict]:
+def write_tokens(
+    df: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, special_tokens: bool = True, file_bytes: int = FILE_BYTES,
+) -> list[dict]:
     """Writes all documents in ascending id order; returns the files in that order with their first global id."""
-    rows = tb.id_and_text(df, id_col, text_col)
-    n = max(1, -(-df.count() // FILE_ROWS))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    rows = tb.id_and_text(df, id_col, text_col).withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
+    size, cores = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, df.sparkSession.sparkContext.defaultParallelism
+    n = max(1, -(-size // min(file_bytes, max(LEAST_FILE_BYTES, size // (4 * cores)))))
+    ordered = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text", "tie")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        encode, spans = library_encoder(tokenizer_path)
-        encoder, writer, name, low, high = UnitEncoder(encode, spans), None, "", None, None
+        encoder, writer, name, low, high = unit_encoder(tokenizer_path, special_tokens), None, "", None, None
+        width = width_of(max(len(encoder.tokenizer.spans), end_id + 1))
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            ids, ties = batch.column(0).to_pylist(), batch.column(2)
             for block in tb.blocks(batch.column(1)):
                 if writer is None:
-                    name, low = f"{folder}/{uuid.uuid4().hex}.ids", ids[block.row]
+                    name, low = f"{folder}/{uuid.uuid4().hex}.ids", (ids[block.row], ties[block.row].as_py())
                     system, path = fs.FileSystem.from_uri(name)
                     system.create_dir(path.rpartition("/")[0], recursive=True)
-                    writer = Writer(system.open_output_stream(path), width_of(max(len(spans), end_id + 1)))
+                    writer = Writer(system.open_output_stream(path), width)
                 coded, counts = encoder(block)
-                high = ids[block.row + block.n - 1]
+                high = (ids[block.row + block.n - 1], ties[block.row + block.n - 1].as_py())
                 writer.add(with_end(coded, counts, end_id), list(zip(ids[block.row : block.row + block.n], (counts + 1).tolist(), strict=True)))
         if writer is not None:
             writer.close()
-            yield pa.RecordBatch.from_pydict({"file": [name], "low": [low], "high": [high], "n": [writer.n]}, pa.schema([("file", pa.string()), ("low", pa.int64()), ("high", pa.int64()), ("n", pa.int64())]))
+            row = {"file": [name], "low": [low[0]], "low_tie": [low[1]], "high": [high[0]], "high_tie": [high[1]], "n": [writer.n]}
+            yield pa.RecordBatch.from_pydict(row, pa.schema([("file", pa.string()), *((c, pa.int64()) for c in ("low", "low_tie", "high", "high_tie", "n"))]))
 
-    files = [r.asDict() for r in ordered.mapInArrow(run, "file string, low long, high long, n long").collect()]
-    files.sort(key=lambda r: (r["low"] is not None, r["low"] or 0, r["high"] or 0))
+    files = [r.asDict() for r in ordered.mapInArrow(run, "file string, low long, low_tie long, high long, high_tie long, n long").collect()]
+    files.sort(key=lambda r: (r["low"] is not None, r["low"] or 0, r["low_tie"], r["high"] or 0, r["high_tie"]))
     start = 0
     for r in files:
         r["start"], start = start, start + r["n"]

@@ -34,6 +34,12 @@ def rows(docs):
     return [(r.doc_id, r.text, r.source) for r in docs.collect()]
 
 
+CLASHING = (
+    "size", "score", "kept", "chunk", "class", "start", "_size", "_at", "shard", "slot", "block", "family", "root", "node", "_source", "_crc", "_hash", "_bucket", "_new", "_o", "_b", "_old", "_block",
+    "_part", "_key", "_found", "run", "target", "_n", "_s", "_value", "_g", "offset", "first", "_offset", "old", "new", "part", "bucket", "n", "at", "_of", "cuts", "step", "print", "check", "tie", "_kept", "item_id",
+)
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls in every column, empty, blank and long texts, repeated rows, clashing extra columns."""
@@ -44,15 +50,17 @@ def odd(spark):
         (None, "no id here at all, really none", "en", "a", 1), (7, long, "en", "a", 1), (8, "x y z w v u t s r q " * 3 + "tail", "en", "c", 1), (9, "é ü ñ <|endoftext|> 'tis 　 mail: a.b@c.de", "en", "a", 1),
     ]
     frame = spark.createDataFrame(base, SCHEMA)
-    return frame.withColumns({c: F.lit("clash") for c in ("size", "score", "kept", "chunk", "class", "start", "_size", "_at", "shard", "slot", "block", "family", "root", "node")})
+    return frame.withColumns({c: F.lit(f"own {c}") for c in CLASHING})
 
 
 OPERATORS = {
     "line_quality": lambda d: line_quality.line_quality(d, np.zeros(line_quality.WIDTH + 4)), "quality_rules": quality_rules.repetition_rules, "keep_unrepetitive": quality_rules.keep_unrepetitive,
     "ngram_join": ngram_join.near_duplicates, "one_per_group": ngram_join.one_per_group, "contaminated": lambda d: decontamination.contaminated(d, d.selectExpr("doc_id as item_id", "text").where("doc_id in (1, 2, 4)")),
     "reshard": lambda d: sharding.reshard(d, sharding.by_source(d)), "personal_data": personal_data.personal_data, "redacted": personal_data.redacted, "substring": substring_dedup.remove_repeats,
+    "decontaminate": lambda d: decontamination.decontaminate(d, d.sparkSession.createDataFrame([(1, "x y z w v u")], "item_id long, text string")),
     "mix": mixing.mix, "mixed_rows": mixing.mixed_rows, "secrets": secret_scan.secret_scan,
 }
+ALL_COLUMNS = {"keep_unrepetitive", "one_per_group", "reshard", "redacted", "mix", "mixed_rows", "decontaminate"}
 SAME_ROWS = {"line_quality", "quality_rules", "ngram_join", "reshard", "personal_data", "redacted", "substring", "mix", "secrets"}
 
 
@@ -61,6 +69,17 @@ def test_odd_rows(odd, name):
     out = OPERATORS[name](odd).collect()
     if name in SAME_ROWS:
         assert len(out) == odd.count()
+    if name in ALL_COLUMNS:  # the caller's columns keep their values
+        plain = [c for c in odd.columns if c != "text" or name != "redacted"]
+        assert set(plain) <= set(out[0].__fields__) and all(r[c] == f"own {c}" for r in out for c in CLASHING)
+        rows = {tuple(r[c] for c in plain) for r in odd.collect()}
+        assert {tuple(r[c] for c in plain) for r in out} <= rows and (name not in SAME_ROWS or {tuple(r[c] for c in plain) for r in out} == rows)
+
+
+@pytest.mark.parametrize("name, own", [("reshard", "_shard"), ("mix", "_mix")])
+def test_a_column_of_the_result_is_taken(odd, name, own):
+    out = OPERATORS[name](odd.withColumn(own, F.lit(1)))
+    assert out.columns[-2:] == [own, f"{own}_"] and {r[own] for r in out.collect()} == {1}
 
 
 @pytest.mark.parametrize("name", sorted(OPERATORS))
@@ -116,11 +135,30 @@ def brute_repeats(seq):
     return out
 
 
-@pytest.mark.parametrize("seed", range(12))
+def brute_maximal(seq, least):
+    """Substrings found twice or more, whose occurrences differ in the symbol before and in the symbol behind."""
+    at = collections.defaultdict(list)
+    for i in range(len(seq)):
+        for j in range(i + least, len(seq) + 1):
+            at[tuple(seq[i:j])].append(i)
+    differ = lambda places, step: len({seq[p] if 0 <= p < len(seq) else ("edge", p) for p in (k + step for k in places)}) > 1
+    return sorted(s for s, places in at.items() if len(places) > 1 and differ(places, -1) and differ(places, len(s)))
+
+
+@pytest.mark.parametrize("seed", range(60))
 def test_longest_repeats(seed):
     rng = random.Random(seed)
-    seq = [rng.randint(0, rng.choice([1, 2, 5, 30])) for _ in range(rng.randint(0, 60))]
-    assert quality_rules.longest_repeats(np.array(seq, np.uint64)).tolist() == brute_repeats(seq)
+    seq, least = [rng.randint(0, rng.choice([0, 1, 2, 5, 30])) for _ in range(rng.randint(0, 50))], rng.choice([1, 2, 3, 5])
+    found, longest = quality_rules.find_repeats(np.array(seq, np.uint64), least), brute_repeats(seq)
+    assert found.longest.tolist() == longest
+    assert sorted(tuple(seq[a : a + n]) for a, n in zip(*map(np.ndarray.tolist, found.maximal), strict=True)) == brute_maximal(seq, least)
+    covered = {k + n for k, m in enumerate(longest) if m >= least for n in range(m)}
+    assert covered == {k for a, b in quality_rules.repeated_spans(np.array(seq, np.uint64), least) for k in range(a, b)}
+
+
+def test_repeats_of_one_word():
+    found = quality_rules.find_repeats(np.zeros(200_000, np.uint64))
+    assert found.longest[0] == 199_999 and len(found.maximal[0]) == 199_999 - 7
 
 
 def test_quality_rules(spark, rows):
@@ -302,6 +340,15 @@ def test_min_cost_flow():
     assert sharding.min_cost_flow([3, 3], [3, 3], costs) == [[0, 3], [3, 0]]
 
 
+def brute_blocks(rows, shards, old_of):
+    """Blocks of (old shard, hash) with sizes, and the least number of bytes that any layout of equal shards must move."""
+    size = collections.Counter()
+    for doc, text, source in rows:
+        size[old_of(source)] += len((text or "").encode()) + 1
+    cap = sharding.capacities(sum(size.values()), shards)
+    return size, sum(max(0, size[s] - cap[s]) if s < shards else size[s] for s in size)
+
+
 def test_resharding(spark, rows):
     got = queries.op5_flow_resharding(spark, SF).collect()
     text = {d: t for d, t, _ in rows}
@@ -313,17 +360,74 @@ def test_resharding(spark, rows):
         slots[r.shard].append(r.slot)
         sizes[r.shard] += r.size
     assert set(slots) == set(range(8)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert max(sizes.values()) - min(sizes.values()) <= max(len(t) for t in text.values())
+    largest = max(len((t or "").encode()) for t in text.values()) + 1
+    assert max(sizes.values()) - min(sizes.values()) <= largest
+    # the old layout is the stated one, and no layout of equal shards moves many fewer bytes
+    source = {d: s for d, _, s in rows}
+    old_of = lambda s: zlib.crc32((s or "").encode()) % 8
+    assert all(r.old_shard == old_of(source[r.doc_id]) for r in got)
+    _, least = brute_blocks(rows, 8, old_of)
+    assert least <= sum(r.size for r in got if r.old_shard != r.shard) + 8 * largest and sum(r.size for r in got if r.old_shard != r.shard) <= least + 8 * largest
+
+
+@pytest.mark.parametrize("old, new", [(4, 4), (8, 4), (4, 8), (8, 8), (1, 3)])
+def test_rewrite_affected(spark, docs, tmp_path, old, new):
+    path, staging = f"{tmp_path}/shards", f"{tmp_path}/staging"
+    columns = docs.columns
+    docs.withColumn("shard", F.when(F.col("doc_id") % 10 < 4, 0).otherwise(F.pmod("doc_id", F.lit(old)))).write.partitionBy("shard").parquet(path)
+    before = {r.shard: r.files for r in spark.read.parquet(path).withColumn("f", F.input_file_name()).groupBy("shard").agg(F.collect_set("f").alias("files")).collect()}
+    affected = sharding.rewrite_affected(spark, path, new, staging)
+    after = spark.read.parquet(path)
+    key = lambda frame: sorted(map(repr, (tuple(r) for r in frame.select(*columns).collect())))
+    assert key(after) == key(docs)
+    size = {r.shard: r.s for r in after.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("s")).collect()}
+    assert set(size) == set(range(new)) and max(size.values()) < 1.3 * min(size.values())
+    now = {r.shard: r.files for r in after.withColumn("f", F.input_file_name()).groupBy("shard").agg(F.collect_set("f").alias("files")).collect()}
+    assert all(sorted(now[s]) == sorted(before[s]) for s in before if s not in affected) and set(before) - set(range(new)) <= set(affected)
+    assert not (tmp_path / "staging").exists()
+    sharding.rewrite_affected(spark, path, new, staging)
+    assert key(spark.read.parquet(path)) == key(docs)
 
 
-def test_rewrite_affected(spark, docs, tmp_path):
+@pytest.mark.parametrize("fails_at", range(1, 9))
+def test_interrupted_rewrite_is_finished(spark, tmp_path, monkeypatch, fails_at):
     path, staging = f"{tmp_path}/shards", f"{tmp_path}/staging"
-    docs.withColumn("shard", F.when(F.col("doc_id") % 10 < 7, 0).otherwise(F.col("doc_id") % 3 + 1)).write.partitionBy("shard").parquet(path)
-    affected = sharding.rewrite_affected(spark, path, 4, staging)
+    frame = spark.range(400).withColumns({"doc_id": F.col("id"), "text": F.lit("some text of a row"), "shard": F.when(F.col("id") < 300, 0).otherwise(F.col("id") % 3)})
+    frame.write.partitionBy("shard").parquet(path)
+    import os
+
+    calls, real = [0], sharding._finish
+
+    def broken(spark, path, staging):
+        """Makes some of the changes by hand, as a run that was stopped left them."""
+        if not os.path.exists(f"{staging}/changes"):
+            return []
+        for what in ("stays", "moves"):
+            for folder in sorted(os.listdir(f"{staging}/files/what={what}") if os.path.exists(f"{staging}/files/what={what}") else []):
+                for name in sorted(os.listdir(f"{staging}/files/what={what}/{folder}")):
+                    if what == "stays" and not os.path.exists(f"{staging}/gone/{folder}"):
+                        os.makedirs(f"{staging}/gone", exist_ok=True)
+                        os.rename(f"{path}/{folder}", f"{staging}/gone/{folder}")
+                        calls[0] += 1
+                        if calls[0] >= fails_at:
+                            raise RuntimeError("stopped")
+                    if what == "moves":
+                        os.makedirs(f"{path}/{folder}", exist_ok=True)
+                        os.rename(f"{staging}/files/what={what}/{folder}/{name}", f"{path}/{folder}/{name}")
+                        calls[0] += 1
+                        if calls[0] >= fails_at:
+                            raise RuntimeError("stopped")
+                if what == "stays":
+                    os.rename(f"{staging}/files/what={what}/{folder}", f"{path}/{folder}")
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(sharding, "_finish", broken)
+    with pytest.raises(RuntimeError, match="stopped"):
+        sharding.rewrite_affected(spark, path, 3, staging)
+    monkeypatch.setattr(sharding, "_finish", real)
+    assert sharding.rewrite_affected(spark, path, 3, staging)
     after = spark.read.parquet(path)
-    assert affected and after.count() == docs.count() and after.select("doc_id").distinct().count() == docs.count()
-    size = {r.shard: r.s for r in after.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("s")).collect()}
-    assert max(size.values()) < 1.3 * min(size.values())
+    assert sorted(r.id for r in after.collect()) == list(range(400)) and {r["count"] for r in after.groupBy("shard").count().collect()} <= set(range(120, 148))
 
 
 def test_sainte_lague():
@@ -334,8 +438,44 @@ def test_sainte_lague():
         for _ in range(seats):
             out[max(range(len(weights)), key=lambda i: weights[i] / (2 * out[i] + 1))] += 1
         assert mixing.sainte_lague(weights, seats) == out
-    quotas = mixing.shard_quotas([7, 3, 20], 4)
-    assert [sum(q[i] for q in quotas) for i in range(3)] == [7, 3, 20]
+
+
+def greedy(weights, seats):
+    """Sources in the order in which the highest quotients take the seats."""
+    out, order = [0] * len(weights), []
+    for _ in range(seats):
+        order.append(max(range(len(weights)), key=lambda i: weights[i] / (2 * out[i] + 1)))
+        out[order[-1]] += 1
+    return order
+
+
+def test_shard_quotas():
+    rng = random.Random(16)
+    for _ in range(20):
+        weights, seats, shards = [rng.random() * 10 for _ in range(rng.randint(1, 6))], rng.randint(0, 150), rng.randint(1, 9)
+        order = greedy(weights, seats)
+        cuts = mixing.shard_quotas(weights, seats, shards, [10**9] * len(weights))
+        for j in range(shards):
+            own = collections.Counter(order[seats * j // shards : seats * (j + 1) // shards])
+            assert [c[j + 1] - c[j] for c in cuts] == [own[i] for i in range(len(weights))]
+
+
+def test_taken_words():
+    rng = random.Random(11)
+    for kind in (np.int64, object):
+        for _ in range(150):
+            block, total = rng.randint(1, 9), rng.randint(1, 200)
+            n = -(-total // block)
+            step, shift, seats = next(s for s in iter(lambda: rng.randint(1, n), 0) if np.gcd(s, n) == 1), rng.randrange(n), rng.randint(0, 2 * n)
+            order = sorted(range(n), key=lambda x: (step * x + shift) % n) * 3
+            times = collections.Counter(order[:seats])
+            assert max(times.values(), default=0) <= 2
+            per_word, at = [times[w // block] for w in range(total)], 0
+            while at < total:
+                size = min(rng.randint(1, 60), total - at)
+                taken, often, _ = mixing.taken_words(*(np.array([v], kind) for v in (at, size, block, n, step, shift, seats)))
+                assert taken[0] == sum(per_word[at : at + size]) and often[0] == per_word[at + size // 2]
+                at += size
 
 
 def test_targets():
@@ -343,18 +483,32 @@ def test_targets():
     assert all(t <= 2 * s + 1e-9 for t, s in zip(out, [100, 10, 50, 0], strict=True)) and abs(sum(out) - 240) < 1e-6
 
 
-def test_mix(spark, rows):
+def test_mix(spark, docs, rows):
+    """Every row against an apportionment and a choice of blocks made one by one."""
     got = {r.doc_id: r for r in queries.op9_sainte_lague_mix(spark, SF).collect()}
     assert got == {r.doc_id: r for r in queries.op9_sainte_lague_mix(spark, SF).collect()}
-    taken, target, size = collections.Counter(), {}, collections.Counter()
-    for doc, text, source in rows:
-        r = got[doc]
-        assert r.size == len(words_of(text)) and 0 <= r.taken <= 2 * r.size
-        taken[source] += r.taken
-        size[source] += r.size
-        target[source] = r.target
-    assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] + 5 for s in target)
-    assert abs(sum(target.values()) - 1.5 * sum(size.values())) < 1e-3
+    sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, (s or "").encode()))
+    size = {s: sum(len(words_of(t)) for _, t, own in rows if own == s) for s in sources}
+    goal = mixing.targets([size[s] for s in sources], [(5, 2, 1)[i % 3] for i in range(len(sources))])
+    assert abs(sum(goal) - 1.5 * sum(size.values())) < 1e-3 and all(g <= 2 * size[s] + 1e-6 for g, s in zip(goal, sources, strict=True))
+    block = max(1, int(min(goal) // mixing.LEAST_BLOCKS))
+    seats = collections.Counter(greedy(goal, round(sum(goal) / block)))
+    for i, s in enumerate(sources):
+        own = sorted(((got[d].start, len(words_of(t)), d) for d, t, source in rows if source == s), key=lambda x: x[:2])
+        assert [a for a, _, _ in own] == [sum(n for _, n, _ in own[:k]) for k in range(len(own))]  # the documents lie one behind another
+        p = mixing.plan([size[x] for x in sources], [(5, 2, 1)[k % 3] for k in range(len(sources))], sources)[i]
+        order = sorted(range(p["blocks"]), key=lambda x: (p["step"] * x + p["shift"]) % p["blocks"])
+        assert sorted(order) == list(range(-(-size[s] // block)))
+        line = (order * 3)[: min(seats[i], 2 * p["blocks"])]
+        times = collections.Counter(line)
+        shard_of = {}
+        for at, x in enumerate(line):
+            shard_of.setdefault(x, max(j for j in range(8) if p["cuts"][j] <= at))
+        for at, n, d in own:
+            middle = (at + n // 2) // block
+            want = (n, size[s], sum(times[w // block] for w in range(at, at + n)), shard_of.get(middle) if n else None)
+            assert (got[d].size, got[d].source_size, got[d].taken, got[d].shard) == want and abs(got[d].target - goal[i]) < 1e-6
+        assert abs(sum(got[d].taken for _, _, d in own) - goal[i]) <= 2 * block + 1
 
 
 # --- 6 -----------------------------------------------------------------------
@@ -363,7 +517,6 @@ def test_token_files(spark, rows):
     import public_tokenizers
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     got, start = {r.doc_id: r for r in queries.op6_bit_packed_ids(spark, SF).collect()}, 0
     for doc, text, _ in sorted(rows):
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
@@ -377,10 +530,9 @@ def test_token_files_odd(spark, odd):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     from foliograph.llm.shared import shared_dir
 
-    files = token_files.write_tokens(odd, path, shared_dir(spark, "ids"))
+    files = token_files.write_tokens(odd, path, shared_dir(spark, "ids"), file_bytes=20_000)
     got = token_files.read_tokens(spark, files, with_ids=True).collect()
     want = collections.Counter((r.doc_id, tuple([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2])) for r in odd.collect())
     assert collections.Counter((r.doc_id, tuple(r.ids)) for r in got) == want
@@ -388,6 +540,51 @@ def test_token_files_odd(spark, odd):
     assert token_files.token_ids(spark.createDataFrame([], SCHEMA), path).count() == 0
 
 
+@pytest.mark.parametrize("special", [True, False])
+def test_units_encode_as_whole_texts(special):
+    """Special tokens, words, lines and marks in any order, against the library over whole texts."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), token_files.UnitEncoder(token_files.library_tokenizer(path, special))
+    library.encode_special_tokens = not special
+    rng = random.Random(5)
+    parts = ["<|endoftext|>", "<|endo", "ftext|>", "hello", " world", " ", "  ", "\n", ".", ",", "|", "'s", "12", "é", "　", "\u00a0", "x" * 40, "Don't", "\t", "<|", "😀", " the", "\u2009"]
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "ends <|endo", "ftext|> begins", ""] + ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(4000)]
+    for limit in (300, 1 << 16):
+        for block in textblocks.blocks(pa.array(texts), limit):
+            ids, counts = encoder(block)
+            ends = np.cumsum(counts)
+            for n in range(block.n):
+                assert ids[ends[n] - counts[n] : ends[n]].tolist() == library.encode(texts[block.row + n], add_special_tokens=False).ids
+    if special:
+        assert library.encode(texts[0], add_special_tokens=False).ids == [31373, 220, 50256, 995]
+
+
+def test_units_are_forgotten(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(token_files, "KNOWN_UNITS", 300)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), token_files.UnitEncoder(token_files.library_tokenizer(path))
+    rng = random.Random(6)
+    for _ in range(30):
+        texts = [" ".join(f"w{rng.randint(0, 900)}" for _ in range(100)) for _ in range(3)]
+        ids, counts = encoder(next(textblocks.blocks(pa.array(texts))))
+        assert ids.tolist() == [i for x in texts for i in library.encode(x, add_special_tokens=False).ids] and len(encoder.key) < 900
+
+
+def test_rows_of_one_id_are_in_order(spark):
+    import public_tokenizers
+
+    frame = spark.createDataFrame([(3, f"text {n}") for n in range(50)] + [(None, f"none {n}") for n in range(50)] + [(1, "x"), (9, None)], "doc_id long, text string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    runs = [sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.token_ids(frame.repartition(n), path, file_bytes=100).collect()) for n in (1, 5)]
+    assert runs[0] == runs[1] and [r[1] for r in runs[0]] == [None] * 50 + [1] + [3] * 50 + [9]
+    starts = [r[0] for r in runs[0]]
+    assert starts == [sum(r[2] for r in runs[0][:k]) for k in range(len(starts))]
+
+
 @pytest.mark.parametrize("width", [1, 3, 7, 8, 13, 16, 17, 31, 32])
 def test_packing(width, tmp_path):
     ids = np.random.default_rng(width).integers(0, 1 << width, 200_001)
