@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .shared import written
 from .token_files import pack, unpack
 
-CHUNK_BYTES, LEAST_CHUNKS = 8 << 20, 64
+CHUNK_BYTES, LEAST_CHUNKS = 8 << 20, 16
 #: Values per hash range aimed at, the least number of ranges, and how many a sender addresses (a power of two).
 RANGE_VALUES, LEAST_RANGES, FAN = 1 << 17, 64, 2048
 BYTES_PER_WORD = 6
@@ -53,7 +53,8 @@ class Layout:
 
     @property
     def chunk_tasks(self) -> int:
-        return max(LEAST_CHUNKS, self.chunks // 4)
+        """A task a chunk up to 32 GB of text, then eight chunks a task."""
+        return max(min(self.chunks, 4096), self.chunks // 8)
 
 
 def layout(docs: DataFrame) -> Layout:
@@ -114,19 +115,18 @@ def message_table(part: list[int], chunk: list[int], body: list[bytes], more: li
 
 @dataclass
 class Merged:
-    """Distinct values of several senders with their notes, where each sender's values are among them, and its own notes."""
+    """Distinct values of several senders with their notes, and where each sender's values are among them."""
 
     values: np.ndarray
     notes: np.ndarray
     places: list[np.ndarray]
-    sent: list[np.ndarray]
 
 
 class Kind:
     """What messages hold: values in ascending order, and a note about each.
 
     `read` and `write` (de)code a message; `joined` merges the messages of several senders;
-    `settled` makes the answers to merged values; `own` makes a sender's answers from those;
+    `settled` makes answers from merged notes; `own` makes a sender's answers from those;
     `tell` and `told` (de)code answers; `split` says where 2 ** step parts of the range begin.
     """
 
@@ -137,6 +137,12 @@ class Kind:
     def own(self, sender: int, answer: np.ndarray, merged: Merged) -> np.ndarray:
         return answer[merged.places[sender]]
 
+    def answers(self, values: list[np.ndarray], notes: list[np.ndarray]) -> list[np.ndarray]:
+        """The answers to each sender's values where all that is known of them has come together."""
+        merged = self.joined(values, notes)
+        answer = self.settled(merged.notes)
+        return [self.own(n, answer, merged) for n in range(len(values))]
+
     def send(self, values: np.ndarray, notes, step: int, part: int, sender: int, out: tuple[list, ...]) -> None:
         """Appends the messages of one sender, one for each of 2 ** step parts of the range that has values."""
         edges, deeper = self.split(values, step), self.deeper(step)
@@ -159,7 +165,7 @@ class Kind:
 class Counted(Kind):
     """Cells below 2 ** bits with counts; a cell's count is the sum of its senders', at most `MOST`."""
 
-    MOST, DENSE_BITS = 2, 22
+    MOST, DENSE_BITS, DENSE = 2, 22, np.uint8
 
     def __init__(self, bits: int):
         self.bits = bits
@@ -171,18 +177,18 @@ class Counted(Kind):
         return split_sorted(values, self.bits, step)
 
     def joined(self, values: list[np.ndarray], notes: list[np.ndarray]) -> Merged:
-        if self.bits <= self.DENSE_BITS:
-            total = np.zeros(1 << self.bits, np.int64)
-            for cells, count in zip(values, notes, strict=True):
-                total[cells] = np.minimum(total[cells] + count, self.MOST)
-            merged = np.flatnonzero(total)
-            number = np.empty(len(total), np.int32)
-            number[merged] = np.arange(len(merged))
-            return Merged(merged.astype(np.uint64), total[merged], [number[cells] for cells in values], notes)
         merged, places = np.unique(np.concatenate(values), return_inverse=True)
         count = np.bincount(places, np.concatenate(notes), len(merged)).astype(np.int64)
         cuts = np.cumsum([len(v) for v in values])[:-1]
-        return Merged(merged, np.minimum(count, self.MOST), np.split(places, cuts), notes)
+        return Merged(merged, np.minimum(count, self.MOST), np.split(places, cuts))
+
+    def answers(self, values: list[np.ndarray], notes: list[np.ndarray]) -> list[np.ndarray]:
+        if self.bits > self.DENSE_BITS:
+            return super().answers(values, notes)
+        total = np.zeros(1 << self.bits, self.DENSE)
+        for cells, count in zip(values, notes, strict=True):
+            total[cells] = np.minimum(total[cells] + count, self.MOST)
+        return [self.settled(total[cells]) for cells in values]
 
 
 def _read(messages: pa.Table, kind: Kind) -> tuple[list, list]:
@@ -190,12 +196,8 @@ def _read(messages: pa.Table, kind: Kind) -> tuple[list, list]:
     return [v for v, _ in both], [n for _, n in both]
 
 
-def _ordered(messages: pa.Table) -> pa.Table:
-    return messages.take(pa.array(np.argsort(messages.column("chunk").to_numpy(), kind="stable")))
-
-
-def _answers(messages: pa.Table, kind: Kind, merged: Merged, answer: np.ndarray) -> pa.Table:
-    bodies = [kind.tell(kind.own(n, answer, merged), merged.sent[n]) for n in range(len(merged.places))]
+def _told(messages: pa.Table, kind: Kind, answers: list[np.ndarray], notes: list[np.ndarray]) -> pa.Table:
+    bodies = [kind.tell(answer, sent) for answer, sent in zip(answers, notes, strict=True)]
     return message_table(messages.column("part").to_pylist(), messages.column("chunk").to_pylist(), bodies, [None] * len(bodies))
 
 
@@ -207,9 +209,8 @@ def answered(messages: DataFrame, kind: Kind, steps: list[int], senders: int) ->
     """
 
     def settle(part: pa.Table) -> pa.Table:
-        part = _ordered(part)
-        merged = kind.joined(*_read(part, kind))
-        return _answers(part, kind, merged, kind.settled(merged))
+        values, notes = _read(part, kind)
+        return _told(part, kind, kind.answers(values, notes), notes)
 
     if len(steps) == 1:
         return messages.groupBy("part").applyInArrow(settle, MESSAGE)
@@ -217,17 +218,17 @@ def answered(messages: DataFrame, kind: Kind, steps: list[int], senders: int) ->
     messages = written(messages.withColumn("group", F.pmod(F.xxhash64("chunk"), F.lit(groups))), "messages")
 
     def relay(part: pa.Table) -> pa.Table:
-        part, out = _ordered(part), ([], [], [], [])
-        merged = kind.joined(*_read(part, kind))
+        merged, out = kind.joined(*_read(part, kind)), ([], [], [], [])
         kind.send(merged.values, merged.notes, step, part.column("part")[0].as_py(), part.column("group")[0].as_py(), out)
         return message_table(*out)
 
     def hand_back(part: pa.Table, answers: pa.Table) -> pa.Table:
         if not part.num_rows:
             return message_table([], [], [], [])
-        part = _ordered(part)
-        merged = kind.joined(*_read(part, kind))
-        return _answers(part, kind, merged, kind.receive(answers, merged.values, step))
+        values, notes = _read(part, kind)
+        merged = kind.joined(values, notes)
+        answer = kind.receive(answers, merged.values, step)
+        return _told(part, kind, [kind.own(n, answer, merged) for n in range(len(values))], notes)
 
     passed = messages.groupBy("part", "group").applyInArrow(relay, MESSAGE)
     told = answered(passed, kind.deeper(step), steps[1:], groups)

@@ -234,11 +234,11 @@ class _Chunk:
 class Frequencies(ex.Counted):
     """Cells with the number of classes that have them; the answer to each is that number's power of two, at most 15."""
 
-    MOST = 1 << 16
+    MOST, DENSE = 1 << 16, np.uint32
 
     def read(self, body: bytes, more: bytes) -> tuple[np.ndarray, np.ndarray]:
         cells = ex.decode_sorted(body)
-        count = np.ones(len(cells), np.int64)
+        count = np.ones(len(cells), np.uint32)
         several = np.frombuffer(more, "<u4").reshape(2, -1)
         count[several[0]] = several[1]
         return cells, count
@@ -247,8 +247,8 @@ class Frequencies(ex.Counted):
         several = np.flatnonzero(notes > 1)
         return ex.encode_sorted(values & np.uint64((1 << self.bits) - 1), self.bits), np.stack([several, notes[several]]).astype("<u4").tobytes()
 
-    def settled(self, merged: ex.Merged) -> np.ndarray:
-        return np.minimum(np.frexp(merged.notes.astype(np.float64))[1] - 1, 15).astype(np.uint8)
+    def settled(self, notes: np.ndarray) -> np.ndarray:
+        return np.minimum(np.frexp(notes.astype(np.float32))[1] - 1, 15).astype(np.uint8)
 
     def tell(self, answer: np.ndarray, sent: np.ndarray) -> bytes:
         common = answer > 0

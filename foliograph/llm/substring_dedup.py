@@ -110,13 +110,13 @@ class Sketch(ex.Counted):
 
     def read(self, body: bytes, more: bytes) -> tuple[np.ndarray, np.ndarray]:
         cells = ex.decode_sorted(body)
-        return cells, 1 + ex.decode_flags(more, len(cells)).astype(np.int64)
+        return cells, 1 + ex.decode_flags(more, len(cells)).astype(np.uint8)
 
     def write(self, values: np.ndarray, notes: np.ndarray) -> tuple[bytes, bytes]:
         return ex.encode_sorted(values & np.uint64((1 << self.bits) - 1), self.bits), ex.encode_flags(notes > 1)
 
-    def settled(self, merged: ex.Merged) -> np.ndarray:
-        return merged.notes > 1
+    def settled(self, notes: np.ndarray) -> np.ndarray:
+        return notes > 1
 
     def tell(self, answer: np.ndarray, sent: np.ndarray) -> bytes:
         return ex.encode_flags(answer)
@@ -180,10 +180,10 @@ class Windows(ex.Kind):
         late[order[fresh]] = False
         cuts = np.cumsum([len(v) for v in values])[:-1]
         self.late = np.split(late, cuts)
-        return ex.Merged(ranked[fresh], merged, np.split(place, cuts), notes)
+        return ex.Merged(ranked[fresh], merged, np.split(place, cuts))
 
-    def settled(self, merged: ex.Merged) -> np.ndarray:
-        return np.zeros(len(merged.values), bool)
+    def settled(self, notes: np.ndarray) -> np.ndarray:
+        return np.zeros(len(notes), bool)
 
     def own(self, sender: int, answer: np.ndarray, merged: ex.Merged) -> np.ndarray:
         return self.late[sender] | answer[merged.places[sender]]
