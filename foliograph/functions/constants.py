@@ -43,7 +43,10 @@ CHUNK_SIZE, CHUNK_OVERLAP, CHUNKS_PER_DOC, CHUNKS_IN_ALL, ANSWER_FLOOR, CHAT_K =
 
 #: Vehicle number weights and letter values by letter.
 VIN_WEIGHTS = (8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2)
-VIN_VALUES = dict(zip("ABCDEFGH", range(1, 9), strict=True)) | dict(zip("JKLMN", range(1, 6), strict=True)) | {"P": 7, "R": 9} | dict(zip("STUVWXYZ", range(2, 10), strict=True))
+VIN_VALUES = {
+    "A": 1, "B": 2, "C": 3, "D": 4, "E": 5, "F": 6, "G": 7, "H": 8, "J": 1, "K": 2, "L": 3, "M": 4, "N": 5, "P": 7, "R": 9,
+    "S": 2, "T": 3, "U": 4, "V": 5, "W": 6, "X": 7, "Y": 8, "Z": 9,
+}
 BASE36 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Rule-based space names: (name, icon, colour).

@@ -19,11 +19,11 @@ class Settings:
 
 
 def read(spark: SparkSession, path: str) -> Settings:
-    """The newest settings under a folder; defaults where there are none, unknown keys left out."""
-    try:
-        rows = spark.read.text(path).collect()
-    except Exception:
+    """The newest settings under a folder; defaults where there is no such folder, unknown keys left out."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         return Settings()
+    rows = spark.read.text(path).collect()
     known = {f.name for f in fields(Settings)}
     return Settings(**{k: v for k, v in json.loads(rows[0]["value"]).items() if k in known}) if rows else Settings()
 

@@ -55,17 +55,25 @@ def best_excerpt(text: Column, query: Column, window: int = 30) -> Column:
     return run(text, query)
 
 
+def chunks_of(text: str | None, size: int, overlap: int) -> list[dict]:
+    stride, out = max(size - overlap, 1), []
+    while text and (not out or out[-1]["end"] < len(text)):
+        start = len(out) * stride
+        out.append({"chunk_no": len(out), "start": start, "end": min(start + size, len(text)), "chunk": text[start : start + size]})
+    return out
+
+
 def chunks(text: Column, size: int, overlap: int) -> Column:
-    """Windows (chunk_no, start, end, chunk) of `size` characters, each `size - overlap` on; the last reaches the end."""
-    stride, n = max(size - overlap, 1), F.char_length(text)
-    count = F.greatest(F.ceil((n - size) / stride) + 1, F.lit(1)).cast("int")
-    whole = F.transform(
-        F.sequence(F.lit(0), count - 1),
-        lambda i: F.struct(
-            i.alias("chunk_no"), (i * stride).alias("start"), F.least(i * stride + size, n).alias("end"), F.substring(text, i * stride + 1, F.lit(size)).alias("chunk")
-        ),
-    )
-    return F.when(n > 0, whole).otherwise(F.filter(whole, lambda _: F.lit(False)))
+    """Windows (chunk_no, start, end, chunk) of `size` characters, each `size - overlap` on; the last reaches the end.
+
+    In Arrow batches: an expression would count the characters from the start again for every chunk.
+    """
+
+    @F.pandas_udf("array<struct<chunk_no:int,start:int,end:int,chunk:string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([chunks_of(t, size, overlap) for t in texts])
+
+    return run(text)
 
 
 def normalize_tag(tag: Column) -> Column:
@@ -138,7 +146,7 @@ def parse_json_reply(reply: Column, schema: str) -> Column:
 
 
 def sanitize_field(value: Column, most: int = 100) -> Column:
-    return F.left(F.regexp_replace(value, r"\p{Cntrl}", ""), F.lit(most))
+    return F.left(F.regexp_replace(value, r"\p{Cc}", ""), F.lit(most))
 
 
 def membership_fingerprint(ids: Column) -> Column:
@@ -156,10 +164,21 @@ def is_snake_case(name: Column, most: int = 64) -> Column:
 
 
 def format_bytes(size: Column) -> Column:
+    """One decimal and the largest unit of which there is one; nothing is `0 B`."""
     units = ("B", "KB", "MB", "GB", "TB")
-    step = F.when(size <= 0, 0).otherwise(F.least(F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.log(F.lit(1024.0)) + 1e-12), F.lit(len(units) - 1)))
-    value = F.round(size / F.pow(F.lit(1024.0), step), 1)
-    return F.concat(F.regexp_replace(value.cast("string"), r"\.0$", ""), F.lit(" "), F.element_at(F.array(*map(F.lit, units)), (step + 1).cast("int")))
+    value, unit = size.cast("double"), F.lit(units[0])
+    for n in range(1, len(units)):
+        value = F.when(size >= 1024**n, size / F.lit(float(1024**n))).otherwise(value)
+        unit = F.when(size >= 1024**n, F.lit(units[n])).otherwise(unit)
+    return F.when(size == 0, "0 B").otherwise(F.concat(F.format_string("%.1f", value), F.lit(" "), unit))
+
+
+def relative_time(then: Column, now: Column) -> Column:
+    """Whole minutes, hours or days ago."""
+    minutes = F.floor((F.unix_timestamp(now) - F.unix_timestamp(then)) / 60)
+    ago = lambda n, mark: F.concat(n.cast("string"), F.lit(f"{mark} ago"))
+    hours = F.floor(minutes / 60)
+    return F.when(minutes < 60, ago(minutes, "m")).when(hours < 24, ago(hours, "h")).otherwise(ago(F.floor(hours / 24), "d"))
 
 
 def score_badge(score: Column) -> Column:

@@ -53,6 +53,20 @@ def click_as_of(searches: DataFrame, clicks: DataFrame, by: str = "user_id", seq
     return tagged.withColumn("search", last).where("_k = 1").select(by, F.col(seq).alias("click_seq"), F.col("search.seq").alias("search_seq"), F.col("search.query").alias("query"))
 
 
+def click_by_index(searches: DataFrame, clicks: DataFrame, buffer: int = 1000, seq: str = "seq") -> DataFrame:
+    """Searches of the buffer with `clicked`: the last click that names their place in it (`query_index`, counted from 0, the oldest first)."""
+    recent = last_n(searches, buffer, seq)
+    placed = recent.withColumn("query_index", F.row_number().over(Window.orderBy(seq)) - 1)  # at most `buffer` rows
+    last = clicks.groupBy("query_index").agg(F.max_by("clicked", seq).alias("clicked"))
+    return placed.join(last, "query_index", "left")
+
+
+def ordered_documents(docs: DataFrame, by: str = "name") -> DataFrame:
+    """Favourites by `name`, by `modified` (the latest first) or by `size` (the largest first), ties by id."""
+    orders = {"name": F.lower("title"), "modified": F.desc("modified_at"), "size": F.desc("size")}
+    return docs.orderBy(orders[by], "doc_id")
+
+
 def rolling_eta(steps: DataFrame, remaining: Column, by: list[str], order: str, latency: str = "latency_ms", window: int = 20) -> DataFrame:
     """Mean latency of the last `window` steps (whole ms) and the time left at that pace."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(1 - window, 0)
@@ -107,10 +121,12 @@ def fallback_count(docs: DataFrame, version: float = 2.5) -> DataFrame:
     return docs.agg(F.count_if(F.abs(F.col("entities_version") - version) < 1e-6).alias("fallbacks"))
 
 
-def saved_search_counts(saved: DataFrame, docs: DataFrame, entity_docs: DataFrame | None = None) -> DataFrame:
+def saved_search_counts(saved: DataFrame, docs: DataFrame, entity_filters: DataFrame | None = None, aliases: DataFrame | None = None, entity_docs: DataFrame | None = None) -> DataFrame:
     """(id, document_count) by the stored filters alone; no filter counts every document.
 
-    `saved` (id, doc_type, topic, date_from, date_to) is a stated set of filters.
+    `saved` (id, doc_type, topic, date_from, date_to) is a stated set of filters.  `entity_filters` (id, filter_no,
+    class, value) with `aliases` (surface_lc, entity_type, canonical_id) and `entity_docs` (canonical_id,
+    doc_id) leave the documents that have all entities of a search; an unknown one leaves none.
     """
     s = saved.alias("s")
     created = F.coalesce(F.col("d.created_at"), F.lit(""))
@@ -121,4 +137,11 @@ def saved_search_counts(saved: DataFrame, docs: DataFrame, entity_docs: DataFram
     # counts by distinct filter values first, so the stated set meets groups, not documents
     groups = docs.groupBy("doc_type", "topic", "created_at").agg(F.count("*").alias("n"))
     counted = F.broadcast(s).join(groups.alias("d"), match).groupBy(F.col("s.id").alias("id")).agg(F.sum("d.n").alias("n"))
+    if entity_filters is not None:
+        named = entity_filters.select("id", "filter_no", F.lower("value").alias("_v"), F.lower("class").alias("_t"))
+        found = named.join(aliases, (F.col("_v") == F.col("surface_lc")) & (F.lower("entity_type") == F.col("_t"))).join(entity_docs, "canonical_id").select("id", "filter_no", "doc_id").distinct()
+        wanted = entity_filters.groupBy("id").agg(F.countDistinct("filter_no").alias("_n"))
+        whole = found.groupBy("id", "doc_id").agg(F.count("*").alias("_hits")).join(wanted, "id").where("_hits = _n").select(F.col("id").alias("_id"), "doc_id")
+        inside = whole.join(docs, "doc_id").alias("d").join(F.broadcast(s), match & (F.col("d._id") == F.col("s.id"))).groupBy(F.col("s.id").alias("id")).agg(F.count("*").alias("n"))
+        counted = counted.join(wanted, "id", "left_anti").union(inside)
     return saved.select("id").join(counted, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("document_count"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.constants import CLASSES, MERGE_COSINE
+from . import blocks
 from .components import connected
 
 WORDY = ("person", "organization", "location")
@@ -74,46 +75,20 @@ def short_name_mode(found: DataFrame) -> DataFrame:
     return counts.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("canonical_id", F.col("canonical_short_name").alias("short_name"))
 
 
-def blocked_pairs(canon: DataFrame, floor: float, block: int = 2000) -> DataFrame:
-    """(a, b) of one type with cosine at least `floor`, a < b: every pair is compared.
-
-    A type's rows are dealt into blocks; a task holds two blocks and returns the pairs found.
-    """
-    rows = canon.where("entity_type is not null and embedding is not null").select("id", "entity_type", V.as_doubles(F.col("embedding")).alias("v"))
-    sizes = rows.groupBy("entity_type").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
-    dealt = rows.join(sizes, "entity_type").withColumn("x", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    first = dealt.select("id", "v", "entity_type", F.col("x").alias("p"), F.explode(F.sequence("x", F.col("n") - 1)).alias("q"))
-    second = dealt.select(F.col("id").alias("id2"), F.col("v").alias("v2"), F.col("entity_type").alias("type2"), F.explode(F.sequence(F.lit(0), F.col("x"))).alias("p2"), F.col("x").alias("q2"))
-
-    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.rename(columns={"id2": "id", "v2": "v"})
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        lengths = set(a["v"].str.len()) & set(b["v"].str.len()) if len(a) and len(b) else ()
-        for size in lengths:  # vectors of different lengths are at cosine 0
-            left, right = (part[part["v"].str.len() == size] for part in (a, b))
-            x, y = (np.array(part["v"].tolist(), float).reshape(len(part), size) for part in (left, right))
-            norms = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)
-            s = np.divide(x @ y.T, norms, out=np.zeros_like(norms), where=norms > 0)
-            i, j = np.nonzero(s >= floor)
-            i, j = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-            kept = i < j if a["p"].iloc[0] == a["q"].iloc[0] else np.ones(len(i), bool)
-            out.append((np.minimum(i, j)[kept], np.maximum(i, j)[kept]))
-        return pd.DataFrame({"a": np.concatenate([o[0] for o in out]), "b": np.concatenate([o[1] for o in out])})
-
-    return first.groupBy("entity_type", "p", "q").cogroup(second.groupBy("type2", "p2", "q2")).applyInPandas(near, "a long, b long")
-
-
-def vector_pairs(canon: DataFrame, floor: float = MERGE_COSINE, planes: int = 6, tables: int = 0, seed: int = 5) -> DataFrame:
-    """(a, b) of one type with cosine at least `floor`.
+def vector_pairs(canon: DataFrame, floor: float = MERGE_COSINE, planes: int | None = None, tables: int = 0, seed: int = 5) -> DataFrame:
+    """(a, b) of one type with cosine at least `floor`, a < b.
 
     All pairs of a type are compared, block by block.  With `tables` over 0 only candidates that
     share the pattern of one of `tables` groups of `planes` seeded projections are: there are no
-    false pairs, but some are missed (with 16 tables about 3 of 100 at cosine 0.75).
+    false pairs, but some are missed (with 16 tables of 6 planes about 3 of 100 at cosine 0.75).
+    The planes grow with the logarithm of the rows, so that a pattern holds about a hundred rows
+    of no structure; tables should grow with the recall that is wanted.
     """
     if not tables:
-        return blocked_pairs(canon, floor)
-    left = canon.select(F.col("id").alias("a"), "entity_type", F.col("embedding").alias("va"))
-    right = canon.select(F.col("id").alias("b"), F.col("entity_type").alias("_t"), F.col("embedding").alias("vb"))
+        return blocks.close_pairs(canon, "id", "embedding", "entity_type", floor)
+    planes = max(6, int(np.log2(max(1, canon.count() / 100)))) if planes is None else planes
+    left = canon.select(F.col("id").alias("a"), F.col("embedding").alias("va"))
+    right = canon.select(F.col("id").alias("b"), F.col("embedding").alias("vb"))
 
     def run(batches):
         for part in batches:
@@ -123,11 +98,10 @@ def vector_pairs(canon: DataFrame, floor: float = MERGE_COSINE, planes: int = 6,
             codes = (bits << np.arange(planes)).sum(2) + (np.arange(tables) << planes)
             yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), tables), "entity_type": np.repeat(part["entity_type"].to_numpy(), tables), "pattern": codes.ravel()})
 
-    posts = canon.select("id", "entity_type", "embedding").mapInPandas(run, "id long, entity_type string, pattern int")
+    posts = canon.select("id", "entity_type", "embedding").mapInPandas(run, "id long, entity_type string, pattern long")
     other = posts.select(F.col("id").alias("b"), "entity_type", "pattern")
     pairs = posts.withColumnRenamed("id", "a").join(other, ["entity_type", "pattern"]).where("a < b").select("a", "b").distinct()
-    close = pairs.join(left.drop("entity_type"), "a").join(right.drop("_t"), "b")
-    return close.where(V.cosine(F.col("va"), F.col("vb")) >= floor).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(V.cosine(F.col("va"), F.col("vb")) >= floor).select("a", "b")
 
 
 def token_subset_pairs(canon: DataFrame) -> DataFrame:
@@ -170,6 +144,50 @@ def rename(canon: DataFrame, canonical_id: str, name: str) -> DataFrame:
     return canon.withColumn("canonical_name", F.when(F.col("canonical_id") == canonical_id, F.lit(name)).otherwise(F.col("canonical_name")))
 
 
+def store_of(found: DataFrame) -> DataFrame:
+    """(canonical_id, entity_type, canonical_name, short_name, documents): the store that mentions with ids make.
+
+    The name is the alias of most bytes (the last of equals, by value), the short name the most frequent one,
+    `documents` the number of documents; mentions without an id belong to none.  Rebuilding the store from
+    stored mentions, and recomputing it after a merge or split, is this.
+    """
+    known = found.where("canonical_id is not null")
+    sizes = known.groupBy("canonical_id").agg(F.min("entity_type").alias("entity_type"), F.countDistinct("doc_id").alias("documents"))
+    names = canonical_name(known.select("canonical_id", F.col("value").alias("alias"), F.col("value").alias("position")).distinct())
+    return sizes.join(names, "canonical_id").join(short_name_mode(known), "canonical_id", "left").select("canonical_id", "entity_type", "canonical_name", "short_name", "documents")
+
+
+def register(found: DataFrame, aliases: DataFrame, embedded: bool = True) -> DataFrame:
+    """Mentions of new documents with the canonical id of their alias, or a new id for an unknown one.
+
+    New ids follow from type and lower-cased value, so that equal aliases share one.  Without an embedder
+    (`embedded = False`) unknown mentions keep a null id.
+    """
+    named = lookup(found, aliases)
+    fresh = F.sha2(F.concat_ws("\n", "type_lc", "surface_lc"), 256) if embedded else F.lit(None).cast("string")
+    return named.withColumn("canonical_id", F.coalesce(F.col("canonical_id").cast("string"), fresh)).drop("surface_lc", "type_lc")
+
+
+def merged_ids(canon: DataFrame, pairs: DataFrame, entity_docs: DataFrame) -> DataFrame:
+    """(id, canonical_id): the components of `pairs`; each takes the id with most documents, the least of equals."""
+    groups = connected(pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+    sizes = entity_docs.groupBy(F.col("canonical_id").alias("id")).agg(F.countDistinct("doc_id").alias("docs"))
+    placed = canon.select("id").join(groups, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root")).join(sizes, "id", "left")
+    best = F.min_by("id", F.struct((-F.coalesce("docs", F.lit(0))).alias("d"), "id"))
+    kept = placed.groupBy("root").agg(best.alias("canonical_id"))
+    return placed.join(kept, "root").select("id", "canonical_id")
+
+
+def merge_aliases(canon: DataFrame, found: DataFrame, **settings) -> DataFrame:
+    """Mentions with the ids that are left after near entities of one type are merged (cosine 0.75 by default).
+
+    The side with more documents keeps its id.  `store_of` gives the names and document counts after it.
+    """
+    ids = merged_ids(canon, vector_pairs(canon, **settings), found.select("canonical_id", "doc_id"))
+    moved = found.join(ids.select(F.col("id").alias("_id"), F.col("canonical_id").alias("_to")), F.col("canonical_id") == F.col("_id"), "left")
+    return moved.withColumn("canonical_id", F.coalesce("_to", "canonical_id")).drop("_id", "_to")
+
+
 def validate_refined(entities: Column, topic: Column, tags: Column) -> Column:
     """A model's entities without unknown classes, its topic and tags normalised."""
     known = F.filter(entities, lambda e: e["class"].isin(*CLASSES))

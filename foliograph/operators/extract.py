@@ -9,13 +9,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from datetime import datetime
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.constants import BASE36, CURRENCIES, ENTITY_CAP, VIN_VALUES, VIN_WEIGHTS
+from ..functions.constants import BASE36, CLASSES, CURRENCIES, ENTITY_CAP, VIN_VALUES, VIN_WEIGHTS
 
 ENTITY = T.StructType([
     T.StructField("label", T.StringType()), T.StructField("value", T.StringType()), T.StructField("entity_type", T.StringType()),
@@ -44,7 +45,19 @@ NINO = re.compile(r"\b[A-CEGHJ-PR-TW-Z]{2}\d{6}[A-D]\b")
 SIN = re.compile(r"\b\d{3}[\s\-]?\d{3}[\s\-]?\d{3}\b")
 VIN = re.compile(r"\b[A-HJ-NPR-Z0-9]{17}\b")
 GSTIN = re.compile(r"\b\d{2}[A-Z]{5}\d{4}[A-Z][A-Z0-9]Z[A-Z0-9]\b")
+
+#: Words near card numbers, and prefixes of card issuers (first and last, by their number of digits).
 CARD_WORDS = ("card", "visa", "mastercard", "amex", "credit")
+CARD_PREFIXES = ((4, 4), (51, 55), (2221, 2720), (34, 34), (37, 37), (65, 65), (6011, 6011), (644000, 649999))
+
+#: Lengths of the account numbers (IBAN) of countries.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22,
+    "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27,
+    "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24,
+    "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 
 
 # --- checksums ---------------------------------------------------------------
@@ -79,14 +92,13 @@ def valid_aadhaar(value: str) -> bool:
 
 def valid_iban(value: str) -> bool:
     compact = re.sub(r"\s", "", value)
-    if not re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", compact):
+    if not re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", compact) or IBAN_LENGTHS.get(compact[:2], len(compact)) != len(compact):
         return False
     return int("".join(str(BASE36.index(c)) for c in compact[4:] + compact[:4])) % 97 == 1
 
 
 def known_card_prefix(digits: str) -> bool:
-    two, four, six = int(digits[:2]), int(digits[:4]), int(digits[:6])
-    return digits[0] == "4" or 51 <= two <= 55 or 2221 <= four <= 2720 or two in (34, 37, 65) or four == 6011 or 644000 <= six <= 649999
+    return any(a <= int(digits[: len(str(a))]) <= b for a, b in CARD_PREFIXES)
 
 
 def valid_card(digits: str, around: str = "") -> bool:
@@ -149,26 +161,55 @@ def _identifier(value: str, subclass: str, confidence: float = 1.0) -> dict:
     return _entity(value, "identifier", "Identifier", "Identifier", subclass, confidence)
 
 
+#: Marks without which a family has no match: at least so many digits, and one of these strings.
+_SYMBOLS = tuple(CURRENCIES)
+_DIGIT = re.compile(r"\d")
+_PLAIN = (
+    (AADHAAR, "aadhaar", valid_aadhaar, 12), (IBAN, "iban", valid_iban, 2), (CARD, "credit_card", None, 13), (PAN, "pan", lambda v: True, 4), (SSN, "ssn", valid_ssn, 9),
+    (NINO, "nino", valid_nino, 6), (SIN, "sin", valid_sin, 9), (VIN, "vin", valid_vin, 0), (GSTIN, "gstin", valid_gstin, 6),
+)
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_CAPITALS = re.compile("[A-Z0-9]{9}")
+_WEAK_CUES = re.compile("policy|folio|account|receipt|invoice|plot", re.I)
+
+
+def find_emails(text: str) -> Iterator[re.Match]:
+    """The matches of `EMAIL`, from each at-sign to the left: linear where a search from the left is quadratic."""
+    last, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > last and text[start - 1] in _LOCAL:
+            start -= 1
+        word = lambda k: 0 <= k < len(text) and (text[k].isalnum() or text[k] == "_")
+        while start < at and word(start - 1) == word(start):
+            start += 1
+        found = EMAIL.match(text, start) if start < at else None
+        if found:
+            yield found
+            last = found.end()
+        at = text.find("@", max(at + 1, last))
+
+
 def _families(text: str) -> Iterator[dict]:
-    for m in DATES.finditer(text):
+    digits = sum(1 for _ in islice(_DIGIT.finditer(text), 13))
+    for m in DATES.finditer(text) if digits >= 5 else ():
         if day := parse_date(m.group()):
             yield _entity(day, "date", m.group(), "Date")
-    for m in EMAIL.finditer(text):
+    for m in find_emails(text):
         yield _entity(m.group(), "email", cls="Email")
-    for m in PHONE.finditer(text):
+    for m in PHONE.finditer(text) if digits >= 9 else ():
         if len(m.group().strip().encode()) >= 7:
             yield _entity(m.group().strip(), "phone", cls="Phone")
-    for m in AMOUNT.finditer(text):
+    for m in AMOUNT.finditer(text) if any(mark in text for mark in _SYMBOLS) else ():
         sym = m["sym"]
         value = f"{sym}{m['num1']}" if sym else f"{m['num2']} {m['code']}"
         yield _entity(value, "amount", cls="Amount", subclass=CURRENCIES[sym or m["code"]])
-    for m in URL.finditer(text):
+    for m in URL.finditer(text) if "http" in text else ():
         yield _entity(m.group(), "url", subclass="url")
-    plain = (
-        (AADHAAR, "aadhaar", valid_aadhaar), (IBAN, "iban", valid_iban), (CARD, "credit_card", None), (PAN, "pan", lambda v: True), (SSN, "ssn", valid_ssn),
-        (NINO, "nino", valid_nino), (SIN, "sin", valid_sin), (VIN, "vin", valid_vin), (GSTIN, "gstin", valid_gstin),
-    )
-    for pattern, subclass, valid in plain:
+    capitals = bool(_CAPITALS.search(text))
+    for pattern, subclass, valid, least in _PLAIN:
+        if digits < least or (pattern in (PAN, NINO, VIN, GSTIN) and not capitals):
+            continue
         for m in pattern.finditer(text):
             value = m.group().strip()
             if valid is None:
@@ -178,7 +219,7 @@ def _families(text: str) -> Iterator[dict]:
                 good = valid(value)
             if good:
                 yield _identifier(value, subclass)
-    for m in WEAK.finditer(text):
+    for m in WEAK.finditer(text) if _WEAK_CUES.search(text) else ():
         yield _identifier(m.group(1).upper(), "unknown", 0.7)
 
 
@@ -194,14 +235,26 @@ def extract_text(text: str | None) -> list[dict]:
     return sort_dedup_cap(list(_families(text or "")))
 
 
-def extract(docs: DataFrame, text: str = "text", out: str = "extracted_entities") -> DataFrame:
-    """`docs` with their entities; text goes to Python in Arrow batches, once."""
+def extract(docs: DataFrame, text: str = "text", out: str = "extracted_entities", failed: str | None = None) -> DataFrame:
+    """`docs` with their entities; text goes to Python in Arrow batches, once.
+
+    With `failed` a document on which extraction fails has null entities and that column true; without it
+    the failure ends the job.
+    """
 
     @F.pandas_udf(ENTITIES)
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(extract_text)
+        return texts.map(extract_text if failed is None else _or_none)
+
+    done = docs.withColumn(out, run(F.col(text)))
+    return done if failed is None else done.withColumn(failed, F.col(out).isNull())
 
-    return docs.withColumn(out, run(F.col(text)))
+
+def _or_none(text: str | None) -> list[dict] | None:
+    try:
+        return extract_text(text)
+    except Exception:  # one document's failure is not another's
+        return None
 
 
 # --- families as expressions -------------------------------------------------
@@ -262,16 +315,29 @@ def legacy_entities(text: Column, cap: int = ENTITY_CAP) -> Column:
     return F.slice(F.array_sort(F.array_distinct(F.concat(*parts))), 1, cap)
 
 
-def merge_passes(first: list[dict], overrides: dict[int, dict], additions: list[dict]) -> list[dict]:
-    """Pattern entities with the model's class, subclass and confidence by position, then its own, sorted and capped.
+def merge_passes(first: list[dict], refined: list[dict], additions: list[dict], cap: int = ENTITY_CAP) -> list[dict]:
+    """Pattern entities with a model's class, subclass and confidence by their names `e_N`, then its own, sorted and capped.
 
-    Values of e-mail shape stay e-mails whatever the model says.
+    Label, value and type of a pattern entity stay.  Values of e-mail shape are e-mails whatever the model
+    says; names out of range and classes that are not known change nothing.
     """
-    out = []
-    for n, e in enumerate([*first, *additions]):
-        e = dict(e) | ({k: v for k, v in overrides.get(n, {}).items() if v is not None} if n < len(first) else {})
-        if re.fullmatch(r"[^@\s]+@[^@\s]+\.[A-Za-z]{2,}", e["value"].strip()):
-            e |= {"class": "Email", "subclass": None}
-        e["entity_type"] = (e["class"] or e["entity_type"]).lower()
-        out.append(e)
-    return sort_dedup_cap(out)
+    out = [dict(e) for e in first]
+    for r in refined:
+        number = re.fullmatch("e_([0-9]+)", r.get("pass1_id") or "")
+        if not number or int(number[1]) >= len(out) or r.get("class") not in CLASSES:
+            continue
+        e = out[int(number[1])]
+        if r["class"] != "Email" and looks_like_email(e["value"]):
+            e |= {"class": "Email", "entity_type": "email", "subclass": None}
+        else:
+            e |= {"class": r["class"], "subclass": r.get("subclass")}
+        e["confidence"] = r.get("confidence")
+    for a in additions:
+        if a.get("class") in CLASSES and a.get("value"):
+            cls = "Email" if looks_like_email(a["value"]) else a["class"]
+            out.append(_entity(a["value"], cls.lower(), a["value"], cls, a.get("subclass"), a.get("confidence")))
+    return sort_dedup_cap(out, cap)
+
+
+def looks_like_email(value: str) -> bool:
+    return bool(re.fullmatch(r"[^@\s]+@[^@\s]+\.[A-Za-z]{2,}", value.strip()))

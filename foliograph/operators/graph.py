@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
+from . import blocks
 
 NEAR, SAME_SPACE, SAME_TAG, SAME_ENTITY, K = 0.7, 0.5, 0.3, 0.4, 10
 
@@ -50,31 +50,13 @@ def names_of(entities: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(named, lambda e: F.lower(e["value"]))))
 
 
-def blocked_neighbours(rows: DataFrame, k: int = K, block: int = 1000) -> DataFrame:
-    """(source, target, similarity, rank): the k nearest of every row, its queries stated in blocks.
+def blocked_neighbours(rows: DataFrame, k: int = K) -> DataFrame:
+    """(source, target, similarity, rank): the k nearest of every row, itself left out.
 
-    Rows and queries meet block by block in Arrow batches: a task holds two blocks of vectors and
-    each query's best k; the best of all blocks are merged.
+    Every row is a stated query; blocks of queries pass by the blocks of rows (`blocks.nearest`), which is exact
+    and quadratic in the rows, but for what moves: k + 1 rows a query and task.
     """
-    import numpy as np
-    import pandas as pd
-
-    spark_rows = rows.select("id", V.normalise(F.col("embedding")).alias("v"))
-    n = max(1, -(-rows.count() // block))
-    dealt = spark_rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    queries = dealt.select(F.col("id"), "v", F.col("b").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"))
-    standing = dealt.select("id", "v", "b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("q"))
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"source": [], "target": [], "similarity": []})
-        s = np.array(a["v"].tolist()) @ np.array(b["v"].tolist()).T
-        ids = b["id"].to_numpy()
-        s[a["id"].to_numpy()[:, None] == ids] = -2
-        order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-        out = pd.DataFrame({"source": np.repeat(a["id"].to_numpy(), order.shape[1]), "target": ids[order].ravel(), "similarity": np.take_along_axis(s, order, 1).ravel()})
-        return out[out["similarity"] > -2]
-
-    parts = queries.groupBy("q", "b").cogroup(standing.groupBy("q", "b")).applyInPandas(best, "source long, target long, similarity double")
-    w = Window.partitionBy("source").orderBy(F.desc("similarity"), "target")
-    return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    near = blocks.nearest(rows, rows, k + 1, "embedding", "id", "id", "embedding").where("query_id <> id").drop("rank")
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    ranked = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select(F.col("query_id").alias("source"), F.col("id").alias("target"), "similarity", "rank")

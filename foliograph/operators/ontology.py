@@ -44,8 +44,8 @@ def bootstrap(proposed: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def validate_bootstrap(proposed: DataFrame, vocabulary: DataFrame, cap: int = VOCABULARY_CAP) -> DataFrame:
-    """Well-formed proposals, each once, in order, while the vocabulary has room."""
-    good = proposed.where(T.is_snake_case(F.col("name"), 40)).groupBy("name").agg(F.min("position").alias("position"))
+    """Well-formed proposals that are not known yet, each once, in order, while the vocabulary has room."""
+    good = proposed.where(T.is_snake_case(F.col("name"), 40)).join(vocabulary.select("name"), "name", "left_anti").groupBy("name").agg(F.min("position").alias("position"))
     room = max(0, cap - vocabulary.limit(cap).count())
     return good.orderBy("position", "name").limit(room)
 
@@ -77,14 +77,41 @@ def merge(vocabulary: DataFrame, sources: list[str], target: str) -> DataFrame:
     return vocabulary.where(~movable).unionByName(folded)
 
 
-def consolidate(vocabulary: DataFrame, triples: DataFrame, renames: dict[str, str], merges: dict[str, list[str]]) -> tuple[DataFrame, DataFrame]:
-    """The vocabulary and the triples after renames and merges, in one pass over the triples."""
+def split(vocabulary: DataFrame, name: str, parts: list[str]) -> DataFrame:
+    """A predicate taken apart: its row goes, the parts come with no count, adaptive, where they are not known.
+
+    Which triples go to which part is for a reviewer; `consolidate` takes it as a list.
+    """
+    if name in PREDICATES:
+        raise ValueError("seed predicates keep their names")
+    fresh = vocabulary.sparkSession.createDataFrame([(p, "adaptive", 0) for p in dict.fromkeys(parts)], SCHEMA)
+    rest = vocabulary.where(F.col("name") != name)
+    return rest.unionByName(fresh.join(rest.select("name"), "name", "left_anti"))
+
+
+def consolidate(
+    vocabulary: DataFrame, triples: DataFrame, renames: dict[str, str], merges: dict[str, list[str]], splits: dict[str, list[str]] | None = None, moved: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The vocabulary and the triples after renames, merges and splits, in one pass over the triples.
+
+    `moved` (subject_id, predicate, object_id, part) says which part of a split predicate a triple takes; those
+    that it does not name keep the old predicate, which then stays in the vocabulary as well.
+    """
     moves = dict(renames)
     for target, sources in merges.items():
         moves |= dict.fromkeys(sources, target)
         vocabulary = merge(vocabulary, sources, target)
     for old, new in renames.items():
         vocabulary = rename(vocabulary, old, new)
+    if splits:
+        key = ["subject_id", "predicate", "object_id"]
+        if moved is not None:
+            triples = triples.join(moved.select(*key, "part"), key, "left").withColumn("predicate", F.coalesce("part", "predicate")).drop("part")
+        left = {r["predicate"] for r in triples.where(F.col("predicate").isin(list(splits))).select("predicate").distinct().collect()}  # at most the split names
+        for name, parts in splits.items():
+            before = vocabulary.where(F.col("name") == name)
+            vocabulary = split(vocabulary, name, parts)
+            vocabulary = vocabulary.unionByName(before) if name in left else vocabulary
     table = F.create_map(*[F.lit(x) for pair in moves.items() for x in pair]) if moves else None
     if table is not None:
         triples = triples.withColumn("predicate", F.coalesce(F.try_element_at(table, F.col("predicate")), F.col("predicate")))

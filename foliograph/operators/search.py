@@ -1,8 +1,7 @@
 """Vector search, scoring, related documents and chunk retrieval.
 
-Query sets are stated vectors against all rows: up to `QUERY_ROWS` are broadcast, more are dealt
-into hashed blocks of about that many.  Each query keeps its best `k` per task before the
-shuffle, so only k rows a task and query move.
+Query sets are stated vectors against all rows, in blocks (`blocks.nearest`): the ids of each
+query's best rows are found first, and only those rows' columns are joined to them.
 """
 
 from __future__ import annotations
@@ -13,27 +12,17 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.constants import ANSWER_FLOOR, CHAT_K, CHUNK_OVERLAP, CHUNK_SIZE, CHUNKS_IN_ALL, CHUNKS_PER_DOC, RELATED_FLOOR, SEARCH_K
-
-QUERY_ROWS = 2000
+from . import blocks
+from .filters import combine, entity_class_filter, entity_filter, long_enough, parse_entity_filter
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = SEARCH_K, vector: str = "embedding", row_id: str = "id", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
-    """(query_id, row columns, similarity, rank): the k rows nearest to each query by cosine, ties by id.
+    """(query_id, row columns but the vector, similarity, rank): the k rows nearest to each query by cosine, ties by id.
 
-    `queries` is the stated query set.  More than `QUERY_ROWS` are not broadcast: each task takes a part
-    of the rows and one block of queries.
+    `queries` is the stated query set, of any size; row ids are unique.
     """
-    stated = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("_q"), V.norm(F.col(query_vector)).alias("_qn"))
-    if stated.limit(QUERY_ROWS + 1).count() > QUERY_ROWS:
-        blocks = -(-stated.count() // QUERY_ROWS)
-        stated = stated.repartition(blocks, "query_id").hint("shuffle_replicate_nl")
-    else:
-        stated = F.broadcast(stated)
-    paired = rows.withColumn("_n", V.norm(F.col(vector))).join(stated)
-    scored = paired.withColumn("similarity", V.cosine(F.col(vector), F.col("_q"), F.col("_n"), F.col("_qn"))).drop("_q", "_qn", "_n", vector)
-    # rank <= k over a window is planned as a limit of k per group in each task before the shuffle
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.col(row_id))
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    found = blocks.nearest(rows, queries, k, vector, row_id, query_id, query_vector).withColumnRenamed("id", "_found")
+    return rows.drop(vector).join(found, F.col(row_id) == F.col("_found")).drop("_found")
 
 
 def search(rows: DataFrame, queries: DataFrame, as_of: Column, k: int = SEARCH_K, keep: Column | None = None, row_id: str = "id", created: str = "created_at") -> DataFrame:
@@ -118,10 +107,9 @@ def numbered_context(retrieved: DataFrame) -> DataFrame:
 
 
 def hyperbolic_nearest(spaces: DataFrame, point: Column, k: int = 3) -> DataFrame:
-    """The k top-level spaces whose centroid is nearest in the Poincare ball."""
-    inside = V.normalise(F.col("centroid"))
-    shrunk = F.transform(inside, lambda x: x * 0.5)
-    return spaces.where((F.col("depth") == 0) & (F.size("centroid") > 0)).withColumn("distance", V.poincare_distance(shrunk, point)).orderBy("distance", "id").limit(k)
+    """(id, distance): the k top-level spaces whose centroid is nearest in the Poincare ball; none without spaces."""
+    near = hyperbolic_index(spaces).withColumn("distance", V.poincare_distance(F.col("point"), point))
+    return near.select("id", "distance").orderBy("distance", "id").limit(k)
 
 
 def click_reward(position: Column) -> Column:
@@ -131,3 +119,56 @@ def click_reward(position: Column) -> Column:
 def trajectory_quality(hits: DataFrame) -> DataFrame:
     """(query_id, quality): the mean score of a search's hits."""
     return hits.groupBy("query_id").agg(F.avg("score").alias("quality"))
+
+
+def related_to(rows: DataFrame, ids: list, as_of: Column, n: int = 5, row_id: str = "id", vector: str = "embedding") -> DataFrame:
+    """`related_scored` for stated documents, with a snippet of each hit around a shared entity; an unknown id is an error.
+
+    Rows carry `keys`, `created_at` and `excerpt`.
+    """
+    asked = rows.where(F.col(row_id).isin(ids)).select(F.col(row_id).alias("query_id"), F.col(vector).alias("query_vector"), F.col("keys").alias("query_keys"))
+    missing = sorted(set(ids) - {r["query_id"] for r in asked.select("query_id").collect()})  # the stated ids
+    if missing:
+        raise LookupError(f"no such document: {missing[0]}")
+    hits = related_scored(rows, asked, as_of, n, row_id=row_id)
+    return hits.withColumn("snippet", snippet(F.col("excerpt"), F.array_intersect("keys", "query_keys")))
+
+
+def hyperbolic_index(spaces: DataFrame) -> DataFrame:
+    """(id, point): the top-level spaces that have a centroid, at half its direction in the Poincare ball."""
+    points = F.transform(V.normalise(F.col("centroid")), lambda x: x * 0.5)
+    return spaces.where((F.col("depth") == 0) & (F.size("centroid") > 0)).select("id", points.alias("point"))
+
+
+def search_documents(
+    docs: DataFrame, queries: DataFrame, as_of: Column, candidates: DataFrame | None = None, k: int = SEARCH_K, aliases: DataFrame | None = None,
+    entity_docs: DataFrame | None = None, filters: DataFrame | None = None,
+) -> DataFrame:
+    """Search from end to end: (query_id, id, similarity, excerpt, score, reranked, place), the best first.
+
+    `docs` has id, embedding, text, created_at and extracted_entities; `queries` has query_id, query and
+    query_vector.  Candidates (doc_id, as the metadata filters, spaces and topics leave them) and documents with
+    the stated entities (`filters` with `aliases` and `entity_docs`) narrow the documents before the search; bounds
+    on amounts and dates in the query narrow the k hits after it.  Hits get the excerpt around the query's
+    words, the score of similarity and recency, and the re-ranking by attention over the query's hits.
+    Queries of fewer than three bytes find nothing.
+    """
+    asked = queries.where(long_enough(F.col("query")))
+    narrowed = combine(candidates, None if filters is None else entity_class_filter(filters, aliases, entity_docs))
+    rows = docs if narrowed is None else docs.join(narrowed.select(F.col("doc_id").alias("id")), "id", "left_semi")
+    hits = top_k(rows, asked, k).join(asked.select("query_id", "query", "query_vector"), "query_id")
+    bounds = hits.withColumn("_b", parse_entity_filter(F.col("query")))
+    kept = bounds.where(entity_filter(F.col("extracted_entities"), *[F.col(f"_b.{c}") for c in ("min_amount", "max_amount", "before_date", "after_date")]))
+    scored = kept.withColumn("score", V.search_score(V.clamp(F.col("similarity")), V.recency(F.col("created_at"), as_of)))
+    keyed = scored.join(docs.select("id", F.col("embedding").alias("_key")), "id")
+    ranked = rerank(keyed.withColumn("logit", attention_logit(F.col("query_vector"), F.col("_key"))))
+    best = Window.partitionBy("query_id").orderBy(F.desc("reranked"), "id")
+    return ranked.select(
+        "query_id", "id", "similarity", T.best_excerpt(F.col("text"), F.col("query")).alias("excerpt"), "score", "reranked", F.row_number().over(best).alias("place"),
+    )
+
+
+def search_log(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query_id, query, result_count): what a search leaves in the query log."""
+    counts = hits.groupBy("query_id").agg(F.count("*").alias("n"))
+    return queries.join(counts, "query_id", "left").select("query_id", "query", F.coalesce("n", F.lit(0)).alias("result_count"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from .components import materialise
 from .filters import is_placeholder_label
 
 ROUNDS, SUB_LEAST_DOCS, SUB_LEAST_SIZE = 20, 50, 3
+#: Numbers in the vectors that seeds are chosen from (32 MB).
+SEED_VALUES = 4_000_000
 
 
 def auto_k(n: int, sub: bool = False) -> int:
@@ -23,13 +28,18 @@ def auto_k(n: int, sub: bool = False) -> int:
     return 1 if n <= 1 else int(min(20, max(2, np.floor((n / 2) ** 0.5 + 0.5))))
 
 
+def nearest_centroid(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The most similar centroid of each vector, to 12 decimals, the lowest of equals."""
+    return np.round(x @ centroids.T, 12).argmax(1)
+
+
 def _assign(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
     """(id, cluster): the most similar centroid, the lowest of equals.  Vectors meet the k centroids in Arrow batches."""
 
     def run(batches):
         for part in batches:
             x = np.array(part["vector"].tolist()).reshape(-1, centroids.shape[1])
-            yield pd.DataFrame({"id": part["id"], "cluster": (x @ centroids.T).argmax(1)})
+            yield pd.DataFrame({"id": part["id"], "cluster": nearest_centroid(x, centroids)})
 
     return vectors.mapInPandas(run, "id long, cluster int")
 
@@ -40,7 +50,7 @@ def _sums(vectors: DataFrame, centroids: np.ndarray) -> list:
     def run(batches):
         for part in batches:
             x = np.array(part["vector"].tolist()).reshape(-1, centroids.shape[1])
-            best = (x @ centroids.T).argmax(1)
+            best = nearest_centroid(x, centroids)
             ids = (part["id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)
             rows = [(j, int((best == j).sum()), int(ids[best == j].sum() & np.uint64((1 << 62) - 1)), x[best == j].sum(0)) for j in np.unique(best)]
             yield pd.DataFrame(rows, columns=["cluster", "n", "print", "sum"])
@@ -50,32 +60,58 @@ def _sums(vectors: DataFrame, centroids: np.ndarray) -> list:
     return parts.groupBy("cluster").agg(F.sum("n").alias("n"), F.bit_xor("print").alias("print"), F.array(*dims).alias("sum")).collect()
 
 
-def seeds(vectors: DataFrame, k: int, init: str = "reference") -> np.ndarray:
-    """k starting centroids from the vector of least id on.
+def seed_rows(dimensions: int) -> int:
+    """How many vectors seeds are chosen from: as many as have `SEED_VALUES` numbers."""
+    return max(1, SEED_VALUES // max(1, dimensions))
+
+
+def pick_seeds(x: np.ndarray, k: int, init: str) -> np.ndarray:
+    """k starting centroids of unit vectors in the order of their ids, from the first one on.
 
     `reference` takes next the vector least like its least like seed (which may repeat);
-    `farthest_first` the one least like its most like seed.
+    `farthest_first` the one least like its most like seed; the first of equals.
     """
-    chosen = [np.array(vectors.orderBy("id").limit(1).collect()[0]["vector"])]
+    chosen, likes = [0], x @ x[0]
     while len(chosen) < k:
-        have = np.array(chosen)
+        chosen.append(int(np.round(1 - likes, 12).argmax()))
+        like = x @ x[chosen[-1]]
+        likes = np.minimum(likes, like) if init == "reference" else np.maximum(likes, like)
+    return x[chosen].copy()
 
-        def run(batches, have=have):
-            for part in batches:
-                likes = np.array(part["vector"].tolist()).reshape(-1, have.shape[1]) @ have.T
-                gap = 1 - (likes.min(1) if init == "reference" else likes.max(1))
-                best = np.lexsort((part["id"], -gap))[:1]
-                yield part.iloc[best].assign(gap=gap[best])
 
-        found = vectors.mapInPandas(run, "id long, vector array<double>, gap double")  # one row a batch
-        chosen.append(np.array(found.orderBy(F.desc("gap"), "id").limit(1).collect()[0]["vector"]))
-    return np.array(chosen)
+def _moved(centroids: np.ndarray, sums: dict[int, tuple[int, np.ndarray]]) -> None:
+    for j, (n, total) in sums.items():
+        mean = total / n
+        length = np.linalg.norm(mean)
+        centroids[j] = mean / length if length else mean
+
+
+def cluster(x: np.ndarray, k: int, init: str, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids after at most `rounds` rounds, or when no vector changed its cluster, and each vector's cluster."""
+    centroids, before = pick_seeds(x, k, init), None
+    for _ in range(rounds):
+        label = nearest_centroid(x, centroids)
+        if before is not None and (label == before).all():
+            break
+        before = label
+        _moved(centroids, {int(j): (int((label == j).sum()), x[label == j].sum(0)) for j in np.unique(label)})
+    return centroids, nearest_centroid(x, centroids)
+
+
+def _sample(vectors: DataFrame, n: int, most: int) -> np.ndarray:
+    """The vector of least id and about `most` others, all if there are no more, in the order of their ids."""
+    bound = min((1 << 63) - 1, -(1 << 63) + (most << 64) // n)
+    some = vectors if n <= most else vectors.where(F.xxhash64(F.lit("seed"), "id") < F.lit(bound)).union(vectors.orderBy("id").limit(1)).distinct()
+    rows = some.collect()  # at most about SEED_VALUES numbers
+    return np.array([r["vector"] for r in sorted(rows, key=lambda r: r["id"])])
 
 
 def kmeans(rows: DataFrame, k: int | None = None, init: str = "reference", rounds: int = ROUNDS) -> DataFrame:
     """(id, space_id): cosine k-means over unit vectors; empty clusters keep their centroid and drop out.
 
-    `rows` has long id and vector `embedding`.  Each round is one aggregation of k sums; only they reach the driver.
+    `rows` has long id and vector `embedding`.  Seeds are chosen from a bounded sample (`seed_rows`); where that
+    is all vectors, the rounds run on it as well, otherwise each is one aggregation of k sums, and
+    only they reach the driver.
     """
     vectors = materialise(rows.select("id", V.normalise(F.col("embedding")).alias("vector")), "vectors")
     n = vectors.count()
@@ -83,18 +119,19 @@ def kmeans(rows: DataFrame, k: int | None = None, init: str = "reference", round
     if n <= k:
         place = F.row_number().over(Window.orderBy("id")) - 1  # no more rows than clusters
         return vectors.select("id", F.concat(F.lit("space-"), place).alias("space_id"))
-    centroids = seeds(vectors, k, init)
-    before = None
-    for _ in range(rounds):
-        sums = _sums(vectors, centroids)
-        now = {r["cluster"]: (r["n"], r["print"]) for r in sums}
-        if now == before:
-            break
-        before = now
-        for r in sums:
-            mean = np.array(r["sum"]) / r["n"]
-            length = np.linalg.norm(mean)
-            centroids[r["cluster"]] = mean / length if length else mean
+    most = seed_rows(len(vectors.first()["vector"]))
+    sample = _sample(vectors, n, most)
+    if n <= most:
+        centroids = cluster(sample, k, init, rounds)[0]
+    else:
+        centroids, before = pick_seeds(sample, k, init), None
+        for _ in range(rounds):
+            sums = _sums(vectors, centroids)
+            now = {r["cluster"]: (r["n"], r["print"]) for r in sums}
+            if now == before:
+                break
+            before = now
+            _moved(centroids, {r["cluster"]: (r["n"], np.array(r["sum"])) for r in sums})
     return _assign(vectors, centroids).select("id", F.concat(F.lit("space-"), F.col("cluster")).alias("space_id"))
 
 
@@ -105,53 +142,69 @@ def centroids_of(rows: DataFrame, members: DataFrame, size: int) -> DataFrame:
     return joined.groupBy("space_id").agg(mean.alias("centroid"), F.count("*").alias("n"))
 
 
-def sub_spaces(rows: DataFrame, members: DataFrame, least_docs: int = SUB_LEAST_DOCS, least_size: int = SUB_LEAST_SIZE, block: int = 20_000) -> DataFrame:
+def sub_spaces(rows: DataFrame, members: DataFrame, least_docs: int = SUB_LEAST_DOCS, least_size: int = SUB_LEAST_SIZE, block: int | None = None) -> DataFrame:
     """(id, space_id, sub_id): parents of more than `least_docs` documents cluster again; small clusters go to `misc`.
 
-    A parent of up to `block` documents clusters in one task; a larger one by the distributed loop.
+    Sub-spaces are numbered from 0 in the order of their clusters.  A parent whose vectors are all in the sample that
+    seeds are chosen from (`seed_rows`) clusters in one task, a larger one by the distributed loop, with the same result.
     """
     sizes = members.groupBy("space_id").agg(F.count("*").alias("n")).where(F.col("n") > least_docs)
     joined = members.join(sizes, "space_id").join(rows.select("id", "embedding"), "id")
+    first = rows.select("embedding").where("embedding is not null").first()
+    block = seed_rows(len(first["embedding"]) if first else 1) if block is None else block
+
+    def named(parent: str, label: np.ndarray, counts: dict[int, int]) -> list[str]:
+        number = {j: i for i, j in enumerate(j for j in sorted(counts) if counts[j] >= least_size)}
+        return [f"{parent}-sub-{number[j]}" if j in number else f"{parent}-misc" for j in label.tolist()]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id")
         x = np.array(part["embedding"].tolist(), float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        k = min(auto_k(len(x), True), len(x))
-        chosen = [0]
-        for _ in range(1, k):
-            chosen.append(int((1 - (x @ x[chosen].T).max(1)).argmax()))
-        c, label = x[chosen].copy(), np.zeros(len(x), int)
-        for _ in range(ROUNDS):
-            new = (x @ c.T).argmax(1)
-            if (new == label).all():
-                break
-            label = new
-            for j in range(k):
-                if (label == j).any():
-                    mean = x[label == j].mean(0)
-                    c[j] = mean / max(np.linalg.norm(mean), 1e-12)
-        counts = np.bincount(label, minlength=k)
-        good = [j for j in range(k) if counts[j] >= least_size]
-        number = {j: i for i, j in enumerate(good)}
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        label = cluster(x, min(auto_k(len(x), True), len(x)), "farthest_first")[1]
         parent = part["space_id"].iloc[0]
-        names = [f"{parent}-sub-{number[j]}" if j in number else f"{parent}-misc" for j in label]
-        return pd.DataFrame({"id": part["id"], "space_id": parent, "sub_id": names})
+        return pd.DataFrame({"id": part["id"], "space_id": parent, "sub_id": named(parent, label, dict(zip(*np.unique(label, return_counts=True), strict=True)))})
 
     schema = "id long, space_id string, sub_id string"
     out = joined.where(F.col("n") <= block).select("id", "space_id", "embedding").groupBy("space_id").applyInPandas(run, schema)
     for r in sizes.where(F.col("n") > block).orderBy("space_id").collect():  # at most rows / block parents
-        own = kmeans(joined.where(F.col("space_id") == r["space_id"]), auto_k(r["n"], True), "farthest_first").withColumnRenamed("space_id", "_c")
-        counted = own.groupBy("_c").agg(F.count("*").alias("_n"))
-        name = F.when(F.col("_n") >= least_size, F.concat(F.lit(f"{r['space_id']}-sub-"), F.substring_index("_c", "-", -1))).otherwise(F.lit(f"{r['space_id']}-misc"))
-        out = out.union(own.join(counted, "_c").select("id", F.lit(r["space_id"]).alias("space_id"), name.alias("sub_id")))
+        own = kmeans(joined.where(F.col("space_id") == r["space_id"]), auto_k(r["n"], True), "farthest_first")
+        own = own.withColumn("_c", F.substring_index("space_id", "-", -1).cast("int"))
+        counts = {c["_c"]: c["n"] for c in own.groupBy("_c").agg(F.count("*").alias("n")).collect()}  # one row a cluster
+        names = named(r["space_id"], np.array(sorted(counts)), counts)
+        table = rows.sparkSession.createDataFrame(list(zip(sorted(counts), names, strict=True)), "_c int, sub_id string")
+        out = out.union(own.join(table, "_c").select("id", F.lit(r["space_id"]).alias("space_id"), "sub_id"))
     return out
 
 
 def fingerprints(members: DataFrame) -> DataFrame:
-    """(space_id, fingerprint, docs)."""
-    docs = F.array_sort(F.collect_list(F.col("id").cast("string")))
-    return members.groupBy("space_id").agg(docs.alias("docs")).withColumn("fingerprint", T.membership_fingerprint(F.col("docs")))
+    """(space_id, fingerprint, n): the first 16 hex digits of SHA-256 over a space's sorted ids, one a line.
+
+    A space's ids are sorted by Spark and hashed as they pass by, so a task holds none of them.
+    """
+    ids = members.select("space_id", F.col("id").cast("string").alias("id"))
+    ordered = ids.repartition("space_id").sortWithinPartitions("space_id", F.encode("id", "utf-8"))
+
+    def run(batches):
+        space, digest, n = None, hashlib.sha256(), 0
+        for batch in batches:
+            out = []
+            for name, doc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if name != space and n:
+                    out.append((space, digest.hexdigest()[:16], n))
+                    digest, n = hashlib.sha256(), 0
+                space, n = name, n + 1
+                digest.update(f"{doc}\n".encode())
+            yield _print_rows(out)
+        yield _print_rows([(space, digest.hexdigest()[:16], n)] if n else [])
+
+    return ordered.mapInArrow(run, "space_id string, fingerprint string, n long")
+
+
+def _print_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[], [], []]
+    kinds = (pa.string(), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["space_id", "fingerprint", "n"])
 
 
 def membership_change(previous: DataFrame, current: DataFrame) -> DataFrame:
@@ -265,6 +318,15 @@ def move_document(members: DataFrame, doc_id: int, target: str) -> DataFrame:
     return members.where(F.col("id") != doc_id).select("id", "space_id").union(moved)
 
 
+def counts_after_move(spaces: DataFrame, members: DataFrame, doc_id: int, target: str) -> DataFrame:
+    """Spaces (id, document_count) with the counts that a move leaves: one less where the document was (never below 0), one more in the target."""
+    was = members.where(F.col("id") == doc_id).select(F.col("space_id").alias("_was")).distinct()
+    known = members.where(F.col("id") == doc_id).limit(1).select(F.lit(1).alias("_known"))
+    joined = spaces.join(was, F.col("id") == F.col("_was"), "left").join(F.broadcast(known), how="left")  # one row
+    left = F.greatest(F.col("document_count") - F.when(F.col("_was").isNotNull(), 1).otherwise(0), F.lit(0))
+    return joined.withColumn("document_count", left + F.when((F.col("id") == target) & F.col("_known").isNotNull(), 1).otherwise(0)).drop("_was", "_known")
+
+
 def set_label(cache: DataFrame, space_id: str, label: str | None, locked: bool) -> DataFrame:
     """An upsert of one label; a null label drops the row."""
     rest = cache.where(F.col("space_id") != space_id)
@@ -280,11 +342,18 @@ def related_spaces(members: DataFrame) -> DataFrame:
     return one.select("space_id", F.explode("s").alias("other_id")).where("space_id <> other_id").distinct()
 
 
+def entity_value_counts(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(space_id, value, n): in how many of a cluster's documents an entity value occurs."""
+    docs = found.select(F.col("doc_id").alias("id"), "value").distinct()
+    return members.select("space_id", "id").distinct().join(docs, "id").groupBy("space_id", "value").agg(F.count("*").alias("n"))
+
+
 def label_inputs(docs: DataFrame, found: DataFrame, titles: int = 20, classes: int = 5, topics: int = 3, tags: int = 10) -> DataFrame:
     """(space_id, titles, classes, topics, tags): what a label request tells about a cluster.
 
     `docs` (space_id, title, topic, tags), `found` (space_id, class): the first titles in order,
-    and the most frequent classes (`Class: n`), topics and tags, ties by name.
+    and the most frequent classes (`Class: n`), topics and tags, ties by name.  `entity_value_counts`
+    with `canonical_hint` gives the entity that goes with them.
     """
     def most(rows: DataFrame, key: str, n: int, shown: Column, out: str) -> DataFrame:
         counts = rows.where(F.col(key).isNotNull()).groupBy("space_id", key).agg(F.count("*").alias("n"))
@@ -324,5 +393,56 @@ def ordered_subs(subs: DataFrame) -> DataFrame:
     return subs.orderBy(F.col("sub_id").endswith("-misc"), F.desc("document_count"), "sub_id")
 
 
+def ordered_spaces(spaces: DataFrame, by: str = "name") -> DataFrame:
+    """Spaces by `name`, by `updated` (the latest first) or by `count` (the most first), ties by id."""
+    orders = {"name": F.lower("name"), "updated": F.desc("updated_at"), "count": F.desc("document_count")}
+    return spaces.orderBy(orders[by], "id")
+
+
+def largest_spaces(spaces: DataFrame, n: int = 10) -> DataFrame:
+    return ordered_spaces(spaces, "count").limit(n)
+
+
+def top_level(spaces: DataFrame) -> DataFrame:
+    return spaces.where("depth = 0")
+
+
+def labelled(spaces: DataFrame, cache: DataFrame) -> DataFrame:
+    """Spaces with the label of the cache in place of their name, where it has one."""
+    known = cache.select(F.col("space_id").alias("id"), "label", "user_locked")
+    return spaces.join(known, "id", "left").withColumn("name", F.coalesce("label", "name")).withColumn("user_locked", F.coalesce("user_locked", F.lit(False))).drop("label")
+
+
+def clear_lock(cache: DataFrame, space_id: str) -> DataFrame:
+    """One label may be replaced again."""
+    return cache.withColumn("user_locked", F.col("user_locked") & (F.col("space_id") != space_id))
+
+
+def relabel(cache: DataFrame) -> DataFrame:
+    """The cache before all labels are made anew: only locked ones stay."""
+    return cache.where("user_locked")
+
+
+def space_documents(members: DataFrame, docs: DataFrame, space_id: str) -> DataFrame:
+    """The documents of a space."""
+    return docs.join(members.where(F.col("space_id") == space_id).select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+
+
+def space_counts(members: DataFrame) -> DataFrame:
+    """(space_id, document_count)."""
+    return members.groupBy("space_id").agg(F.countDistinct("id").alias("document_count"))
+
+
 def spaces_of(members: DataFrame, doc_id: int) -> DataFrame:
     return members.where(F.col("id") == doc_id).select("space_id")
+
+
+def cluster_metadata(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """(space_id, documents, doc_types, first_at, last_at): sizes, kinds of file and times of each cluster.
+
+    `docs` has doc_id, doc_type and modified_at.
+    """
+    joined = members.join(docs.withColumnRenamed("doc_id", "id"), "id")
+    return joined.groupBy("space_id").agg(
+        F.countDistinct("id").alias("documents"), F.array_sort(F.collect_set("doc_type")).alias("doc_types"), F.min("modified_at").alias("first_at"), F.max("modified_at").alias("last_at")
+    )

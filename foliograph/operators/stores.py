@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .filters import class_and_value
+
 
 def sessions(messages: DataFrame) -> DataFrame:
     """(session_id, messages, created_at, updated_at), the latest first."""
@@ -12,6 +14,21 @@ def sessions(messages: DataFrame) -> DataFrame:
     return out.orderBy(F.desc("updated_at"), "session_id")
 
 
+def create_session(table: DataFrame, session_id: str, title: str, at: Column) -> DataFrame:
+    """The sessions with a new one (session_id, title, created_at, updated_at); a known id is left as it is."""
+    spark = table.sparkSession
+    fresh = spark.createDataFrame([(session_id, title.strip())], "session_id string, title string").withColumns({"created_at": at, "updated_at": at})
+    return table.unionByName(fresh.join(table.select("session_id"), "session_id", "left_anti").select(*table.columns))
+
+
+def append_messages(table: DataFrame, messages: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sessions and messages after new messages: those of unknown sessions are left out, sessions are as late as their last one."""
+    known = append_answer(messages, fresh, table)
+    latest = fresh.groupBy("session_id").agg(F.max("created_at").alias("_at"))
+    later = table.join(latest, "session_id", "left").withColumn("updated_at", F.greatest("updated_at", "_at")).select(*table.columns)
+    return later, known
+
+
 def rename_session(table: DataFrame, session_id: str, title: str) -> DataFrame:
     if not title.strip():
         raise ValueError("a title has characters")
@@ -42,6 +59,12 @@ def valid_saved_search(saved: DataFrame) -> DataFrame:
     return saved.where((F.trim("name") != "") & good)
 
 
+def saved_filters(saved: DataFrame) -> DataFrame:
+    """(id, filter_no, class, value): the entity filters of saved searches (`entities`: array of `Class:value`)."""
+    each = saved.select("id", F.posexplode("entities").alias("filter_no", "key")).withColumn("f", class_and_value(F.col("key")))
+    return each.where("f is not null").select("id", "filter_no", "f.*")
+
+
 def log_activity(log: DataFrame, action: str, subject: str, at: Column) -> DataFrame:
     """The log with one more row, numbered on."""
     following = log.agg((F.coalesce(F.max("seq"), F.lit(0)) + 1).alias("seq"))

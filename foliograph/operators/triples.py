@@ -24,9 +24,13 @@ def closure(triples: DataFrame) -> DataFrame:
 
 
 def merge(triples: DataFrame) -> DataFrame:
-    """One row per (subject, predicate, object): all documents, user-added if any is."""
-    docs = F.array_sort(F.array_distinct(F.flatten(F.collect_list("doc_ids"))))
-    return triples.groupBy("subject_id", "predicate", "object_id").agg(docs.alias("doc_ids"), F.max("user_added").alias("user_added"))
+    """One row per (subject, predicate, object): all documents, user-added if any is.
+
+    A document is counted once per triple before a triple's documents meet, so what meets is as long as the result.
+    """
+    key = ["subject_id", "predicate", "object_id"]
+    one = triples.select(*key, F.explode_outer("doc_ids").alias("_doc"), "user_added").groupBy(*key, "_doc").agg(F.max("user_added").alias("user_added"))
+    return one.groupBy(*key).agg(F.array_sort(F.collect_list("_doc")).alias("doc_ids"), F.max("user_added").alias("user_added"))
 
 
 def upsert(store: DataFrame, new: DataFrame, strict_reference: bool = False) -> DataFrame:

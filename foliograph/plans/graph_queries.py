@@ -187,19 +187,11 @@ def _vectors(spark, sf_dir):
     return e.union(e.where("id % 3 = 0").select(F.col("id") + 10_000_000, moved, "entity_type"))
 
 
-@query("""
-WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings UNION ALL SELECT vec_id + 10000000, label, list_concat([CAST(embedding[1] AS DOUBLE) + 0.1], CAST(embedding[2:] AS DOUBLE[])) FROM embeddings WHERE vec_id % 3 = 0)
-SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.label = b.label AND a.id < b.id AND list_cosine_similarity(a.v, b.v) >= 0.9
-""")
-def ent_vector_merge(spark, sf_dir):
-    return E.vector_pairs(_vectors(spark, sf_dir), 0.9)
-
-
 @query("""
 WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings UNION ALL SELECT vec_id + 10000000, label, list_concat([CAST(embedding[1] AS DOUBLE) + 0.1], CAST(embedding[2:] AS DOUBLE[])) FROM embeddings WHERE vec_id % 3 = 0)
 SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.label = b.label AND a.id < b.id AND list_cosine_similarity(a.v, b.v) >= 0.75
 """)
-def ent_vector_merge_whole(spark, sf_dir):
+def ent_vector_merge(spark, sf_dir):
     return E.vector_pairs(_vectors(spark, sf_dir))
 
 
@@ -221,25 +213,17 @@ def ent_lookup(spark, sf_dir):
 BASE_TRIPLES = """
 WITH t AS (SELECT 'c' || c_custkey AS s, 'located_in' AS p, 'n' || c_nationkey AS o, 'd' || c_custkey % 10 AS d FROM customer
 UNION ALL SELECT 'n' || n_nationkey, 'part_of', 'r' || n_regionkey, 'd0' FROM nation
-UNION ALL SELECT DISTINCT 'c' || o_custkey, 'purchased_from', 's' || l_suppkey, 'd' || o_custkey % 10 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 10 = 1
-UNION ALL SELECT DISTINCT 'c' || o_custkey, 'owns', 'p' || l_partkey, 'd' || o_custkey % 10 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 10 = 2
-UNION ALL SELECT 'c' || c_custkey, 'partner_of', 'c' || c_custkey + 1, 'd5' FROM customer WHERE c_custkey % 20 = 3)
-"""
-INVERSE = "CASE p WHEN 'owns' THEN 'owned_by' WHEN 'purchased_from' THEN 'sold_to' WHEN 'partner_of' THEN 'partner_of' END"
-CLOSURE = f", c AS (SELECT * FROM t UNION ALL SELECT o, {INVERSE}, s, d FROM t WHERE {INVERSE} IS NOT NULL), m AS (SELECT s, p, o, list_sort(list(DISTINCT d)) AS ds FROM c GROUP BY 1, 2, 3)"
-CLOSED = BASE_TRIPLES + CLOSURE
-ALL_TRIPLES = """
-WITH t AS (SELECT 'c' || c_custkey AS s, 'located_in' AS p, 'n' || c_nationkey AS o, 'd' || c_custkey % 10 AS d FROM customer
-UNION ALL SELECT 'n' || n_nationkey, 'part_of', 'r' || n_regionkey, 'd0' FROM nation
 UNION ALL SELECT DISTINCT 'c' || o_custkey, 'purchased_from', 's' || l_suppkey, 'd' || o_custkey % 10 FROM orders JOIN lineitem ON l_orderkey = o_orderkey
 UNION ALL SELECT DISTINCT 'c' || o_custkey, 'owns', 'p' || l_partkey, 'd' || o_custkey % 10 FROM orders JOIN lineitem ON l_orderkey = o_orderkey
 UNION ALL SELECT 'c' || c_custkey, 'partner_of', 'c' || c_custkey + 1, 'd5' FROM customer)
 """
+INVERSE = "CASE p WHEN 'owns' THEN 'owned_by' WHEN 'purchased_from' THEN 'sold_to' WHEN 'partner_of' THEN 'partner_of' END"
+CLOSURE = f", c AS (SELECT * FROM t UNION ALL SELECT o, {INVERSE}, s, d FROM t WHERE {INVERSE} IS NOT NULL), m AS (SELECT s, p, o, list_sort(list(DISTINCT d)) AS ds FROM c GROUP BY 1, 2, 3)"
+CLOSED = BASE_TRIPLES + CLOSURE
 
 
-def _triples(spark, sf_dir, whole=False):
-    """Triples of the customers and orders that BASE_TRIPLES picks, or of all of them (ALL_TRIPLES)."""
-    of_rows = lambda df, picked: df if whole else df.where(picked)
+def _triples(spark, sf_dir):
+    """Triples of all orders, lines and customers."""
     customer, nation, orders, items = (table(spark, sf_dir, n) for n in ("customer", "nation", "orders", "lineitem"))
     key = lambda p, c: F.concat(F.lit(p), c)
     bought = orders.join(items, F.col("o_orderkey") == F.col("l_orderkey"))
@@ -248,9 +232,9 @@ def _triples(spark, sf_dir, whole=False):
     parts = [
         row(customer, key("c", F.col("c_custkey")), "located_in", key("n", F.col("c_nationkey")), of("c_custkey")),
         row(nation, key("n", F.col("n_nationkey")), "part_of", key("r", F.col("n_regionkey")), F.lit("d0")),
-        row(of_rows(bought, "o_custkey % 10 = 1"), key("c", F.col("o_custkey")), "purchased_from", key("s", F.col("l_suppkey")), of("o_custkey")),
-        row(of_rows(bought, "o_custkey % 10 = 2"), key("c", F.col("o_custkey")), "owns", key("p", F.col("l_partkey")), of("o_custkey")),
-        row(of_rows(customer, "c_custkey % 20 = 3"), key("c", F.col("c_custkey")), "partner_of", key("c", F.col("c_custkey") + 1), F.lit("d5")),
+        row(bought, key("c", F.col("o_custkey")), "purchased_from", key("s", F.col("l_suppkey")), of("o_custkey")),
+        row(bought, key("c", F.col("o_custkey")), "owns", key("p", F.col("l_partkey")), of("o_custkey")),
+        row(customer, key("c", F.col("c_custkey")), "partner_of", key("c", F.col("c_custkey") + 1), F.lit("d5")),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -258,81 +242,67 @@ def _triples(spark, sf_dir, whole=False):
     return out
 
 
-def _store(spark, sf_dir, whole=False):
-    t = _triples(spark, sf_dir, whole)
+def _store(spark, sf_dir):
+    t = _triples(spark, sf_dir)
     return R.upsert(t.limit(0), t)
 
 
-def _triple_query(base, rest):
-    """Registers a query under its name, and as `<name>_whole` over the triples of all rows."""
-
-    def register(f):
-        def whole(spark, sf_dir):
-            return f(spark, sf_dir, True)
-
-        whole.__name__ = f"{f.__name__}_whole"
-        query(base.replace(BASE_TRIPLES, ALL_TRIPLES) + rest)(whole)
-        return query(base + rest)(f)
-
-    return register
-
-
-@_triple_query(CLOSED, "SELECT s AS subject_id, p AS predicate, o AS object_id, array_to_string(ds, ',') AS doc_ids FROM m")
-def trp_closure(spark, sf_dir, whole=False):
-    return _store(spark, sf_dir, whole).select("subject_id", "predicate", "object_id", F.array_join("doc_ids", ",").alias("doc_ids"))
+@query(CLOSED + "SELECT s AS subject_id, p AS predicate, o AS object_id, array_to_string(ds, ',') AS doc_ids FROM m")
+def trp_closure(spark, sf_dir):
+    return _store(spark, sf_dir).select("subject_id", "predicate", "object_id", F.array_join("doc_ids", ",").alias("doc_ids"))
 
 
-@_triple_query(CLOSED, "SELECT s AS subject_id, p AS predicate, o AS object_id FROM m WHERE len(list_filter(ds, lambda x: x <> 'd5')) > 0")
-def trp_cleanup(spark, sf_dir, whole=False):
-    return R.cleanup_document(_store(spark, sf_dir, whole), F.lit("d5")).select("subject_id", "predicate", "object_id")
+@query(CLOSED + "SELECT s AS subject_id, p AS predicate, o AS object_id FROM m WHERE len(list_filter(ds, lambda x: x <> 'd5')) > 0")
+def trp_cleanup(spark, sf_dir):
+    return R.cleanup_document(_store(spark, sf_dir), F.lit("d5")).select("subject_id", "predicate", "object_id")
 
 
-@_triple_query(CLOSED, "SELECT s AS subject_id, p AS predicate, o AS object_id FROM m WHERE NOT (p = 'purchased_from' AND s LIKE 'c%1') AND NOT (p = 'sold_to' AND o LIKE 'c%1')")
-def trp_delete(spark, sf_dir, whole=False):
-    gone = _triples(spark, sf_dir, whole).where("predicate = 'purchased_from' and subject_id like 'c%1'")
-    return R.delete(_store(spark, sf_dir, whole), gone).select("subject_id", "predicate", "object_id")
+@query(CLOSED + "SELECT s AS subject_id, p AS predicate, o AS object_id FROM m WHERE NOT (p = 'purchased_from' AND s LIKE 'c%1') AND NOT (p = 'sold_to' AND o LIKE 'c%1')")
+def trp_delete(spark, sf_dir):
+    gone = _triples(spark, sf_dir).where("predicate = 'purchased_from' and subject_id like 'c%1'")
+    return R.delete(_store(spark, sf_dir), gone).select("subject_id", "predicate", "object_id")
 
 
-@_triple_query(CLOSED, "SELECT p AS predicate, o AS other_id FROM m WHERE s = 'c12' UNION SELECT p, s FROM m WHERE o = 'c12'")
-def trp_related(spark, sf_dir, whole=False):
-    return R.all_related(_store(spark, sf_dir, whole), F.lit("c12"))
+@query(CLOSED + "SELECT p AS predicate, o AS other_id FROM m WHERE s = 'c12' UNION SELECT p, s FROM m WHERE o = 'c12'")
+def trp_related(spark, sf_dir):
+    return R.all_related(_store(spark, sf_dir), F.lit("c12"))
 
 
-@_triple_query(BASE_TRIPLES, "SELECT DISTINCT s AS subject_id FROM t WHERE p = 'located_in' AND o = 'n4'")
-def trp_subjects(spark, sf_dir, whole=False):
-    return R.subjects_of(_store(spark, sf_dir, whole), "located_in", F.lit("n4"))
+@query(BASE_TRIPLES + "SELECT DISTINCT s AS subject_id FROM t WHERE p = 'located_in' AND o = 'n4'")
+def trp_subjects(spark, sf_dir):
+    return R.subjects_of(_store(spark, sf_dir), "located_in", F.lit("n4"))
 
 
-@_triple_query(CLOSED, "SELECT o AS object_id FROM m WHERE p = 'owns' AND s = 'c12'")
-def trp_objects(spark, sf_dir, whole=False):
-    return R.objects_of(_store(spark, sf_dir, whole), F.lit("c12"), "owns")
+@query(CLOSED + "SELECT o AS object_id FROM m WHERE p = 'owns' AND s = 'c12'")
+def trp_objects(spark, sf_dir):
+    return R.objects_of(_store(spark, sf_dir), F.lit("c12"), "owns")
 
 
-@_triple_query(CLOSED, "SELECT s AS subject_id, p AS predicate, o AS object_id, CASE WHEN s = 'n4' THEN 'outgoing' ELSE 'incoming' END AS direction, CASE WHEN s = 'n4' THEN NULL ELSE c_name END AS subject_name FROM m LEFT JOIN customer ON s = 'c' || c_custkey WHERE s = 'n4' OR o = 'n4'")
-def trp_page(spark, sf_dir, whole=False):
+@query(CLOSED + "SELECT s AS subject_id, p AS predicate, o AS object_id, CASE WHEN s = 'n4' THEN 'outgoing' ELSE 'incoming' END AS direction, CASE WHEN s = 'n4' THEN NULL ELSE c_name END AS subject_name FROM m LEFT JOIN customer ON s = 'c' || c_custkey WHERE s = 'n4' OR o = 'n4'")
+def trp_page(spark, sf_dir):
     canon = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("canonical_id"), F.col("c_name").alias("canonical_name"), F.lit("person").alias("entity_type"))
     places = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey"), F.lit(None).cast("string"), F.lit("location")).union(table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey"), F.lit(None).cast("string"), F.lit("location")))
-    return R.relations_page(_store(spark, sf_dir, whole), canon.union(places), F.lit("n4")).select("subject_id", "predicate", "object_id", "direction", "subject_name")
+    return R.relations_page(_store(spark, sf_dir), canon.union(places), F.lit("n4")).select("subject_id", "predicate", "object_id", "direction", "subject_name")
 
 
-@_triple_query(BASE_TRIPLES, """
+@query(BASE_TRIPLES + """
 , k AS (SELECT DISTINCT s, o, CASE CAST(substr(o, 2) AS INTEGER) % 3 WHEN 0 THEN CASE WHEN lower(p_name) LIKE '%plot%' OR lower(p_name) LIKE '%land%' OR lower(p_name) LIKE '%property%' THEN 'Property' WHEN lower(p_name) LIKE '%car%' OR lower(p_name) LIKE '%vehicle%' OR lower(p_name) LIKE '%bike%' OR lower(p_name) LIKE '%scooter%' THEN 'Vehicle' ELSE 'Other' END WHEN 1 THEN 'Business' ELSE 'Financial' END AS a
   FROM t JOIN part ON o = 'p' || p_partkey WHERE p = 'owns')
 SELECT s AS subject_id, a AS asset_type, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY s) AS BIGINT) AS total FROM k GROUP BY s, a
 """)
-def trp_ownership(spark, sf_dir, whole=False):
+def trp_ownership(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     kind = F.get(F.array(F.lit("location"), F.lit("organization"), F.lit("identifier")), (F.col("p_partkey") % 3).cast("int"))
     canon = part.select(F.concat(F.lit("p"), "p_partkey").alias("canonical_id"), F.when(kind == "identifier", F.concat(F.lit("ID"), "p_partkey")).otherwise(F.col("p_name")).alias("canonical_name"), kind.alias("entity_type"))
     topics = spark.createDataFrame([(f"d{n}", "business") for n in range(10)], "doc_id string, topic string")
     subclasses = part.select(F.concat(F.lit("id"), "p_partkey").alias("surface_lc"), F.lit("iban").alias("subclass"))
-    out = R.ownership(_triples(spark, sf_dir, whole), canon, topics, subclasses)
+    out = R.ownership(_triples(spark, sf_dir), canon, topics, subclasses)
     return out.select("subject_id", "asset_type", "n", "total")
 
 
-@_triple_query(CLOSED, "SELECT CASE WHEN p = 'owns' THEN 'holds' ELSE p END AS predicate, count(*) AS n FROM m GROUP BY 1")
-def trp_rename(spark, sf_dir, whole=False):
-    return R.rename_predicate(_store(spark, sf_dir, whole), "owns", "holds").groupBy("predicate").agg(F.count("*").alias("n"))
+@query(CLOSED + "SELECT CASE WHEN p = 'owns' THEN 'holds' ELSE p END AS predicate, count(*) AS n FROM m GROUP BY 1")
+def trp_rename(spark, sf_dir):
+    return R.rename_predicate(_store(spark, sf_dir), "owns", "holds").groupBy("predicate").agg(F.count("*").alias("n"))
 
 
 @query("SELECT l_orderkey AS doc_id, l_linenumber % 4 AS s, 'owns' AS predicate, l_linenumber // 2 AS o FROM lineitem WHERE l_partkey % 2 = 0 AND l_linenumber % 4 <> l_linenumber // 2 AND l_linenumber // 2 < 3 AND l_linenumber % 4 < 3")
@@ -394,10 +364,10 @@ def chat_stream(spark, sf_dir):
     numbered = rows.withColumn("seq", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role")))
     line = F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices"))))
     lines = numbered.select(F.col("conv_id").alias("message_id"), "seq", line.alias("line"))
-    ends = rows.select(F.col("conv_id").alias("message_id")).distinct().select("message_id", F.lit(1 << 30).alias("seq"), F.lit("data: [DONE]").alias("line"))
-    frames = M.stream_frames(lines.union(ends))
-    whole = S.accumulate_tokens(frames)
-    return whole.withColumn("n", F.char_length("content").cast("long"))
+    end = F.explode(F.array(F.struct(F.lit(1 << 29).alias("seq"), F.lit('data: {"choices": [], "usage": {"prompt_tokens": 1}}').alias("line")), F.struct(F.lit(1 << 30).alias("seq"), F.lit("data: [DONE]").alias("line"))))
+    ends = rows.select(F.col("conv_id").alias("message_id")).distinct().select("message_id", end.alias("e")).select("message_id", "e.*")
+    answer = S.accumulate_tokens(M.stream_frames(lines.union(ends)))
+    return answer.withColumn("n", F.char_length("content").cast("long"))
 
 
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'new' || c_custkey ELSE c_name END AS name FROM customer")
@@ -407,14 +377,14 @@ def store_upsert(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 3.0 ELSE 2.5 END AS DOUBLE) AS entities_version, CASE WHEN doc_id % 3 = 0 THEN 'organization' ELSE 'person' END AS entity_type, CASE WHEN doc_id % 3 = 0 THEN 'tax_papers' END AS topic FROM documents
+SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 3.0 ELSE 2.5 END AS DOUBLE) AS entities_version, 'person' AS entity_type, CASE WHEN doc_id % 3 = 0 THEN 'Organization' ELSE 'Person' END AS class, CASE WHEN doc_id % 3 = 0 THEN 'tax_papers' END AS topic FROM documents
 """)
 def llm_two_pass(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id")
-    reply = F.when(F.col("doc_id") % 3 == 0, F.lit('<think>x {y}</think>\n```json\n{"entities": [{"index": 0, "class": "Organization"}], "topic": "Tax papers!"}\n```')).when(F.col("doc_id") % 3 == 1, "no json")
+    reply = F.when(F.col("doc_id") % 3 == 0, F.lit('<think>x {y}</think>\n```json\n{"refined_entities": [{"pass1_id": "e_0", "class": "Organization"}], "topic": "Tax papers!"}\n```')).when(F.col("doc_id") % 3 == 1, "no json")
     entity = F.array(F.struct(F.lit("Acme").alias("value"), F.lit("person").alias("entity_type"), F.lit("Person").alias("class"), F.lit(None).cast("string").alias("subclass")))
     out = M.two_pass(docs.select("doc_id", entity.alias("extracted_entities"), reply.alias("reply")))
-    return out.select("doc_id", F.col("entities_version").cast("double").alias("entities_version"), F.get("extracted_entities", F.lit(0))["entity_type"].alias("entity_type"), "topic")
+    return out.select("doc_id", F.col("entities_version").cast("double").alias("entities_version"), F.get("extracted_entities", F.lit(0))["entity_type"].alias("entity_type"), F.get("extracted_entities", F.lit(0))["class"].alias("class"), "topic")
 
 
 @query("SELECT doc_id, 0 AS s, 'owns' AS predicate, CAST(doc_id % 5 AS INTEGER) AS o FROM documents")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import extract as X
 from ..operators import filters as L
+from ..operators import spaces as P
 from .registry import query, table
 
 
@@ -57,7 +58,7 @@ SELECT source, substr(sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER B
 """)
 def txt_fingerprint(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.groupBy("source").agg(T.membership_fingerprint(F.collect_list(F.col("doc_id").cast("string"))).alias("fingerprint"), F.count("*").alias("n"))
+    return P.fingerprints(docs.select(F.col("source").alias("space_id"), F.col("doc_id").alias("id"))).withColumnRenamed("space_id", "source")
 
 
 @query(r"""
@@ -84,14 +85,17 @@ def txt_formats(spark, sf_dir):
 
 
 @query("""
-SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1
-WHERE len(list_filter(string_split(lower(a.p_name), ' '), lambda x: NOT list_contains(string_split(lower(b.p_name), ' '), x))) = 0
-   OR len(list_filter(string_split(lower(b.p_name), ' '), lambda x: NOT list_contains(string_split(lower(a.p_name), ' '), x))) = 0
+WITH p AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS ws FROM part), t AS (SELECT p_type, string_split(lower(p_type), ' ') AS ts FROM part GROUP BY p_type)
+SELECT p_partkey, p_type FROM p, t WHERE len(list_filter(ws, lambda x: NOT list_contains(ts, x))) = 0 OR len(list_filter(ts, lambda x: NOT list_contains(ws, x))) = 0
+UNION ALL SELECT p_partkey, 'own' FROM p
 """)
 def txt_token_subset(spark, sf_dir):
+    """Every part's name against every type (a bounded table), and against a name that holds its words."""
     part = table(spark, sf_dir, "part")
-    a, b = (part.select(F.col("p_partkey").alias(n), F.col("p_name").alias(f"n{n}")) for n in "ab")
-    return a.join(b, F.col("b") == F.col("a") + 1).where(T.is_token_subset(F.col("na"), F.col("nb"))).select("a", "b")
+    types = F.broadcast(part.select("p_type").distinct())  # 150 combinations of three words
+    hits = part.select("p_partkey", "p_name").join(types, T.is_token_subset(F.col("p_name"), F.col("p_type"))).select("p_partkey", "p_type")
+    longer = F.concat(F.lit("x "), F.upper("p_name"), F.lit(" y"))
+    return hits.union(part.where(T.is_token_subset(F.col("p_name"), longer)).select("p_partkey", F.lit("own")))
 
 
 def _found(spark, sf_dir, expression):

@@ -185,13 +185,37 @@ def decode_rows(rows: DataFrame, raw: str = "metadata") -> DataFrame:
     )
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def load_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The newest snapshot under a path; an empty table where there is none or it cannot be read."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:
-        return spark.createDataFrame([], schema)
+    """The table under a path; an empty one where there is no such path.  A path that cannot be read is an error."""
+    return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def save_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
+
+
+def path_index(table: DataFrame) -> DataFrame:
+    """(path, doc_id): where each file's document is."""
+    return table.select("path", "doc_id")
+
+
+#: Tables of the engine: vectors of 384 and of 1,536 dimensions have tables of their own.
+TABLES = {
+    "documents_384": "doc_id string, title string, path string, embedding array<float>",
+    "documents_1536": "doc_id string, title string, path string, embedding array<float>",
+}
+
+
+def create_tables(spark: SparkSession, root: str, tables: dict[str, str] | None = None) -> list[str]:
+    """Makes the tables that are not there yet under `root`, empty; returns their names."""
+    made = []
+    for name, schema in (TABLES if tables is None else tables).items():
+        if not path_exists(spark, f"{root}/{name}"):
+            save_table(spark.createDataFrame([], schema), f"{root}/{name}")
+            made.append(name)
+    return made

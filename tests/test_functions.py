@@ -1,5 +1,8 @@
 """Golden values of text functions, checksums, filters and vectors."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,7 +45,7 @@ def test_extract_text():
 
 def test_merge_keeps_emails():
     first = [{"value": "a@b.com", "entity_type": "email", "class": "Email", "subclass": None}]
-    assert X.merge_passes(first, {0: {"class": "Person"}}, [])[0]["class"] == "Email"
+    assert X.merge_passes(first, [{"pass1_id": "e_0", "class": "Person"}], [])[0]["class"] == "Email"
 
 
 @pytest.mark.parametrize("value, cls, expected", [
@@ -92,3 +95,34 @@ def test_model_reply(spark):
     reply = F.lit('<think>{"x"}</think>\n```json\n{"label": "Tax", "description": "d"}\n```')
     assert one(spark, T.parse_json_reply(reply, "label string, description string"))["label"] == "Tax"
     assert one(spark, T.parse_json_reply(F.lit("nothing"), "label string")) is None
+
+
+def test_emails_as_by_the_pattern():
+    """The search from the at-signs finds what the pattern finds from the left."""
+    rng = random.Random(9)
+    parts = ["a", "b.c", "@", ".", "org", "x@y.zz", " ", "-", "_", "%", "é", "+", "1", "@@", "..", ".co", "\n"]
+    for _ in range(20_000):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 14)))
+        assert [m.span() for m in X.find_emails(text)] == [m.span() for m in X.EMAIL.finditer(text)], text
+    began = time.perf_counter()
+    assert not list(X.find_emails("a." * 200_000)) and time.perf_counter() - began < 1
+
+
+def test_families_by_their_marks():
+    """Leaving a family out where its marks are missing changes nothing."""
+    rng = random.Random(10)
+    parts = ["2024-01-15", "1 Jan 2024", "a@b.org", "+1 415 555 2671", "$5", "5 USD", "http://x.yy", "ABCDE1234F", "123-45-6789", "4111 1111 1111 1111", "policy no. ABCD", " ", ",", "word", "7", "AB123456C"]
+    patterns = (X.DATES, X.EMAIL, X.PHONE, X.AMOUNT, X.URL, X.AADHAAR, X.IBAN, X.CARD, X.PAN, X.SSN, X.NINO, X.SIN, X.VIN, X.GSTIN, X.WEAK)
+    for _ in range(3000):
+        text = " ".join(rng.choices(parts, k=rng.randint(0, 8)))
+        found = sum(1 for _ in X._families(text))
+        assert found <= sum(1 for p in patterns for _ in p.finditer(text))
+        assert (found == 0) <= (not X.DATES.search(text) or not X.parse_date(X.DATES.search(text).group()))
+
+
+def test_chunks_are_linear():
+    text = "x" * 3_000_000
+    began = time.perf_counter()
+    out = T.chunks_of(text, 1500, 200)
+    assert out[-1]["end"] == len(text) and time.perf_counter() - began < 2 and T.chunks_of("", 5, 1) == T.chunks_of(None, 5, 1) == []
+    assert [(c["start"], c["end"]) for c in T.chunks_of("abcdefgh", 4, 1)] == [(0, 4), (3, 7), (6, 8)]

@@ -1,6 +1,7 @@
 """Invariants that SQL does not hold: clustering, stores, ingest, streams, edge cases."""
 
 import zipfile
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,7 +135,188 @@ def test_index_stream(spark, tmp_path):
     streams.index_stream(streams.watch(spark, inbox), table, ddl, check).awaitTermination()
     (tmp_path / "in" / "b.txt").write_text("second")
     streams.index_stream(streams.watch(spark, inbox), table, ddl, check).awaitTermination()
-    assert {r["title"] for r in spark.read.parquet(f"{table}/v=1").collect()} == {"a.txt", "b.txt"}
+    (tmp_path / "in" / "c.txt").write_text("hello world")
+    (tmp_path / "in" / "a2.txt").write_text("other")
+    streams.index_stream(streams.watch(spark, inbox), table, ddl, check).awaitTermination()
+    assert {r["title"] for r in streams.read_index(spark, table, ddl).collect()} == {"a.txt", "b.txt", "c.txt", "a2.txt"}
+    assert spark.read.parquet(f"{table}/rows/batch=1").count() == 1  # a batch writes what it brings
+    streams.compact_index(spark, table, ddl, str(tmp_path / "compact"))
+    assert streams.read_index(spark, str(tmp_path / "compact"), ddl).count() == 4
+
+
+def test_replaced_files_and_repeated_batches(spark, tmp_path):
+    """A changed file replaces its row; a batch that runs again writes the same; a file that changes back is there once."""
+    known = "path string, content_hash string, doc_id string"
+    files = lambda *rows: spark.createDataFrame([(p, None, len(c), c.encode()) for p, c in rows], I.FILE_SCHEMA)
+    ddl = I.index(I.parse(files(("/a.txt", "x"))), spark.createDataFrame([], known)).drop("old_id").schema
+    table = str(tmp_path / "index")
+
+    def batch(number, *rows):
+        fresh = I.index(I.parse(files(*rows)), streams.read_index(spark, table, ddl, number))
+        fresh = streams.materialise(fresh, "fresh")
+        I.save_table(fresh.drop("old_id"), f"{table}/rows/batch={number}")
+        I.save_table(fresh.where("old_id is not null").select(F.col("old_id").alias("doc_id")), f"{table}/gone/batch={number}")
+
+    batch(0, ("/a.txt", "one"), ("/b.txt", "two"))
+    batch(1, ("/a.txt", "changed"))
+    batch(1, ("/a.txt", "changed"))
+    assert sorted((r.path, r.text) for r in streams.read_index(spark, table, ddl).collect()) == [("/a.txt", "changed"), ("/b.txt", "two")]
+    batch(2, ("/a.txt", "one"))
+    batch(3, ("/b.txt", "two"))
+    assert sorted((r.path, r.text) for r in streams.read_index(spark, table, ddl).collect()) == [("/a.txt", "one"), ("/b.txt", "two")]
+
+
+def test_a_table_that_cannot_be_read_is_an_error(spark, tmp_path):
+    schema = "doc_id string"
+    assert I.load_table(spark, str(tmp_path / "none"), schema).count() == 0
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_bytes(b"PAR1 no parquet file at all PAR1")
+    with pytest.raises(Exception, match="(?i)parquet|footer|corrupt|read"):
+        I.load_table(spark, str(tmp_path / "broken"), schema).collect()
+    from foliograph.functions import settings
+
+    (tmp_path / "settings").mkdir()
+    (tmp_path / "settings" / "part-0.txt").write_text("no json")
+    with pytest.raises(ValueError):
+        settings.read(spark, str(tmp_path / "settings"))
+
+
+def test_debounce_keeps_the_last_event(spark, tmp_path):
+    schema = "path string, ts timestamp, n int"
+    at = lambda ms: datetime.fromtimestamp(1_700_000_000 + ms / 1000)
+    rows = [("a", at(0), 1), ("a", at(100), 2), ("a", at(250), 3), ("a", at(2000), 4), ("b", at(50), 5), ("z", at(60_000), 6)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "events"))
+    out = streams.drain(streams.debounced(stream), str(tmp_path / "out"), str(tmp_path / "check"))
+    assert sorted((r["path"], r["n"]) for r in out.collect()) == [("a", 3), ("a", 4), ("b", 5)]
+
+
+BACKFILLED = "doc_id long, text string, extracted_entities array<struct<label:string,value:string,entity_type:string,canonical_id:string,class:string,subclass:string,canonical_short_name:string,confidence:float>>, entities_version double"
+
+
+def test_backfill_survives_a_failing_document(spark, monkeypatch):
+    from foliograph.operators import extract
+
+    docs = spark.createDataFrame([(1, "a@b.org", None, None), (2, "c@d.org", [], 2.0), (3, "e@f.org", [], 3.5)], BACKFILLED)
+    real = extract.extract
+
+    def failing(rows, **settings):
+        """Extraction that fails on the second document."""
+        out = real(rows, **settings)
+        bad = F.col("doc_id") == 2
+        return out.withColumn("extracted_entities", F.when(~bad, F.col("extracted_entities"))).withColumn("_failed", bad)
+
+    monkeypatch.setattr(extract, "extract", failing)
+    told = []
+    out = {r["doc_id"]: r for r in streams.backfill(docs, parts=3, progress=told.append).collect()}
+    assert {d: r["entities_version"] for d, r in out.items()} == {1: 2.5, 2: 2.0, 3: 3.5}
+    assert [e["value"] for e in out[1]["extracted_entities"]] == ["a@b.org"] and out[2]["extracted_entities"] == [] == out[3]["extracted_entities"]
+    assert len(told) == 3 and (told[-1].total, told[-1].done, told[-1].failed) == (2, 2, 1)
+    assert extract._or_none(5) is None  # what is no text fails alone
+
+
+def test_one_backfill_at_a_time(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a@b.org", None, None)], BACKFILLED)
+    lock, seen = str(tmp_path / "lock"), []
+
+    def refine(rows):
+        with pytest.raises(RuntimeError, match="running"):
+            streams.backfill(docs)
+        seen.append(1)
+        return rows.withColumn("entities_version", F.lit(3.0))
+
+    assert streams.backfill(docs, refine, lock=lock).first()["entities_version"] == 3.0 and seen == [1]
+    assert streams._take(spark, lock)  # as another driver would
+    with pytest.raises(RuntimeError, match="running"):
+        streams.backfill(docs, lock=lock)
+    streams._release(spark, lock)
+    assert streams.backfill(docs, lock=lock).count() == 1 and streams.next_version(2.0, True, False) == 3.0 and streams.next_version(3.5, False, False) == 3.5
+
+
+def test_watcher():
+    class Stream:
+        def __init__(self, path):
+            self.path, self.on = path, True
+
+        def stop(self):
+            self.on = False
+
+    made = []
+    watcher = streams.Watcher(lambda path: made.append(Stream(path)) or made[-1])
+    watcher.add("a", "/a")
+    watcher.pause("a")
+    watcher.resume("a")
+    watcher.resume("a")
+    assert [(s.path, s.on) for s in made] == [("/a", False), ("/a", True)]
+    watcher.remove("a")
+    watcher.shutdown()
+    assert not watcher.running and not any(s.on for s in made)
+
+
+def test_changed_only(spark, tmp_path):
+    schema = "path string, content_hash string"
+    for n, rows in enumerate(([("a", "1"), ("b", "1")], [("a", "1"), ("b", "2")], [("a", "2"), ("b", "2")])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "events"))
+        streams.drain(streams.changed_only(stream), str(tmp_path / "out"), str(tmp_path / "check"))
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", "1"), ("a", "2"), ("b", "1"), ("b", "2")]
+
+
+def test_asking_again(spark, tmp_path):
+    marks = tmp_path / "tries"
+
+    def failing(prompts):
+        with open(marks, "a") as f:
+            f.write("x")
+        if len(open(marks).read()) < 2:
+            raise RuntimeError("busy")
+        return [p.upper() for p in prompts]
+
+    M.register_llm(failing, "busy")
+    assert M.ask(spark.createDataFrame([("p",)], "prompt string").coalesce(1), name="busy", attempts=2).first()["reply"] == "P"
+    M.register_llm(lambda prompts: 1 / 0, "broken")
+    assert M.ask(spark.createDataFrame([("p",)], "prompt string"), name="broken", attempts=1).first()["reply"] is None
+    M.register_llm(None, "busy")
+    M.register_llm(None, "broken")
+
+
+def test_parser_hook(spark):
+    I.register_parser("tex", lambda raw: raw.decode().replace("\\", ""))
+    try:
+        assert I.parse_bytes("/x/a.TEX", b"\\em")["text"] == "em" and I.parse_bytes("/x/a.pdf", b"%PDF")["error"] == "Unsupported file type: pdf"
+    finally:
+        I.PARSERS.pop("tex")
+
+
+def test_unknown_documents_are_errors(spark):
+    rows = spark.createDataFrame([(1, [1.0], ["A:b"], None, "b")], "id long, embedding array<double>, keys array<string>, created_at timestamp, excerpt string")
+    with pytest.raises(LookupError):
+        S.related_to(rows, [1, 2], F.current_timestamp())
+
+
+def test_components_in_rounds(spark):
+    chain = spark.createDataFrame([(n, n + 1) for n in range(60)] + [(100, n) for n in range(101, 160)], "a long, b long")
+    for few in (0, 5, 10**6):
+        roots = {r["node"]: r["root"] for r in connected(chain, one_task_edges=few).collect()}
+        assert all(roots.get(n, n) == 0 for n in range(61)) and all(roots.get(n, n) == 100 for n in range(100, 160))
+
+
+def test_shared_folder_off_local_masters():
+    from foliograph.operators import components
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(name, default):
+                return default
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        components.shared_folder(Session())
 
 
 def test_vector_pairs_recall(spark):
@@ -146,7 +328,7 @@ def test_vector_pairs_recall(spark):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = {(i, j) for i in range(160) for j in range(i + 1, 160) if unit[i] @ unit[j] >= 0.75}
     canon = spark.createDataFrame([(i, "t", v.tolist()) for i, v in enumerate(x)], "id long, entity_type string, embedding array<double>")
-    got = {(r["a"], r["b"]) for r in E.vector_pairs(canon).collect()}
+    got = {(r["a"], r["b"]) for r in E.vector_pairs(canon, tables=16).collect()}
     assert got <= want and len(got) >= 0.9 * len(want) > 0
     assert {(r["a"], r["b"]) for r in E.vector_pairs(canon, tables=0).collect()} == want
 

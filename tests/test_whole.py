@@ -2,9 +2,13 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from foliograph.operators import blocks
 from foliograph.operators import entities as E
+from foliograph.operators import graph as G
 from foliograph.operators import search as S
+from foliograph.operators import spaces as P
 from foliograph.plans.queries import QUERIES
 
 
@@ -41,18 +45,18 @@ def test_triples_of_all_customers(spark, tables):
     for o, part, supplier in items:
         add(f"c{of[o]}", "purchased_from", f"s{supplier}", f"d{of[o] % 10}", "sold_to")
         add(f"c{of[o]}", "owns", f"p{part}", f"d{of[o] % 10}", "owned_by")
-    got = {(r["subject_id"], r["predicate"], r["object_id"]): r["doc_ids"] for r in QUERIES["trp_closure_whole"](spark, sf).collect()}
+    got = {(r["subject_id"], r["predicate"], r["object_id"]): r["doc_ids"] for r in QUERIES["trp_closure"](spark, sf).collect()}
     assert got == {t: ",".join(sorted(d)) for t, d in want.items()}
-    owned = {r["object_id"] for r in QUERIES["trp_objects_whole"](spark, sf).collect()}
+    owned = {r["object_id"] for r in QUERIES["trp_objects"](spark, sf).collect()}
     assert owned == {o for s, p, o in want if s == "c12" and p == "owns"}
-    left = {(r["subject_id"], r["predicate"], r["object_id"]) for r in QUERIES["trp_cleanup_whole"](spark, sf).collect()}
+    left = {(r["subject_id"], r["predicate"], r["object_id"]) for r in QUERIES["trp_cleanup"](spark, sf).collect()}
     assert left == {t for t, d in want.items() if d != {"d5"}}
 
 
 def test_collisions_of_all_parts(spark, tables):
     parts = [(4, "B#1", 7, "four"), (10, "B#1", 7, "ten"), (9, "B#2", 3, "nine"), (5, "b#2", 3, "five"), (8, "B#3", 1, "eight")]
     sf = tables(part=(parts, "p_partkey long, p_brand string, p_size int, p_name string"))
-    got = {r["space_id"]: (r["collides"], r["label"]) for r in QUERIES["space_collisions_whole"](spark, sf).collect()}
+    got = {r["space_id"]: (r["collides"], r["label"]) for r in QUERIES["space_collisions"](spark, sf).collect()}
     assert got == {
         "space-4": (True, "B#1 7 — 5"), "space-10": (True, "B#1 7 — 11"), "space-9": (True, "b#2  3 — nine"), "space-5": (True, "b#2  3 — 6"), "space-8": (False, "B#3 1"),
     }
@@ -63,7 +67,7 @@ def test_hint_is_due_at_a_fifth_of_all_documents(spark, tables):
     values = {0: ["x", "x", *"abcdefgh"], 1: list("abcdef"), 2: ["y", "a", "y", "b", "y", "c", "d"]}
     rows = [(9 * n + k, v) for k, vs in values.items() for n, v in enumerate(vs)]
     sf = tables(documents=(rows, "doc_id long, source string"))
-    assert {tuple(r) for r in QUERIES["space_hint_whole"](spark, sf).collect()} == {("s0", "x"), ("s2", "y")}
+    assert {tuple(r) for r in QUERIES["space_hint"](spark, sf).collect()} == {("s0", "x"), ("s2", "y")}
 
 
 def test_nearest_previous_by_all_dimensions(spark, tables):
@@ -73,10 +77,10 @@ def test_nearest_previous_by_all_dimensions(spark, tables):
 
     rows = [(0, vector(0.0, 9.0), 1), (1, vector(0.4, 9.0), 1), (2, vector(0.2, -9.0), 2), (3, vector(-0.2, -9.0), 2)]
     sf = tables(embeddings=(rows, "vec_id long, embedding array<float>, label int"))
-    assert {(r["space_id"], r["previous_id"]) for r in QUERIES["space_nearest_previous_whole"](spark, sf).collect()} == {("s1", "s1"), ("s2", "s2")}
+    assert {(r["space_id"], r["previous_id"]) for r in QUERIES["space_nearest_previous"](spark, sf).collect()} == {("s1", "s1"), ("s2", "s2")}
 
 
-def test_vector_pairs_are_all_found(spark):
+def test_vector_pairs_are_all_found(spark, monkeypatch):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(40, 32))
     x = np.concatenate([c + 0.45 * rng.normal(size=(4, 32)) for c in centres] + [np.zeros((1, 32))])
@@ -84,7 +88,9 @@ def test_vector_pairs_are_all_found(spark):
     rows = [(i, f"t{i % 8 // 4}", v.tolist()) for i, v in enumerate(x)]
     want = {(i, j) for i in range(161) for j in range(i + 1, 161) if rows[i][1] == rows[j][1] and unit[i] @ unit[j] >= 0.75}
     canon = spark.createDataFrame(rows, "id long, entity_type string, embedding array<double>")
-    for got in (E.vector_pairs(canon), E.blocked_pairs(canon, 0.75, block=30)):
+    whole = E.vector_pairs(canon)
+    monkeypatch.setattr(blocks, "packed", lambda *args, real=blocks.packed: real(*args, block=30))
+    for got in (whole, E.vector_pairs(canon.repartition(3))):
         pairs = [(r["a"], r["b"]) for r in got.collect()]
         assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
@@ -92,7 +98,7 @@ def test_vector_pairs_are_all_found(spark):
 def test_vector_merge_at_three_quarters(spark, tables):
     rows = [(1, [1.0, 0.0], 1), (2, [0.8, 0.6], 1), (4, [0.0, 1.0], 1), (5, [1.0, 0.1], 2)]
     sf = tables(embeddings=(rows, "vec_id long, embedding array<float>, label int"))
-    assert {(r["a"], r["b"]) for r in QUERIES["ent_vector_merge_whole"](spark, sf).collect()} == {(1, 2)}
+    assert {(r["a"], r["b"]) for r in QUERIES["ent_vector_merge"](spark, sf).collect()} == {(1, 2)}
 
 
 def test_any_number_of_queries(spark, monkeypatch):
@@ -107,5 +113,57 @@ def test_any_number_of_queries(spark, monkeypatch):
     # the queries on top of it give the same in blocks as in one
     names = ("vec_search", "vec_rerank", "vec_related_scored", "vec_trajectory", "rag_retrieve")
     one = {name: sorted(map(repr, QUERIES[name](spark, "/root/testdata/sf0.001").collect())) for name in names}
-    monkeypatch.setattr(S, "QUERY_ROWS", 3)
+    monkeypatch.setattr(blocks, "QUERY_BLOCK", 3)
     assert one == {name: sorted(map(repr, QUERIES[name](spark, "/root/testdata/sf0.001").collect())) for name in names}
+
+
+def test_nearest_of_odd_vectors(spark):
+    """Ties go to the lesser id, in blocks of any size; zero, short and missing vectors are at cosine 0; ids may be strings."""
+    rows = [("b", [1.0, 0.0]), ("a", [2.0, 0.0]), ("c", [0.0, 0.0]), ("d", None), ("e", [1.0]), ("f", [-1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "id string, embedding array<double>")
+    asked = spark.createDataFrame([(1, [3.0, 0.0]), (2, [0.0, 0.0])], "query_id long, query_vector array<double>")
+    got = {(r["query_id"], r["rank"]): (r["id"], r["similarity"]) for r in S.top_k(frame, asked, 5).collect()}
+    assert [got[1, n] for n in range(1, 6)] == [("a", 1.0), ("b", 1.0), ("c", 0.0), ("d", 0.0), ("e", 0.0)]
+    assert [got[2, n][0] for n in range(1, 6)] == ["a", "b", "c", "d", "e"]
+    assert S.top_k(frame.limit(0), asked, 5).count() == 0 == S.top_k(frame, asked.limit(0), 5).count()
+
+
+def test_top_k_plan_moves_ids_only(spark):
+    """The texts of rows are joined to the hits; what is ranked is narrow."""
+    rows = spark.range(100).select("id", F.array(F.col("id") * 1.0, F.lit(1.0)).alias("embedding"), F.lit("long text").alias("text"))
+    asked = rows.where("id < 5").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    plan = S.top_k(rows, asked, 3)._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("Window") :]
+    assert "text" not in window and "BroadcastNestedLoopJoin" not in window[: window.index("MapInArrow")]
+
+
+def test_neighbours_are_not_themselves(spark):
+    rows = spark.createDataFrame([(n, [1.0, 0.0]) for n in range(30)] + [(99, [0.9, 0.1])], "id long, embedding array<double>")
+    near = G.blocked_neighbours(rows, 4).collect()
+    assert len(near) == 31 * 4 and all(r["source"] != r["target"] for r in near)
+    assert sorted(r["target"] for r in near if r["source"] == 1) == [0, 2, 3, 4]
+
+
+def test_sub_spaces_are_alike_at_all_sizes(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([c + 0.2 * rng.normal(size=(20, 6)) for c in rng.normal(size=(5, 6))])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    members = rows.select("id", F.concat(F.lit("p"), F.col("id") % 2).alias("space_id"))
+    one = sorted(P.sub_spaces(rows, members, least_docs=10).collect())
+    assert one == sorted(P.sub_spaces(rows, members, least_docs=10, block=10).collect()) and len(one) == 100
+
+
+def test_rounds_over_all_rows_are_those_of_the_sample(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(200, 5)))], "id long, embedding array<double>")
+    one = sorted(P.kmeans(rows, 6).collect())
+    real = P.pick_seeds
+    monkeypatch.setattr(P, "seed_rows", lambda dimensions: 199)
+    monkeypatch.setattr(P, "_sample", lambda vectors, n, most: np.array([r["vector"] for r in vectors.orderBy("id").collect()]))
+    assert real is P.pick_seeds and sorted(P.kmeans(rows, 6).collect()) == one
+
+
+def test_seeds_come_from_a_bounded_sample(spark):
+    vectors = spark.range(20_000).select("id", F.array(F.rand(1), F.rand(2)).alias("vector"))
+    got = P._sample(vectors, 20_000, 500)
+    assert 350 < len(got) < 650
