@@ -407,9 +407,15 @@ def src_decode(spark, sf_dir):
     return I.decode_rows(docs.select(F.col("doc_id").alias("id"), meta.alias("metadata"))).select("id", "title", "doc_type", "size", "topic")
 
 
-@query("SELECT page_id FROM pages WHERE NOT regexp_matches(url, 'node_modules|[.]git|target|__pycache__|[.]DS_Store') AND lower(split_part(split_part(url, '/', -1), '.', -1)) IN ('pdf', 'docx', 'txt', 'md', 'xlsx', 'csv', 'xls', 'ods') AND split_part(url, '/', -1) NOT LIKE '.%'")
+@query("""
+SELECT p FROM (SELECT '/home/' || CASE page_id % 5 WHEN 0 THEN 'docs' WHEN 1 THEN 'node_modules' WHEN 2 THEN 'x/.git' WHEN 3 THEN 'a/b' ELSE 'target' END || '/' || CASE WHEN page_id % 7 = 0 THEN '.' ELSE '' END || page_id || '.' || CASE page_id % 4 WHEN 0 THEN 'PDF' WHEN 1 THEN 'md' WHEN 2 THEN 'exe' ELSE 'xlsx' END AS p, page_id FROM pages)
+WHERE page_id % 5 IN (0, 3) AND page_id % 7 <> 0 AND page_id % 4 <> 2
+""")
 def src_accepted(spark, sf_dir):
-    return table(spark, sf_dir, "pages").where(I.accepted(F.col("url"))).select("page_id")
+    k = F.col("page_id")
+    pick = lambda n, *values: F.get(F.array(*map(F.lit, values)), (k % n).cast("int"))
+    path = F.concat(F.lit("/home/"), pick(5, "docs", "node_modules", "x/.git", "a/b", "target"), F.lit("/"), F.when(k % 7 == 0, ".").otherwise(""), k.cast("string"), F.lit("."), pick(4, "PDF", "md", "exe", "xlsx"))
+    return table(spark, sf_dir, "pages").select(path.alias("p")).where(I.accepted(F.col("p")))
 
 
 def _replayed(spark, sf_dir):
@@ -432,6 +438,11 @@ def stream_windows(spark, sf_dir):
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query()
+@query("""
+WITH e AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM e)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM s GROUP BY user_id, run HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+""")
 def stream_sessions(spark, sf_dir):
-    return _drained(spark, ST.user_sessions(_replayed(spark, sf_dir)))
+    out = _drained(spark, ST.user_sessions(_replayed(spark, sf_dir)))
+    return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")

@@ -238,11 +238,11 @@ def space_rule_names(spark, sf_dir):
 
 
 @query("""
-SELECT 's' || k AS space_id, value AS hint FROM (SELECT doc_id % 9 AS k, source AS value, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id % 9) AS docs FROM documents GROUP BY 1, 2)
+SELECT 's' || k AS space_id, value AS hint FROM (SELECT doc_id % 9 AS k, lang AS value, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id % 9) AS docs FROM documents GROUP BY 1, 2)
 QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC, value) = 1 AND n >= (docs + 4) // 5
 """)
 def space_hint(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("s"), F.col("doc_id") % 9).alias("space_id"), F.col("source").alias("value"))
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("s"), F.col("doc_id") % 9).alias("space_id"), F.col("lang").alias("value"))
     return P.canonical_hint(docs.groupBy("space_id", "value").agg(F.count("*").alias("n")), docs.groupBy("space_id").agg(F.count("*").alias("docs")))
 
 

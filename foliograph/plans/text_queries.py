@@ -174,7 +174,21 @@ def p1_extract_documents(spark, sf_dir):
     return found.select("doc_id", "e.entity_type", "e.value", "e.subclass", "e.confidence")
 
 
-@query()
+LEGACY = {
+    "date": ("Date", r"\b([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+[0-9]{1,2},?\s+[0-9]{4})\b"),
+    "amount": ("Amount", r"((?:USD\s*)?[$£€]\s*[0-9,]+(?:\.[0-9]{2})?|[0-9,]+(?:\.[0-9]{2})?\s*(?:USD|EUR|GBP))"), "email": ("Email", r"\b([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})\b"),
+    "person": ("Person/Org", r"\b([A-Z][a-z]+\s+[A-Z][a-z]+)\b"),
+}
+
+
+#: Letters beyond ASCII are word characters to the pattern, but not to SQL's word boundary: digits stand in for them.
+WORDLY = r"regexp_replace(regexp_replace(text, '[^\x00-\x7F\pL\pN]', '~', 'g'), '[^\x00-\x7F]', '0', 'g')"
+
+
+@query(
+    "WITH f AS (" + " UNION ".join(f"SELECT doc_id, '{kind}' AS entity_type, unnest(regexp_extract_all({WORDLY if kind == 'person' else 'text'}, '{shape}', 1)) AS value, '{label}' AS label FROM documents" for kind, (label, shape) in LEGACY.items())
+    + ") SELECT doc_id, entity_type, value, label FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY entity_type, value) <= 20"
+)
 def p1_legacy(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.explode(X.legacy_entities(F.col("text"))).alias("e")).select("doc_id", "e.entity_type", "e.value", "e.label")

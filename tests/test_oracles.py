@@ -36,4 +36,6 @@ def test_matches_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).columns
+    """Those that SQL cannot say have rows without nulls in their keys; tests elsewhere hold them against brute force."""
+    rows = QUERIES[name](spark, SF).collect()
+    assert rows and all(r[0] is not None for r in rows)

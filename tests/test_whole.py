@@ -66,7 +66,7 @@ def test_hint_is_due_at_a_fifth_of_all_documents(spark, tables):
     # space 0: x in 2 of 10; space 1: 1 of 6; space 2: 3 of 7, all of odd ids or rare ones
     values = {0: ["x", "x", *"abcdefgh"], 1: list("abcdef"), 2: ["y", "a", "y", "b", "y", "c", "d"]}
     rows = [(9 * n + k, v) for k, vs in values.items() for n, v in enumerate(vs)]
-    sf = tables(documents=(rows, "doc_id long, source string"))
+    sf = tables(documents=(rows, "doc_id long, lang string"))
     assert {tuple(r) for r in QUERIES["space_hint"](spark, sf).collect()} == {("s0", "x"), ("s2", "y")}
 
 
