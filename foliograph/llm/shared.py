@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from ..operators.components import Scratch
 from ..operators.components import materialise as written
 from ..operators.components import remove_folder, scratch, shared_folder
 
-__all__ = ["remove_folder", "scratch", "shared_dir", "written"]
+__all__ = ["Scratch", "remove_folder", "scratch", "shared_dir", "written"]
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
