@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliograph.llm import decontamination, mixing, ngram_join, quality_rules, sharding
-from foliograph.llm.shared import written
+from foliograph.llm.shared import Scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +45,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the documents; every stage but the last is written to the shared folder and reread."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies the stages to the documents; every stage but the last is written to the shared folder and reread.
+
+    A stage's rows are removed when the next one's are written; the result reads those of the last but one.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        made = Scratch(spark)
+        docs = made.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            before.clear()
+        before = made
     return STAGES[-1][1](spark, docs, sf_dir)
