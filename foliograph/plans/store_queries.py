@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
+import zlib
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -65,14 +66,30 @@ def _zipped(kind: str):
     def xlsx(name: str, kind: str) -> bytes:
         return f'<worksheet><sheetData><row><c t="s"><v>0</v></c><c t="inlineStr"><is><t>{escape(kind)}</t></is></c></row><row><c/></row><row><c><v>7</v></c></row></sheetData></worksheet>'.encode()
 
+    def ods(name: str, kind: str) -> bytes:
+        cell = "<c:table-cell><t:p>{}</t:p></c:table-cell>"
+        row = f"<c:table-row>{cell.format(escape(name))}<c:table-cell/>{cell.format(escape(kind))}</c:table-row><c:table-row><c:table-cell/></c:table-row>"
+        return f'<o:document-content xmlns:o="o" xmlns:c="c" xmlns:t="t"><c:table>{row}</c:table></o:document-content>'.encode()
+
+    def pdf(name: str, kind: str) -> bytes:
+        shown = name.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)")
+        content = f"BT /F1 12 Tf 72 720 Td ({shown}) Tj 0 -14 Td [({kind[:3]}) -20 ({kind[3:]}) -300 (end)] TJ ET".encode()
+        packed = zlib.compress(content)
+        return b"%%PDF-1.4\n1 0 obj\n<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream\nendobj\n%%%%EOF" % (len(packed), packed)
+
     @F.pandas_udf("binary")
     def run(names: pd.Series, kinds: pd.Series) -> pd.Series:
         out = []
         for name, what in zip(names, kinds, strict=True):
+            if kind == "pdf":
+                out.append(pdf(name, what))
+                continue
             raw = io.BytesIO()
             with zipfile.ZipFile(raw, "w") as z:
                 if kind == "docx":
                     z.writestr("word/document.xml", docx(name, what))
+                elif kind == "ods":
+                    z.writestr("content.xml", ods(name, what))
                 else:
                     z.writestr("xl/worksheets/sheet1.xml", xlsx(name, what))
                     z.writestr("xl/sharedStrings.xml", f"<sst><si><t>{escape(name)}</t></si></sst>")
@@ -94,14 +111,26 @@ def src_xlsx(spark, sf_dir):
     return I.parse(_files(part, F.concat(F.lit("/in/"), "p_partkey", F.lit(".xlsx")), _zipped("xlsx")("p_name", "p_type"))).select("path", "text")
 
 
+@query("SELECT '/in/' || p_partkey || '.ods' AS path, p_name || ' ' || p_type AS text FROM part")
+def src_ods(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return I.parse(_files(part, F.concat(F.lit("/in/"), "p_partkey", F.lit(".ods")), _zipped("ods")("p_name", "p_type"))).select("path", "text")
+
+
+@query("SELECT '/in/' || p_partkey || '.pdf' AS path, p_name || chr(10) || p_type || ' end' AS text FROM part")
+def src_pdf(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return I.parse(_files(part, F.concat(F.lit("/in/"), "p_partkey", F.lit(".pdf")), _zipped("pdf")("p_name", "p_type"))).select("path", "text")
+
+
 @query("""
 SELECT '/in/' || p_partkey || '.' || x AS path, x AS doc_type, CASE WHEN x IN ('csv', 'md') THEN p_name END AS text,
   CASE WHEN x IN ('png', 'heic') THEN 'OCR not available' WHEN x IN ('csv', 'md') THEN NULL ELSE 'Unsupported file type: ' || x END AS error
-FROM (SELECT p_partkey, p_name, CASE p_partkey % 6 WHEN 0 THEN 'csv' WHEN 1 THEN 'md' WHEN 2 THEN 'png' WHEN 3 THEN 'heic' WHEN 4 THEN 'zip' ELSE 'ods' END AS x FROM part)
+FROM (SELECT p_partkey, p_name, CASE p_partkey % 6 WHEN 0 THEN 'csv' WHEN 1 THEN 'md' WHEN 2 THEN 'png' WHEN 3 THEN 'heic' WHEN 4 THEN 'zip' ELSE 'xls' END AS x FROM part)
 """)
 def src_formats(spark, sf_dir):
     """Plain formats, and an error row for formats that no parser reads."""
-    kind = F.get(F.array(*map(F.lit, ("csv", "md", "png", "heic", "zip", "ods"))), (F.col("p_partkey") % 6).cast("int"))
+    kind = F.get(F.array(*map(F.lit, ("csv", "md", "png", "heic", "zip", "xls"))), (F.col("p_partkey") % 6).cast("int"))
     files = _files(table(spark, sf_dir, "part"), F.concat(F.lit("/in/"), "p_partkey", F.lit("."), kind), F.encode("p_name", "utf-8"))
     return I.parse(files).select("path", "doc_type", "text", "error")
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.constants import PATTERN_VERSION
 from ..operators import extract as X
+from .pdf import pdf_text
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 PARSED = "text string, title string, doc_type string, error string"
@@ -59,7 +60,18 @@ def _xlsx(content: bytes) -> str:
     return "\n".join(lines)
 
 
-PARSERS: dict[str, Parser] = {"txt": _plain, "md": _plain, "csv": _plain, "docx": _docx, "xlsx": _xlsx}
+def _ods(content: bytes) -> str:
+    """Every table; a row's non-empty cells joined by blanks."""
+    name = lambda e: e.tag.rpartition("}")[2]
+    lines = []
+    for row in (e for e in ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("content.xml")).iter() if name(e) == "table-row"):
+        cells = [" ".join("".join(p.itertext()) for p in c.iter() if name(p) == "p") for c in row if name(c) == "table-cell"]
+        if any(cells):
+            lines.append(" ".join(v for v in cells if v))
+    return "\n".join(lines)
+
+
+PARSERS: dict[str, Parser] = {"txt": _plain, "md": _plain, "csv": _plain, "docx": _docx, "xlsx": _xlsx, "ods": _ods, "pdf": pdf_text}
 
 
 def register_parser(extension: str, parser: Parser) -> None:

@@ -283,11 +283,25 @@ def test_asking_again(spark, tmp_path):
 def test_parser_hook(spark):
     I.register_parser("tex", lambda raw: raw.decode().replace("\\", ""))
     try:
-        assert I.parse_bytes("/x/a.TEX", b"\\em")["text"] == "em" and I.parse_bytes("/x/a.pdf", b"%PDF")["error"] == "Unsupported file type: pdf"
+        assert I.parse_bytes("/x/a.TEX", b"\\em")["text"] == "em" and I.parse_bytes("/x/a.xls", b"x")["error"] == "Unsupported file type: xls"
     finally:
         I.PARSERS.pop("tex")
 
 
+def test_pdf_text():
+    import zlib
+
+    def file(*contents, head=b""):
+        return b"%PDF-1.7\n" + b"".join(b"%d 0 obj << /Length %d %s >>\nstream\n%s\nendstream endobj\n" % (n, len(c), head, c) for n, c in enumerate(contents))
+
+    plain = rb"BT /F1 9 Tf 1 0 0 1 72 720 Tm (a \(b\) \143\) (x)) Tj T* <48656c6c6f> Tj ( there) ' 5 0 Td (same) Tj ET"
+    assert I.parse_bytes("a.pdf", file(plain))["text"] == "a (b) c) (x)\nHello\nthere same".replace("there same", "theresame")
+    assert I.parse_bytes("a.pdf", file(zlib.compress(plain), head=b"/Filter /FlateDecode"))["text"] == I.parse_bytes("a.pdf", file(plain))["text"]
+    assert I.parse_bytes("a.pdf", file(b"BT <FEFF00e900e0> Tj ET", b"BT [(W) 30 (o) -250 (r)] TJ ET"))["text"] == "éà\nWo r"
+    for raw in (b"", b"%PDF-1.4 nothing", b"no pdf", file(plain) + b"trailer << /Encrypt 5 0 R >>", file(b"broken", head=b"/Filter /FlateDecode")):
+        assert I.parse_bytes("a.pdf", raw)["text"] is None and I.parse_bytes("a.pdf", raw)["error"]
+
+
 def test_unknown_documents_are_errors(spark):
     rows = spark.createDataFrame([(1, [1.0], ["A:b"], None, "b")], "id long, embedding array<double>, keys array<string>, created_at timestamp, excerpt string")
     with pytest.raises(LookupError):
