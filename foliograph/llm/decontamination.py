@@ -318,17 +318,19 @@ def contaminated(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", error: float = ERROR, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of `docs` in which no benchmark item occurs, with all their columns (no shuffle)."""
+    tb.bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     for blocks in query_passes(benchmark, item_col, item_text_col):
 
         def run(batches, blocks=blocks):
+            tb.trim()
             indexes = _indexes(tuple(blocks), error)
             for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
                 for block in tb.blocks(batch.column(at)):
+                    keep = np.ones(block.n, bool)
                     for index in indexes:
-                        keep[[block.row + hit[0] for hit in find(block, index)]] = False
-                yield batch.filter(pa.array(keep))
+                        keep[[hit[0] for hit in find(block, index)]] = False
+                    yield batch.slice(block.row, block.n).filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -208,6 +208,7 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def redacted(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of `df` with personal data in the text replaced by kind marks."""
+    tb.bound_batches(df.sparkSession)
     at = df.columns.index(text_col)
 
     def run(batches):

@@ -12,7 +12,7 @@ with its document, so that suffixes of different documents never share a prefix.
 doubling re-sorts only suffixes that are still tied, so text without repeats costs a few
 sorts.  LCP values are compared only where a suffix and the one before it follow different
 words; elsewhere each is the one of the suffix a word earlier, less one.  So memory is linear:
-about 300 bytes a word of the block (a block is 2 MB of text, or one longer document), however
+about 300 bytes a word of the block (a block is 1 MB of text, or one longer document), however
 repetitive it is: 5 GB for a document of 100 MB of ordinary words.
 
 Defined results: null or empty text has no words and fails the base rule; a null doc_id
@@ -253,6 +253,7 @@ def repetition_rules(
     """One row of measures and the verdict `kept` for each row of `df` (no shuffle)."""
 
     def run(batches):
+        tb.trim()
         for batch in batches:
             for block, out in _judged(batch, 1, min_repeat, max_covered, max_longest):
                 ids = batch.column(0).slice(block.row, block.n)
@@ -266,12 +267,13 @@ def keep_unrepetitive(
     min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST,
 ) -> DataFrame:
     """The rows of `df` that the rules keep, with all their columns."""
+    tb.bound_batches(df.sparkSession)
     text_at = df.columns.index(text_col)
 
     def run(batches):
+        tb.trim()
         for batch in batches:
-            parts = [out["kept"] for _, out in _judged(batch, text_at, min_repeat, max_covered, max_longest)]
-            if parts:
-                yield batch.filter(pa.array(np.concatenate(parts)))
+            for block, out in _judged(batch, text_at, min_repeat, max_covered, max_longest):
+                yield batch.slice(block.row, block.n).filter(pa.array(out["kept"]))
 
     return df.mapInArrow(run, df.schema)

@@ -43,6 +43,7 @@ class Chunk:
     """The windows of a chunk's documents, in order of (doc_id, tie, text)."""
 
     def __init__(self, rows: pa.Table, size: int):
+        tb.trim()  # what the chunk before needed
         self.size = size
         ids, ties, texts = rows.column("doc_id").to_pylist(), rows.column("tie").to_pylist(), rows.column("text")
         column = texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0)

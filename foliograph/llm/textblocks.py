@@ -8,17 +8,21 @@ time, or one document where a single text is larger.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+#: Bytes of an Arrow batch, in sessions that leave Spark's own setting (64 MB) as it is.
+BATCH_BYTES, BATCH_SETTING, BATCH_DEFAULT = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: The word pattern `[^\x20\x09-\x0D]+`, as separators.
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -198,12 +202,37 @@ def per_doc_bytes(block: Block, flags: np.ndarray) -> np.ndarray:
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator works on, under its own names, whatever other columns there are.
 
-    Ids are integers: a `doc_id` that is no number raises Spark's cast error.  Arrow batches hold
-    10,000 rows or about 64 MB of text, whichever is less (Spark's settings, left as they are).
+    Ids are integers: a `doc_id` that is no number raises Spark's cast error.
     """
+    bound_batches(df.sparkSession)
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by `BATCH_BYTES`, unless the session has a bound of its own.
+
+    Every task holds a batch four times (written and read by the JVM and by Python), and a lazy plan takes the setting
+    of the session when it runs, so it stays set.
+    """
+    if spark.conf.get(BATCH_SETTING, None) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
+@lru_cache(maxsize=1)
+def _allocator():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library keeps what it keeps
+        return None
+
+
+def trim() -> None:
+    """Gives memory that a task needed for a while back to the system; Python workers live on."""
+    pa.default_memory_pool().release_unused()
+    if _allocator():
+        _allocator()(0)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """`names`, each with underscores added until `df` has no such column."""
     taken, out = {c.lower() for c in df.columns}, []
