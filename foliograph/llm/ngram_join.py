@@ -45,6 +45,8 @@ SIZE, PERCENT = 5, 80
 FAMILY_SHINGLES, BLOCK_ROWS, PIVOTS = 500_000, 400, 4
 CLASS_SEEDS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xABD07E4F2C1B9E55))
 CELLS_PER_SHINGLE = 8
+#: Ids that are sent to all tasks (16 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def shingle_sets(block: tb.Block, size: int = SIZE, checks: bool = False) -> tuple[np.ndarray, ...]:
@@ -211,6 +213,7 @@ class _Chunk:
     """The sets of the classes that a chunk's documents represent."""
 
     def __init__(self, rows: pa.Table, classes: pa.Table, size: int):
+        tb.trim()  # what the chunk before needed
         wanted = dict(zip(zip(classes.column("print").to_pylist(), classes.column("check").to_pylist(), strict=True), classes.column("class").to_pylist(), strict=True))
         values, self.classes = [], []
         for block in tb.blocks(rows.column("text")):
@@ -437,6 +440,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     plan = ex.layout(docs)
 
     def prints(batches):
+        tb.trim()
         for batch in batches:
             for block in tb.blocks(batch.column(1)):
                 value, first, check = shingle_sets(block, size, checks=True)
@@ -464,8 +468,11 @@ def one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = written(groups.where("component_id = doc_id").groupBy(F.col("doc_id").alias(id_name)).agg(F.count("*").alias(n)), "kept")
     columns, own = [F.col(f"`{c}`") for c in df.columns], F.col(f"`{id_col}`").cast("long")
 
+    few = kept.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+
     def rows(which: str) -> DataFrame:
-        return df.join(kept.where(which), own == F.col(id_name), "left_semi").select(*columns)
+        ids = kept.where(which)
+        return df.join(F.broadcast(ids) if few else ids, own == F.col(id_name), "left_semi").select(*columns)
 
     out = rows(f"{n} = 1").union(df.where(own.isNull()))
     if kept.where(f"{n} > 1").limit(1).count():  # only then can rows be repeated
