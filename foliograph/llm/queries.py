@@ -18,7 +18,7 @@ def op1_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.repetition_rules(_table(spark, sf_dir, "documents")).drop("longest_repeat", "n_spans")
+    return quality_rules.repetition_rules(_table(spark, sf_dir, "documents")).drop("longest_repeat", "n_spans", "n_maximal")
 
 
 def op3_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -184,6 +185,15 @@ def test_quality_rules(spark, rows):
             assert r.kept == (len(cover) <= quality_rules.MAX_COVERED * len(w) and max(longest) <= quality_rules.MAX_LONGEST)
 
 
+def test_quality_rules_match_sql(spark, docs):
+    got, con = queries.op2_suffix_repetition(spark, SF), duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    cur = con.execute(queries.ORACLE_SQL["op2_suffix_repetition"])
+    assert got.columns == [d[0] for d in cur.description]
+    assert sorted(map(tuple, got.collect())) == sorted(cur.fetchall())
+    assert "n_maximal" in quality_rules.repetition_rules(docs).columns
+
+
 def test_repeated_spans():
     seq = [*range(10), 50, *range(10), 60, 61]
     assert quality_rules.repeated_spans(np.array(seq, np.uint64), 8) == [(0, 10), (11, 21)]
