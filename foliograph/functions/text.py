@@ -163,9 +163,11 @@ def is_snake_case(name: Column, most: int = 64) -> Column:
     return name.rlike("^[a-z][a-z0-9_]*$") & (F.octet_length(name) <= most)
 
 
-def format_bytes(size: Column) -> Column:
-    """One decimal and the largest unit of which there is one; nothing is `0 B`."""
-    units = ("B", "KB", "MB", "GB", "TB")
+BYTE_UNITS = ("B", "KB", "MB", "GB", "TB")
+
+
+def format_bytes(size: Column, units: tuple[str, ...] = BYTE_UNITS) -> Column:
+    """One decimal and the largest of the units of which there is one; nothing is `0 B`."""
     value, unit = size.cast("double"), F.lit(units[0])
     for n in range(1, len(units)):
         value = F.when(size >= 1024**n, size / F.lit(float(1024**n))).otherwise(value)

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from foliograph.functions import text as T
 from foliograph.operators import blocks
 from foliograph.operators import entities as E
 from foliograph.operators import extract as X
@@ -111,6 +112,14 @@ def test_customer_lines_whose_account_is_a_sin(spark, tables):
     assert got == sorted(duckdb.sql(ORACLE_SQL["p1_customer_line"].replace("FROM customer", f"FROM '{sf}/customer.parquet/*.parquet'")).fetchall())
 
 
+def test_sizes_of_a_terabyte(spark, tables):
+    sf = tables(part=([(k,) for k in (1, 2, 3, 4, 1098434, 1098439, 1199999)], "p_partkey long"))
+    got = sorted(map(tuple, QUERIES["txt_sizes"](spark, sf).collect()))
+    assert got == sorted(duckdb.sql(ORACLE_SQL["txt_sizes"].replace("FROM part)", f"FROM '{sf}/part.parquet/*.parquet')")).fetchall())
+    sizes = spark.createDataFrame([(1 << 40,), (1 << 30,)], "n long").select(T.format_bytes(F.col("n")), T.format_bytes(F.col("n"), T.BYTE_UNITS[:4]))
+    assert list(map(tuple, sizes.collect())) == [("1.0 TB", "1024.0 GB"), ("1.0 GB", "1.0 GB")]
+
+
 def test_any_number_of_queries(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2100, 4)).astype(np.float32)
