@@ -104,6 +104,13 @@ def test_vector_merge_at_three_quarters(spark, tables):
     assert {(r["a"], r["b"]) for r in QUERIES["ent_vector_merge"](spark, sf).collect()} == {(1, 2)}
 
 
+def test_alias_merge_joins_all_near_entities(spark, tables):
+    # 1 and 2 are near rows of their own; 3 has a moved copy with more documents; 4 is near 1 but of another type
+    rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.05], 1), (5, [0.0, 1.0], 1), (3, [0.0, 1.0], 2), (4, [1.0, 0.0], 2)]
+    sf = tables(embeddings=(rows, "vec_id long, embedding array<float>, label int"))
+    assert {tuple(r) for r in QUERIES["ent_merge_aliases"](spark, sf).collect()} == {(1, 2), (2, 2), (5, 5), (3, 10_000_003), (10_000_003, 10_000_003), (4, 4)}
+
+
 def test_customer_lines_whose_account_is_a_sin(spark, tables):
     # 100090000 passes the check of a SIN, 100080000 does not
     assert [e["value"] for e in X.extract_text("account no. acc-100090000") if e["subclass"] == "sin"] == ["100090000"]
